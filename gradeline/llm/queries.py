@@ -14,7 +14,7 @@ from gradeline.llm.ngram_join import jaccard_classes
 from gradeline.llm.packing import pack, pieces_of
 from gradeline.llm.pitman_yor import score_texts
 from gradeline.llm.quality import fit_quality, labelled_texts, score_quality
-from gradeline.llm.rules import quality_rules
+from gradeline.llm.rules import DEFAULT_RULES, STOP_WORDS, quality_rules
 from gradeline.llm.substring import repeated_words
 from gradeline.llm.token_files import read_token_files, write_token_files
 from gradeline.llm.url_filter import url_filter
@@ -77,4 +77,49 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_quality, op4_ngram_join, op5_packing, op6_pitman_yor, op7_grid_join, op8_token_files, op9_substring, op10_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ssize FROM d GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+l AS (SELECT *, (sum(ssize) OVER () - 3.0::DOUBLE * coalesce(sum(ssize) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS lev FROM w WINDOW r AS (ORDER BY ssize / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT min_by(lev, (ssize / weight, coalesce(source, chr(1114111)))) FILTER (3.0::DOUBLE * ssize > lev * weight) AS lev FROM l),
+t AS (SELECT l.source, l.ssize, CASE WHEN 3.0::DOUBLE * ssize <= l.lev * weight THEN 3.0::DOUBLE * ssize ELSE o.lev * weight END AS target FROM l, o),
+r AS (SELECT *, CASE WHEN ssize = 0 THEN 0.0 ELSE least(3.0::DOUBLE, target / ssize) END AS rate FROM t),
+b AS (SELECT source, CAST(floor(u * 1024) AS INT) AS step, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY ALL),
+g AS (SELECT r.source, ssize, rate - floor(rate) AS part, k FROM r, (SELECT unnest(range(2049)) AS k)),
+c AS (SELECT g.*, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY g.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM g LEFT JOIN b ON g.source IS NOT DISTINCT FROM b.source AND k % 1024 = step),
+p AS (SELECT a.source, a.k AS shift, abs(z.upto - a.upto - a.part * a.ssize) AS gap FROM c a JOIN c z ON a.source IS NOT DISTINCT FROM z.source AND z.k = a.k + CAST(round(a.part * 1024) AS INT) WHERE a.k < 1024),
+q AS (SELECT source, min(row(gap, shift)) AS best FROM p GROUP BY 1),
+x AS (SELECT d.*, r.ssize, r.target, rate, floor(rate) AS whole, u - q.best[2] / 1024.0::DOUBLE AS turned FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, ssize AS source_size, target, CAST((whole + CASE WHEN turned + CASE WHEN turned < 0 THEN 1 ELSE 0 END < rate - whole THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x""",
+    "op9_substring": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
+g AS (SELECT doc_id, k, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h, count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM w),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY h) AS c FROM g WHERE n = 35) WHERE c > 1),
+m AS (SELECT w.doc_id, w.k, word, r.k IS NOT NULL AS s FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.k = r.k),
+f AS (SELECT doc_id, k, word, bool_or(s) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op10_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
+g AS (SELECT doc_id, k, string_agg(word, ' ') OVER v AS h, count(*) OVER v AS n FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, h) AS c FROM g WHERE n = 8) WHERE c > 1),
+f AS (SELECT w.doc_id, bool_or(r.k IS NOT NULL) OVER (PARTITION BY w.doc_id ORDER BY w.k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS twice FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.k = r.k),
+a AS (SELECT doc_id, count(*) FILTER (twice) AS n_repeat_words FROM f GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_shouts, len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(x)))) AS n_stop_words, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines FROM d),
+b AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN a USING (doc_id)),
+e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"coalesce({r.ratio.split(' / ')[0]}::DOUBLE / nullif({r.ratio.split(' / ')[1]}, 0) BETWEEN {-1 if r.low is None else r.low} AND {1e9 if r.high is None else r.high}, true)" for r in DEFAULT_RULES)} AS kept FROM e""",
+    "op7_grid_join": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT vec_id, b FROM reach JOIN links ON seen = a),
+c AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id)""",
+}
