@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut
+from gradeline.llm.common import cut, small_batches
 from gradeline.llm.components import connected_components
 from gradeline.llm.ngram_join import roots_of
 
@@ -84,6 +84,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     principal dimensions) and cut into blocks of BLOCK. Two blocks meet only if their intervals on the first dimension
     come within epsilon (an equality join on label and cell) and so do their boxes. Tasks return a sum and a root per vector.
     """
+    small_batches(vectors.sparkSession)
     epsilon = float(np.sqrt(2 - 2 * cosine))
     names = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
     vec = F.col(vec_col).cast("array<double>")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut, gram_hashes, mix64, words_of
+from gradeline.llm.common import cut, gram_hashes, mix64, small_batches, tidy, words_of
 from gradeline.llm.components import connected_components
 
 #: Documents of one block: a task holds the n-gram sets of two blocks at most.
@@ -122,6 +122,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     tasks of at most two blocks of BLOCK texts, where those that share a band are compared on full sets; each pair of
     blocks of a large label has its own task, and tasks return a sum and a root per text, never pairs.
     """
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     own = own.withColumn("_key", F.unhex(F.md5(F.coalesce("_text", F.lit("")).cast("binary"))))
@@ -132,6 +133,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
             found = [shingles(t, n) for t in b.column("_text").to_pylist()]
             signed = [band_hashes(s, bands, rows) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), pa.array(signed, pa.list_(pa.int64()))], names=["_id", "_key", "bands"])
+        tidy()
 
     signed = own.mapInArrow(sign, f"_id {id_type}, _key binary, bands array<bigint>")
     nodes = cut(signed.groupBy("_key").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
@@ -164,6 +166,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         np.add.at(add, i, weight[j])
         np.add.at(add, j, weight[i])
         hit = np.flatnonzero(add)
+        del sets
+        tidy()
         return pd.DataFrame({"a": g["_key"].to_numpy()[hit], "b": g["_key"].to_numpy()[root[hit]], "links": add[hit]})
 
     found = cut(loaded.groupBy("label", "low", "high").applyInPandas(compare, "a binary, b binary, links bigint"))

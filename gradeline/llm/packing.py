@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut
+from gradeline.llm.common import cut, small_batches, tidy
 from gradeline.llm.tokens import default_path, encoder
 
 #: Pieces that one task packs together; with more of them bins come out fuller, with fewer tasks stay smaller.
-GROUP = 8192
+GROUP = 4096
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -41,48 +41,55 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 50) -> list[list[int]]:
-    """Moves, one-for-one and two-for-one exchanges between underfull bins while the sum of squared fills increases.
+def _place_for(n: int, room: int, there: list[int], lengths: np.ndarray) -> list[int] | None:
+    """What must leave a bin with `room` so that n tokens gain by coming in: nothing (move), the shortest document shorter
+    than n that makes room (one for one), or the shortest such pair (two for one); null if neither works."""
+    if n <= room:
+        return []
+    need = n - room
+    one = min(((int(lengths[j]), j) for j in there if need <= lengths[j] < n), default=None)
+    order = sorted(((int(lengths[j]), j) for j in there if lengths[j] < n))
+    best, low, high = one and (one[0], [one[1]]), 0, len(order) - 1
+    while low < high:
+        both = order[low][0] + order[high][0]
+        if both >= n:
+            high -= 1
+        elif both < need:
+            low += 1
+        else:
+            if best is None or both < best[0]:
+                best = both, [order[low][1], order[high][1]]
+            high -= 1
+    return best and best[1]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Moves, one-for-one and two-for-one exchanges between underfull bins until as few bins are left as the lengths allow,
+    or nothing changes any more.
 
-    Squared fill grows if the fuller bin of the two gains tokens. From the emptiest bin documents go to the fullest bin
-    they fit in (move), or take the place of one shorter, or two together shorter, documents there (exchange); a bin
-    that becomes empty is dropped. Stops if a round changes nothing. Full bins take no part.
+    From the emptiest bin each document, longest first, goes to the first bin, fullest first, that gains tokens by taking
+    it: into its room, or in the place of one or two together shorter documents, which come back. The receiving bin is at
+    least as full as the giving one, so every step increases the sum of squared fills, and the search ends. A bin that
+    becomes empty is dropped. Full bins take no part.
     """
     fill = {b: int(sum(lengths[k] for k in items)) for b, items in enumerate(bins)}
     items = {b: list(x) for b, x in enumerate(bins)}
-    for _ in range(rounds):
+    fewest = -(-int(lengths.sum()) // size)
+    changed = True
+    while changed and len(items) > fewest:
         changed = False
-        open_bins = sorted((b for b in items if fill[b] < size), key=lambda b: fill[b])
-        for low in open_bins:
-            if low not in items:
-                continue
+        for low in sorted((b for b in items if fill[b] < size), key=lambda b: fill[b]):
+            if len(items) <= fewest:
+                break
             for k in sorted(items[low], key=lambda k: -lengths[k]):
                 n = int(lengths[k])
-                for high in reversed(open_bins):
-                    if high == low or high not in items or fill[high] < fill[low]:
+                for high in sorted((b for b in items if b != low and fill[low] <= fill[b] < size), key=lambda b: -fill[b]):
+                    out = _place_for(n, size - fill[high], items[high], lengths)
+                    if out is None:
                         continue
-                    room = size - fill[high]
-                    if room <= 0:
-                        continue
-                    if n <= room:
-                        out = []
-                    else:
-                        # the longest document, or pair, shorter than n that makes room for it
-                        one = [(int(lengths[j]), [j]) for j in items[high] if n - room <= lengths[j] < n]
-                        mine = sorted(items[high], key=lambda j: lengths[j])[:64]
-                        two = [(int(lengths[i] + lengths[j]), [i, j]) for a, i in enumerate(mine) for j in mine[a + 1 :] if n - room <= lengths[i] + lengths[j] < n]
-                        best = min(one + two, default=None)
-                        if best is None:
-                            continue
-                        out = best[1]
                     back = int(sum(lengths[j] for j in out))
-                    if (fill[high] + n - back) ** 2 + (fill[low] - n + back) ** 2 <= fill[high] ** 2 + fill[low] ** 2:
-                        continue
-                    items[low].remove(k)
-                    items[high].append(k)
-                    for j in out:
-                        items[high].remove(j)
-                        items[low].append(j)
+                    items[low] = [j for j in items[low] if j != k] + out
+                    items[high] = [j for j in items[high] if j not in out] + [k]
                     fill[high] += n - back
                     fill[low] -= n - back
                     changed = True
@@ -91,8 +98,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds:
                     break
             if not items[low]:
                 del items[low], fill[low]
-        if not changed:
-            break
+            elif not changed:
+                break  # the emptiest bin can give nothing: fuller ones would gain less
     return list(items.values())
 
 
@@ -101,6 +108,7 @@ def pieces_of(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str
 
     Only documents longer than `size` are cut. A null text is empty: the end id alone.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_path()
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -125,6 +133,7 @@ def pieces_of(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str
             if with_ids:
                 arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int64()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        tidy()
 
     return own.mapInArrow(split, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else ""))
 

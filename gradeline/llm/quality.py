@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut, mix64, words_of
+from gradeline.llm.common import cut, mix64, small_batches, tidy, words_of
 
 #: Log2 of the number of n-gram indicators; the model is two arrays of that length, whatever the input.
 BITS = 18
@@ -108,12 +108,14 @@ def fit_quality(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With one class only, or no rows, the score is a constant.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).cast("int").alias("_y"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [indicators(t).astype("<i4").tobytes() for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(at, pa.binary())], names=["_id", "_y", "at"])
+        tidy()
 
     part = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(PARTS)).cast("int")
     data = cut(rows.mapInArrow(featurise, "_id string, _y int, at binary").withColumn("part", part))
@@ -141,6 +143,7 @@ def fit_quality(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
         g = group.sort_values("_id")
         found = [np.frombuffer(a, "<i4") for a in g["at"]]
         w, bias = descend(found, np.where(g["_y"].to_numpy() > 0, 1.0, -1.0), ratio, PENALTY, EPOCHS)
+        tidy()
         return pd.DataFrame({"part": [int(g["part"].iloc[0])], "w": [w.astype("<f4").tobytes()], "bias": [bias]})
 
     fitted = data.groupBy("part").applyInPandas(fit, "part int, w binary, bias double").toPandas().sort_values("part")
@@ -168,6 +171,7 @@ def sample_labels(labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "do
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Add the score of each whole text, 0 to 1. Null and blank texts have no n-grams and get the curve's value there."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != score_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -175,6 +179,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_c
         for b in batches:
             values = shared.value.scores(b.column(text_col).to_pylist()) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(values, pa.float64())], names=[*names, score_col])
+        tidy()
 
     schema = docs.select(*names).schema.add(score_col, "double")
     return docs.select(*names).mapInArrow(score, schema)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut, mix64, shared_dir
+from gradeline.llm.common import cut, mix64, shared_dir, small_batches, tidy
 
 #: Windows start at no fewer words than this.
 SHORTEST = 8
@@ -96,7 +96,7 @@ class Search:
         return np.cumsum(step)[:-1] > 0
 
 
-def _distinct_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     """Distinct non-blank texts as a bucketed table (key, copies, blob): later joins on the key leave the texts where they are.
 
     The files lie in the shared folder beside the checkpoints and go with them."""
@@ -115,7 +115,7 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
     name = f"texts_{uuid.uuid4().hex}"
     where = f"{shared_dir(spark).rstrip('/')}/{name}"
     distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("compression", "none").option("path", where).format("parquet").saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
 
 
 def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
@@ -127,8 +127,8 @@ def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") ->
     over (hash, text): a hash of a single occurrence goes back to the only text that has it, so frequent passages gather
     nowhere. Texts that occur more than once need no search of their own; they only tell the others what they hold.
     """
-    texts, name = _distinct_texts(docs, text_col)
-    spark, lengths = docs.sparkSession, levels(window)
+    small_batches(docs.sparkSession)
+    texts, lengths = _distinct_texts(docs, text_col), levels(window)
     alone: DataFrame | None = None
 
     def searched(batch: pd.DataFrame):
@@ -153,11 +153,12 @@ def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") ->
                     keys += [key] * len(h)
                     hashes.append(h.view(np.int64))
                     counts.append(np.minimum(n * copies, 2))
-                    if len(keys) > 200_000:
+                    if len(keys) > 100_000:
                         yield pd.DataFrame({"h": np.concatenate(hashes), "key": keys, "n": np.concatenate(counts)})
                         keys, hashes, counts = [], [], []
                 if keys:
                     yield pd.DataFrame({"h": np.concatenate(hashes), "key": keys, "n": np.concatenate(counts)})
+            tidy()
 
         source = texts if alone is None else _with_alone(texts, alone)
         asked = source.mapInPandas(ask, "h bigint, key binary, n bigint")
@@ -176,6 +177,7 @@ def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") ->
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 out.append((key, len(words), int(gone.sum()), edge.reshape(-1, 2).tolist(), kept.decode("utf-8", "replace")))
             yield pd.DataFrame(out, columns=["text_key", "n_words", "n_removed", "spans", "kept"])
+        tidy()
 
     return _with_alone(texts, alone).mapInPandas(finish, "text_key binary, n_words bigint, n_removed bigint, spans array<array<int>>, kept string")
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import shared_dir
+from gradeline.llm.common import shared_dir, small_batches, tidy
 from gradeline.llm.tokens import default_path, encoder
 
 #: Ids of a sequence and sequences of a record batch. All batches of a file but the last have as many.
@@ -111,6 +111,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
     repeated task does no harm. The manifest has a row per file, in order: path, index, n_docs, n_tokens, start.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = tokenizer or default_path()
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     where, base = _open(folder)
@@ -145,6 +146,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
             total = writer.total
             if index is not None:
                 index.close()
+        tidy()
         if not n_docs:
             for d in drafts:
                 fs_.delete_file(d)
