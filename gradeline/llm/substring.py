@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut, mix64, shared_dir, small_batches, tidy
+from gradeline.llm.common import mix64, shared_dir, small_batches, tidy
 
 #: Windows start at no fewer words than this.
 SHORTEST = 8
@@ -100,7 +100,6 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     """Distinct non-blank texts as a bucketed table (key, copies, blob): later joins on the key leave the texts where they are.
 
     The files lie in the shared folder beside the checkpoints and go with them."""
-    spark = docs.sparkSession
     own = docs.select(F.col(text_col).alias("_text")).filter(F.coalesce(F.col("_text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     own = own.withColumn("key", F.unhex(F.md5(F.col("_text").cast("binary"))))
 
@@ -112,9 +111,14 @@ def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
     packed = own.mapInArrow(squeeze, "key binary, blob binary")
     distinct = packed.groupBy("key").agg(F.count("*").alias("copies"), F.first("blob").alias("blob"))
-    name = f"texts_{uuid.uuid4().hex}"
+    return _bucketed(distinct)
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, in buckets of `key`: joins of such tables on the key move nothing."""
+    spark, name = df.sparkSession, f"texts_{uuid.uuid4().hex}"
     where = f"{shared_dir(spark).rstrip('/')}/{name}"
-    distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("compression", "none").option("path", where).format("parquet").saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("compression", "none").option("path", where).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -129,7 +133,7 @@ def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") ->
     """
     small_batches(docs.sparkSession)
     texts, lengths = _distinct_texts(docs, text_col), levels(window)
-    alone: DataFrame | None = None
+    alone: list[DataFrame] = []
 
     def searched(batch: pd.DataFrame):
         z = zstandard.ZstdDecompressor()
@@ -160,10 +164,9 @@ def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") ->
                     yield pd.DataFrame({"h": np.concatenate(hashes), "key": keys, "n": np.concatenate(counts)})
             tidy()
 
-        source = texts if alone is None else _with_alone(texts, alone)
-        asked = source.mapInPandas(ask, "h bigint, key binary, n bigint")
-        once = cut(asked.groupBy("h").agg(F.sum("n").alias("n"), F.min("key").alias("key")).filter("n = 1").select("key", "h"))
-        alone = once if alone is None else alone.union(once)
+        asked = _with_alone(texts, alone).mapInPandas(ask, "h bigint, key binary, n bigint")
+        once = asked.groupBy("h").agg(F.sum("n").alias("n"), F.min("key").alias("key")).filter("n = 1")
+        alone.append(_bucketed(once.groupBy("key").agg(F.collect_list("h").alias("alone"))))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,8 +185,15 @@ def repeated_words(docs: DataFrame, window: int = 35, text_col: str = "text") ->
     return _with_alone(texts, alone).mapInPandas(finish, "text_key binary, n_words bigint, n_removed bigint, spans array<array<int>>, kept string")
 
 
-def _with_alone(texts: DataFrame, alone: DataFrame) -> DataFrame:
-    return texts.join(alone.groupBy("key").agg(F.collect_list("h").alias("alone")), "key", "left")
+def _with_alone(texts: DataFrame, alone: list[DataFrame]) -> DataFrame:
+    """Texts with the hashes that came back to them so far; all are buckets of the same key."""
+    if not alone:
+        return texts
+    names = [f"_alone{k}" for k in range(len(alone))]
+    for table, name in zip(alone, names, strict=True):
+        texts = texts.join(table.withColumnRenamed("alone", name), "key", "left")
+    lists = [F.coalesce(n, F.array().cast("array<bigint>")) for n in names]
+    return texts.withColumn("alone", F.concat(*lists)).drop(*names)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
