@@ -47,6 +47,17 @@ def window_hashes(words: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray
     return out
 
 
+def first_minima(h: np.ndarray, size: int) -> np.ndarray:
+    """For each run of `size` values the place of its first minimum; runs are joined from shorter ones by doubling."""
+    at, low, done = np.arange(len(h)), h, 1
+    while done < size:
+        step = min(done, size - done)
+        at = np.where(low[step:] < low[:-step], at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
+        done += step
+    return at
+
+
 class Search:
     """Windows of one text that may occur elsewhere.
 
@@ -69,10 +80,7 @@ class Search:
         inside = self.window - n + 1
         if inside == 1 or not len(self.alive):
             return self.alive
-        h = self.hashes[n]
-        if len(self.alive) == self.count:
-            return np.lib.stride_tricks.sliding_window_view(h, inside).argmin(axis=1) + self.alive
-        return np.lib.stride_tricks.sliding_window_view(h, inside)[self.alive].argmin(axis=1) + self.alive
+        return first_minima(self.hashes[n], inside)[self.alive]
 
     def drop(self, level: int, alone: np.ndarray) -> None:
         """Kill the windows whose anchors at this level are among `alone` (sorted)."""

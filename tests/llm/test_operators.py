@@ -18,7 +18,7 @@ from gradeline.llm.packing import best_fit, local_search, pack, packed_sequences
 from gradeline.llm.pitman_yor import score_texts
 from gradeline.llm.quality import fit_quality, score_quality
 from gradeline.llm.rules import quality_rules
-from gradeline.llm.substring import remove_repeats, repeated_words
+from gradeline.llm.substring import first_minima, remove_repeats, repeated_words
 from gradeline.llm.token_files import TokenFile, read_token_files, write_token_files
 from gradeline.llm.tokens import WordEncoder, default_path
 from gradeline.llm.url_filter import url_filter
@@ -171,6 +171,12 @@ def test_substring(spark, odd, none):
     assert remove_repeats(odd).columns == odd.columns and remove_repeats(odd).count() == len(ROWS) and remove_repeats(none).count() == 0
 
 
+def test_first_minima():
+    h = np.random.default_rng(2).integers(0, 9, 200).astype(np.uint64)
+    for size in (1, 2, 18, 27):
+        assert first_minima(h, size).tolist() == [k + int(h[k : k + size].argmin()) for k in range(201 - size)]
+
+
 def test_pitman_yor(spark, odd, none):
     rows = {r.doc_id: r for r in score_texts(docs_of(spark), ~held_out(F.col("doc_id"), 7)).collect()}
     split = lambda t: [*(t or "").encode().lower().split(), None]
