@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
@@ -59,7 +60,8 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [words_of(t) for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            # what came first came often; later words make room
+            self.memo = dict(itertools.islice(self.memo.items(), MEMO_WORDS * 3 // 4))
         out = []
         for k, words in enumerate(split):
             try:

@@ -141,7 +141,7 @@ def test_packing(spark, odd, none):
 
 def test_encoder_equals_library():
     e = WordEncoder(default_path())
-    texts = [r[1] or "" for r in ROWS] + ["a<|startoftext|>b", "É é́ ﬁ  it's 12ab"]
+    texts = [r[1] or "" for r in ROWS] + ["a<|startoftext|>b", "É é́ ﬁ  it's 12ab", "Word. WORD word?! wOrd's. ©. a&&&. é. ß.\u0338 x.\u0338 y\u0301. <|ENDOFTEXT|>. <|endoftext|>a. I'S. ... 12. ..a, ΑΣ. a.b."]
     assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
