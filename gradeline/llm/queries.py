@@ -105,13 +105,13 @@ f AS (SELECT doc_id, k, word, bool_or(s) OVER (PARTITION BY doc_id ORDER BY k RO
 a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "op10_rules": rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
 g AS (SELECT doc_id, k, string_agg(word, ' ') OVER v AS h, count(*) OVER v AS n FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
 r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, h) AS c FROM g WHERE n = 8) WHERE c > 1),
 f AS (SELECT w.doc_id, bool_or(r.k IS NOT NULL) OVER (PARTITION BY w.doc_id ORDER BY w.k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS twice FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.k = r.k),
 a AS (SELECT doc_id, count(*) FILTER (twice) AS n_repeat_words FROM f GROUP BY 1),
-c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_shouts, len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(x)))) AS n_stop_words, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines FROM d),
+c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_shouts, len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{x}'" for x in STOP_WORDS)}], lower(x)))) AS n_stop_words, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines FROM d),
 b AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM c LEFT JOIN a USING (doc_id)),
 e AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"coalesce({r.ratio.split(' / ')[0]}::DOUBLE / nullif({r.ratio.split(' / ')[1]}, 0) BETWEEN {-1 if r.low is None else r.low} AND {1e9 if r.high is None else r.high}, true)" for r in DEFAULT_RULES)} AS kept FROM e""",
