@@ -4,6 +4,7 @@ import collections
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from gradeline.llm.mixing import mix_plan, mix_sources
 from gradeline.llm.ngram_join import choose_bands, drop_near_copies, jaccard_classes
 from gradeline.llm.packing import best_fit, local_search, pack, packed_sequences, pieces_of
 from gradeline.llm.pitman_yor import score_texts
-from gradeline.llm.quality import fit_quality, score_quality
+from gradeline.llm.quality import fit_quality, labelled_texts, score_quality
 from gradeline.llm.rules import quality_rules
 from gradeline.llm.substring import first_minima, remove_repeats, repeated_words
 from gradeline.llm.token_files import TokenFile, read_token_files, write_token_files
@@ -217,8 +218,45 @@ def test_grid_join(spark):
     assert near_vectors(df.filter("false")).count() == 0 and near_vectors(df).columns[:5] == df.columns
 
 
-def test_pipeline(spark):
+def brute_removed(texts, window=35):
+    """Texts without the words of windows that start more than once; texts without such windows as they are."""
+    words = {i: (t or "").encode().split() for i, t in texts.items()}
+    starts = collections.Counter(tuple(w[k : k + window]) for w in words.values() for k in range(len(w) - window + 1))
+    out = {}
+    for i, w in words.items():
+        gone = {j for k in range(len(w) - window + 1) if starts[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
+        out[i] = b" ".join(x for k, x in enumerate(w) if k not in gone).decode() if gone else texts[i]
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """The pieces of run() against plain loops over the same stages; repetition against the SQL of op2 on what is left."""
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+    sf = SF
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    model = fit_quality(labelled_texts(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), F.col("doc_id").isNotNull()))
+    texts = {i: r.text for i, r in docs.items() if model.scores([r.text])[0] >= queries.GOOD}
+    classes = brute_classes(texts)
+    texts = brute_removed({i: t for i, t in texts.items() if not (t or "").split() or classes[i][0] == i})
+    texts = {i: t for i, t in texts.items() if (t or "").encode().split()}
+    spark.createDataFrame([(i, t, docs[i].source) for i, t in texts.items()], "doc_id bigint, text string, source string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    copies = {i: taken // size for i, size, taken in db.sql(f"select doc_id, size, taken from ({queries.ORACLE_SQL['op2_mixing']})").fetchall()}
+    e, want = WordEncoder(default_path()), collections.Counter()
+    for i, t in texts.items():
+        ids = np.append(e.encode([t])[0], 0).astype("<u4")
+        for n, s in enumerate(range(0, len(ids), 2048)):
+            want[i, n, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())] += copies[i]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == +want
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for held in by.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
