@@ -63,44 +63,74 @@ def _place_for(n: int, room: int, there: list[int], lengths: np.ndarray) -> list
     return best and best[1]
 
 
+def _gains(there: list[int], lengths: np.ndarray, size: int) -> np.ndarray:
+    """For each length up to size: would the bin gain by it, that is, does `_place_for` find a place?
+
+    A bin with this room takes n if n is in (s, s + room] for s = 0, the length of a document or the sum of two. Different
+    lengths in a bin are at most about the square root of twice its size, so sums are few.
+    """
+    held, n = np.unique(lengths[there], return_counts=True)
+    i, j = np.triu_indices(len(held))
+    sums = held[i] + held[j]
+    sums = np.concatenate([[0], held, sums[(i != j) | (n[i] > 1)]])
+    steps = np.bincount(sums + 1, minlength=size + 2) - np.bincount(sums + 1 + size - int(held @ n), minlength=size + 2)
+    return np.cumsum(steps)[: size + 1] > 0
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges between underfull bins until as few bins are left as the lengths allow,
-    or nothing changes any more.
-
-    From the emptiest bin each document, longest first, goes to the first bin, fullest first, that gains tokens by taking
-    it: into its room, or in the place of one or two together shorter documents, which come back. The receiving bin is at
-    least as full as the giving one, so every step increases the sum of squared fills, and the search ends. A bin that
-    becomes empty is dropped. Full bins take no part.
+    or no underfull bin can give anything.
+
+    From each bin, emptiest first, each document, longest first, goes to the first bin, fullest first, that gains tokens by
+    taking it: into its room, or in the place of one or two together shorter documents, which come back. The receiving bin
+    is at least as full as the giving one, so every step increases the sum of squared fills, and the search ends. A sweep
+    tries every underfull bin as giver: an exchange between fuller ones can open the room that the emptiest needs. A bin
+    that becomes empty is dropped. Full bins take no part. Which bins gain by which length is kept in a table, so that a
+    document is tried on all bins at once.
     """
-    fill = {b: int(sum(lengths[k] for k in items)) for b, items in enumerate(bins)}
-    items = {b: list(x) for b, x in enumerate(bins)}
     fewest = -(-int(lengths.sum()) // size)
+    if len(bins) <= fewest:
+        return bins
+    items = [list(x) for x in bins]
+    fill = np.array([lengths[x].sum() for x in items], np.int64)
+    at = np.flatnonzero(fill < size)
+    whole = [x for x, f in zip(items, fill.tolist(), strict=True) if f >= size]
+    items, fill = [items[b] for b in at], fill[at]
+    # A row for each length that occurs, a column for each bin; never true for full and dropped bins.
+    row = {n: r for r, n in enumerate(np.unique(lengths).tolist())}
+    used = np.array(list(row))
+    gains = np.empty((len(used), len(items)), bool)
+    for b, x in enumerate(items):
+        gains[:, b] = _gains(x, lengths, size)[used]
+    left = len(whole) + len(items)
     changed = True
-    while changed and len(items) > fewest:
+    while changed and left > fewest:
         changed = False
-        for low in sorted((b for b in items if fill[b] < size), key=lambda b: fill[b]):
-            if len(items) <= fewest:
+        for low in np.argsort(fill, kind="stable").tolist():
+            if left <= fewest:
                 break
+            if not items[low] or fill[low] >= size:
+                continue
             for k in sorted(items[low], key=lambda k: -lengths[k]):
                 n = int(lengths[k])
-                for high in sorted((b for b in items if b != low and fill[low] <= fill[b] < size), key=lambda b: -fill[b]):
-                    out = _place_for(n, size - fill[high], items[high], lengths)
-                    if out is None:
-                        continue
-                    back = int(sum(lengths[j] for j in out))
-                    items[low] = [j for j in items[low] if j != k] + out
-                    items[high] = [j for j in items[high] if j not in out] + [k]
-                    fill[high] += n - back
-                    fill[low] -= n - back
-                    changed = True
-                    break
+                takes = gains[row[n]] & (fill >= fill[low])
+                takes[low] = False
+                high = int(np.argmax(np.where(takes, fill, -1)))
+                if not takes[high]:
+                    continue
+                out = _place_for(n, size - int(fill[high]), items[high], lengths)
+                more = n - int(sum(lengths[j] for j in out))
+                items[low] = [j for j in items[low] if j != k] + out
+                items[high] = [j for j in items[high] if j not in out] + [k]
+                fill[high] += more
+                fill[low] -= more
+                for b in (low, high):
+                    gains[:, b] = _gains(items[b], lengths, size)[used] if items[b] and fill[b] < size else False
+                changed = True
                 if not items[low]:
+                    left -= 1
                     break
-            if not items[low]:
-                del items[low], fill[low]
-            elif not changed:
-                break  # the emptiest bin can give nothing: fuller ones would gain less
-    return list(items.values())
+    return whole + [x for x in items if x]
 
 
 def pieces_of(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

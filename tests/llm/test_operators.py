@@ -140,6 +140,14 @@ def test_packing(spark, odd, none):
     assert sum(len(r.ids) for r in whole) == sum(r.length for r in held if r.doc_id in (1, 2, 7))
 
 
+def test_packing_tries_every_giver():
+    # {3} can give nothing; a 4 of {4, 4} for a 3 of {3, 3, 3} opens the room that it needs
+    lengths = np.array([4, 4, 3, 3, 3, 3])
+    assert len(best_fit(lengths, 10)) == 3
+    bins = local_search(best_fit(lengths, 10), lengths, 10)
+    assert sorted(k for b in bins for k in b) == list(range(6)) and [lengths[b].sum() for b in bins] == [10, 10]
+
+
 def test_encoder_equals_library():
     e = WordEncoder(default_path())
     texts = [r[1] or "" for r in ROWS] + ["a<|startoftext|>b", "É é́ ﬁ  it's 12ab", "Word. WORD word?! wOrd's. ©. a&&&. é. ß.\u0338 x.\u0338 y\u0301. <|ENDOFTEXT|>. <|endoftext|>a. I'S. ... 12. ..a, ΑΣ. a.b."]
