@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.llm.common import cut, small_batches, tidy
@@ -168,19 +168,37 @@ def pieces_of(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str
     return own.mapInArrow(split, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else ""))
 
 
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Add `_number`: 0, 1, ... over the rows of a key, whatever partitions hold them.
+
+    Rows are numbered inside their partition, and go on from the counts of the key's partitions before it; so no task meets
+    all rows of a key. `rows` must come from a checkpoint, whose partitions stay.
+    """
+    held = rows.withColumn("_part", F.spark_partition_id())
+    counts = held.groupBy(key, "_part").agg(F.count("*").alias("_before"))
+    before = F.sum("_before").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    later = counts.withColumn("_before", before).filter("_before is not null")
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_part")) - 1
+    found = held.withColumn("_number", inside).join(later, [key, "_part"], "left")
+    return found.withColumn("_number", F.col("_number") + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+
+
 def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", group: int = GROUP) -> DataFrame:
     """Add `sequence_id` and `offset` to pieces (columns as of `pieces_of`, others stay).
 
     Full pieces are sequences of their own. The others are dealt by hash to groups of about `group` pieces; each group is
     packed in one task by best fit and local search. So every group but for its last bins is dense, and the loss against
-    packing all together is a bin or so a group. Repeated rows are pieces of their own. Placing is deterministic.
+    packing all together is a bin or so a group. Repeated rows are pieces of their own, numbered for the hash, so that
+    they are dealt to all groups however many they are. Placing is deterministic.
     """
     names = pieces.columns
     held = cut(pieces.withColumn("_full", F.col("length") >= size))
     rest = held.filter("not _full")
     groups = max(1, round(rest.count() / group))
     # pandas would turn ids with nulls into floats, so ids travel as text
-    dealt = rest.withColumn(id_col, F.col(id_col).cast("string")).withColumn("_group", F.pmod(F.xxhash64(F.col(id_col), "piece", "ids_crc32"), F.lit(groups)).cast("int")).drop("_full")
+    dealt = rest.withColumn(id_col, F.col(id_col).cast("string")).drop("_full")
+    dealt = _numbered(dealt.withColumn("_hash", F.xxhash64(F.col(id_col), "piece", "ids_crc32")), "_hash")
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_hash", "_number"), F.lit(groups)).cast("int")).drop("_hash", "_number")
 
     def place(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["length", "ids_crc32", "piece", id_col], ascending=[False, True, True, True]).reset_index(drop=True)

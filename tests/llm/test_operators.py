@@ -148,6 +148,17 @@ def test_packing_tries_every_giver():
     assert sorted(k for b in bins for k in b) == list(range(6)) and [lengths[b].sum() for b in bins] == [10, 10]
 
 
+def test_packing_spreads_repeated_rows(spark):
+    rows = [(None, 0, 0, 10, 5)] * 300 + [(k, 0, 0, 10, k) for k in range(100)]
+    placed = []
+    for parts in (3, 5):
+        held = pack(spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint").repartition(parts), 100, group=40).collect()
+        assert collections.Counter(tuple(r)[:5] for r in held) == collections.Counter(rows)
+        assert max(collections.Counter(r.sequence_id >> 32 for r in held).values()) < 80
+        placed.append(sorted((r.sequence_id, r.offset, r.ids_crc32) for r in held))
+    assert placed[0] == placed[1]
+
+
 def test_encoder_equals_library():
     e = WordEncoder(default_path())
     texts = [r[1] or "" for r in ROWS] + ["a<|startoftext|>b", "É é́ ﬁ  it's 12ab", "Word. WORD word?! wOrd's. ©. a&&&. é. ß.\u0338 x.\u0338 y\u0301. <|ENDOFTEXT|>. <|endoftext|>a. I'S. ... 12. ..a, ΑΣ. a.b."]
