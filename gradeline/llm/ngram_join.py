@@ -154,12 +154,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     label = F.when(small, F.pmod(F.xxhash64("component"), F.lit(tasks_of_small)).cast("string")).otherwise(F.hex("component"))
     members = members.select(F.col("node").alias("_key"), label.alias("label"), "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     members = members.select("_key", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    loaded = members.join(nodes.select("_key", "first_id", "copies", "bands"), "_key")
-    texts = own.select("_key", "_id", "_text")
-    loaded = loaded.join(texts, (loaded["_key"] == texts["_key"]) & loaded["first_id"].eqNullSafe(texts["_id"])).select(loaded["_key"], "label", "low", "high", "block", "copies", "bands", "_text")
+    loaded = members.join(nodes.select("_key", "copies", "bands"), "_key")
+    # One row per text, reduced before the exchange: copies and repeated rows meet in no task.
+    loaded = loaded.join(own.groupBy("_key").agg(F.first("_text").alias("_text")), "_key")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.drop_duplicates("_key").reset_index(drop=True)
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(t, n) for t in g["_text"]]
         i, j = verified(np.stack(g["bands"].to_numpy()), g["block"].to_numpy(), sets, threshold, bool(g["low"][0] != g["high"][0]))
         root, weight, add = roots_of(len(g), i, j), g["copies"].to_numpy(np.int64), np.zeros(len(g), np.int64)

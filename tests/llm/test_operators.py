@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from gradeline.llm import queries
@@ -117,6 +118,17 @@ def test_ngram_join(spark, odd, none):
     assert 1 - (1 - 0.8**per) ** bands >= 0.999
 
 
+def test_ngram_join_sends_a_text_once(spark, monkeypatch):
+    base = [f"w{k}" for k in range(100)]
+    texts = {"a": " ".join(base), "b": " ".join([*base[:-1], "other"])}
+    rows = [(None, texts["a"])] * 40 + [(5, texts["a"])] * 20 + [(6, texts["b"])]
+    sent, send = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: sent.append(self._df.count()) or send(self, *a))
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 5, 60, 40), (5, 5, 60, 20), (6, 5, 60, 1)], key=str)
+    assert sent == [2]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
