@@ -20,7 +20,7 @@ DEFAULT_RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/"
 BLOCK_WORDS = tuple("adult porn sex xxx casino casinos bet bets betting poker slots gambling pills pharma viagra cialis spam farm ads track tracker tracking popup malware phishing warez crack keygen torrent escort loan loans payday cheap free win jackpot replica".split())
 ALLOW_WORDS = tuple("blog news wiki docs library museum school university college research science journal health weather forum guide help learn edu gov archive history music books recipes travel sport".split())
 
-#: Longest word that the search tries inside a run of letters.
+#: Longest pieces of a run that are all looked up; a longer word is found by its first LONGEST letters.
 LONGEST = 24
 
 
@@ -53,14 +53,29 @@ def page_words(html: Column) -> Column:
 
 
 def _viterbi(text: str, logp: dict[str, float], unseen: float) -> list[str]:
-    """The split with the highest sum of log probabilities; an unseen piece costs `unseen` a letter. Ties: fewer pieces."""
+    """The split with the highest sum of log probabilities; an unseen piece costs `unseen` a letter. Ties: fewer pieces.
+
+    Pieces of any length are tried. Of starts more than LONGEST letters back the best for an unseen piece is carried along,
+    as each further letter costs the same for all; known words that long are tried one by one.
+    """
     best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    long = sorted({len(w) for w in logp if len(w) > LONGEST})
+    far: int | None = None
+
+    def piece(start: int, end: int, p: float | None) -> tuple[float, int, int]:
+        return best[start][0] + (unseen * (1 + end - start) if p is None else p), -best[start][1] - 1, start
+
     for end in range(1, len(text) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST), end):
-            p = logp.get(text[start:end])
-            p = unseen * (1 + end - start) if p is None else p
-            options.append((best[start][0] + p, -best[start][1] - 1, start))
+        options = [piece(start, end, logp.get(text[start:end])) for start in range(max(0, end - LONGEST), end)]
+        if end > LONGEST:
+            gone = piece(end - LONGEST - 1, end, None)
+            if far is not None:
+                gone = max(gone, piece(far, end, None))
+            far = gone[2]
+            options.append(gone)
+            for n in long:
+                if n <= end and text[end - n : end] in logp:
+                    options.append(piece(end - n, end, logp[text[end - n : end]]))
         score, pieces, start = max(options)
         best.append((score, -pieces, start))
     out, end = [], len(text)
@@ -74,12 +89,16 @@ def _viterbi(text: str, logp: dict[str, float], unseen: float) -> list[str]:
 def segment(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """`run` -> `pieces` for distinct runs of letters, by Viterbi over unigram counts (`word`, `n`).
 
-    Every substring of a run of at most LONGEST letters meets its count in a join, and each run gathers only its own
-    known substrings; so neither vocabulary nor runs are broadcast. Very long runs cost LONGEST substrings a letter.
+    Every substring of a run of at most LONGEST letters meets the words that begin with it (a shorter word: that are it) in
+    a join, longer words are kept where the run holds them whole, and each run gathers only its own known substrings; so
+    neither vocabulary nor runs are broadcast, and words of any length are found. Very long runs cost LONGEST substrings a
+    letter.
     """
     spans = names.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("_a"))
-    spans = spans.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("_a") + 1)), lambda n: F.substring(F.col("run"), F.col("_a"), n))).alias("word"))
-    known = spans.distinct().join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    spans = spans.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("_a") + 1)), lambda n: F.substring(F.col("run"), F.col("_a"), n))).alias("_start"))
+    begun = counts.withColumn("_start", F.substring("word", 1, LONGEST))
+    known = spans.distinct().join(begun, "_start").filter((F.col("word") == F.col("_start")) | F.col("run").contains(F.col("word")))
+    known = known.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unseen = -math.log(total + 1.0) - 1.0
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

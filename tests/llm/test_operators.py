@@ -11,6 +11,7 @@ from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from gradeline.llm import queries
+from gradeline.llm import url_filter as url_filter_module
 from gradeline.llm.common import held_out
 from gradeline.llm.components import connected_components
 from gradeline.llm.grid_join import near_vectors
@@ -74,6 +75,23 @@ def test_url_filter(spark):
     assert url_filter(pages).count() == 7 and url_filter(pages.filter("false")).count() == 0
 
 
+def all_splits(text):
+    return [[text[:k], *rest] for k in range(1, len(text) + 1) for rest in all_splits(text[k:])] if text else [[]]
+
+
+def test_url_filter_finds_long_words(spark, monkeypatch):
+    word, strange = "donaudampfschifffahrtsgesellschaft", "q" * 60
+    pages = spark.createDataFrame([(1, f"http://alte{word}wien.at/{strange}", f"<p>alte {word} wien {word}x</p>")], "page_id bigint, url string, html string")
+    assert url_filter(pages).first().tokens == ["alte", word, "wien", "at", strange]
+    monkeypatch.setattr(url_filter_module, "LONGEST", 2)
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        text = "".join(rng.choice(list("ab"), 9))
+        logp = {text[a : a + n]: -float(rng.uniform(1, 6)) for a, n in zip(rng.integers(0, 8, 6), rng.integers(1, 7, 6), strict=True)}
+        split, score = url_filter_module._viterbi(text, logp, -7.0), lambda s: sum(logp.get(p, -7.0 * (1 + len(p))) for p in s)
+        assert "".join(split) == text and score(split) == pytest.approx(max(map(score, all_splits(text))))
+
+
 def test_quality(spark, odd, none):
     labels = spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
