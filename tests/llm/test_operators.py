@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from gradeline.llm import queries
+from gradeline.llm import pitman_yor, queries
 from gradeline.llm import url_filter as url_filter_module
 from gradeline.llm.common import held_out
 from gradeline.llm.components import connected_components
@@ -242,6 +242,23 @@ def test_pitman_yor(spark, odd, none):
     assert score_texts(odd, F.lit(False)).filter("n_known > 0").count() == 0
 
 
+def test_pitman_yor_adds_owners(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "OWNER_TOKENS", 100)
+    rng, owners, send = np.random.default_rng(3), [], GroupedData.applyInPandas
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 49)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def count(self, *a):
+        if "tokens" in self._df.columns:
+            owners.append(self._df.select("owner").distinct().count())
+        return send(self, *a)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", count)
+    held = score_texts(docs, F.lit(True)).collect()
+    assert owners == [10]
+    assert sorted(r.doc_id for r in held) == list(range(20)) and all((r.n_tokens, r.n_known, r.train_tokens) == (50, 50, 1000) and r.score < 0 for r in held)
+
+
 def test_pitman_yor_prefers_seen_pairs(spark):
     """Of words after one context the seen one scores best, a known one next, an unknown one last."""
     train = [(k, "a b a c a b", True) for k in range(3)] + [(9, "b c d", True)]
