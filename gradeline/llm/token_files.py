@@ -134,12 +134,9 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
             for b in batches:
                 if index is None:
                     index = pa.ipc.new_file(places, index_schema(b, id_col))
-                start, n = [], []
-                for k in range(0, b.num_rows, 256):
-                    for ids in enc.encode(b.column("_text").slice(k, 256).to_pylist()):
-                        start.append(writer.total)
-                        n.append(len(ids) + 1)
-                        writer.add(np.append(ids, np.array([end_id], enc.dtype)))
+                ids, at = enc.encode_ended(b.column("_text"), end_id)
+                start, n = writer.total + at[:-1], np.diff(at)
+                writer.add(ids)
                 index.write_batch(pa.RecordBatch.from_arrays([b.column("_id"), pa.array(start, pa.int64()), pa.array(n, pa.int64())], schema=index_schema(b, id_col)))
                 n_docs += b.num_rows
             writer.flush(True)
