@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut, held_out, read
+from gradeline.llm.common import cut, held_out, join_copies, read
 from gradeline.llm.grid_join import near_vectors
 from gradeline.llm.mixing import mix_plan
 from gradeline.llm.ngram_join import jaccard_classes
@@ -64,11 +64,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = repeated_words(docs).select("text_key", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    found = repeated_words(docs).select("text_key", "copies", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
     found = cut(found)
     keyed = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"))
     zero = F.lit(0).cast("long")
-    return keyed.join(found, "text_key", "left").select("doc_id", F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("kept_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("kept_sha256"))
+    return join_copies(keyed, found, "text_key", "copies", "left").select("doc_id", F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("kept_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("kept_sha256"))
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
