@@ -9,16 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut
+from gradeline.llm.common import cut, join_copies
 
 BLOCK, ALLOW = "block", "allow"
 
 #: (rule, verdict): a host with a path prefix. A rule fits the host and all its subdomains.
 DEFAULT_RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
 
-#: Seed words: a page whose segmented tokens hold one is a labelled row; each also counts once for its class.
+#: A page whose visible text holds one of these words is a labelled row of the class block; other pages with text are of allow.
 BLOCK_WORDS = tuple("adult porn sex xxx casino casinos bet bets betting poker slots gambling pills pharma viagra cialis spam farm ads track tracker tracking popup malware phishing warez crack keygen torrent escort loan loans payday cheap free win jackpot replica".split())
-ALLOW_WORDS = tuple("blog news wiki docs library museum school university college research science journal health weather forum guide help learn edu gov archive history music books recipes travel sport".split())
 
 #: Longest pieces of a run that are all looked up; a longer word is found by its first LONGEST letters.
 LONGEST = 24
@@ -32,7 +31,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, else null; equally long rules in the order given."""
+    """(rule, verdict) of the longest rule that fits, else null; of equally long ones the last given."""
     rule = verdict = F.lit(None).cast("string")
     for text, what in sorted(rules, key=lambda r: len(r[0])):
         domain, _, rest = text.partition("/")
@@ -47,9 +46,9 @@ def runs(text: Column) -> Column:
 
 
 def page_words(html: Column) -> Column:
-    """Lower-cased words of the visible text of a page."""
+    """Lower-cased words of at least two letters of the visible text of a page."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_extract_all(F.lower(bare), F.lit(r"(\p{L}+)"))
+    return F.regexp_extract_all(F.lower(bare), F.lit(r"(\p{L}{2,})"))
 
 
 def _viterbi(text: str, logp: dict[str, float], unseen: float) -> list[str]:
@@ -87,15 +86,16 @@ def _viterbi(text: str, logp: dict[str, float], unseen: float) -> list[str]:
 
 
 def segment(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """`run` -> `pieces` for distinct runs of letters, by Viterbi over unigram counts (`word`, `n`).
+    """`names` (distinct runs of letters `run`, and how many there are, `many`) with `pieces`, by Viterbi over unigram counts
+    (`word`, `n`).
 
-    Every substring of a run of at most LONGEST letters meets the words that begin with it (a shorter word: that are it) in
+    Every substring of a run of 2 to LONGEST letters meets the words that begin with it (a shorter word: that are it) in
     a join, longer words are kept where the run holds them whole, and each run gathers only its own known substrings; so
     neither vocabulary nor runs are broadcast, and words of any length are found. Very long runs cost LONGEST substrings a
     letter.
     """
-    spans = names.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("_a"))
-    spans = spans.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("_a") + 1)), lambda n: F.substring(F.col("run"), F.col("_a"), n))).alias("_start"))
+    spans = names.filter(F.length("run") > 1).select("run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("_a"))
+    spans = spans.select("run", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - F.col("_a") + 1)), lambda n: F.substring(F.col("run"), F.col("_a"), n))).alias("_start"))
     begun = counts.withColumn("_start", F.substring("word", 1, LONGEST))
     known = spans.distinct().join(begun, "_start").filter((F.col("word") == F.col("_start")) | F.col("run").contains(F.col("word")))
     known = known.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
@@ -104,66 +104,57 @@ def segment(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pieces = [_viterbi(r, {x["word"]: math.log(x["n"] / total) for x in k} if k is not None else {}, unseen) for r, k in zip(b["run"], b["known"], strict=True)]
-            yield pd.DataFrame({"run": b["run"], "pieces": pieces})
+            yield pd.DataFrame({"run": b["run"], "many": b["many"], "pieces": pieces})
 
-    return names.join(known, "run", "left").mapInPandas(split, "run string, pieces array<string>")
+    return names.join(known, "run", "left").mapInPandas(split, "run string, many bigint, pieces array<string>")
 
 
-def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES, block_words: tuple[str, ...] = BLOCK_WORDS, allow_words: tuple[str, ...] = ALLOW_WORDS, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES, block_words: tuple[str, ...] = BLOCK_WORDS, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Judge every url: adds `host`, `path`, `rule`, `verdict`, `tokens` and `log_odds` (block over allow).
 
-    1. Unigram counts: words of all pages' visible text, and each seed word once.
+    1. Unigram counts: words of all pages' visible text.
     2. Distinct runs of letters of hosts and paths are split into words (`segment`).
-    3. Labelled rows: pages whose tokens hold block words only, or allow words only. Token counts per class over all of
-       them, plus each seed word once, give multinomial naive Bayes with add-one smoothing and class priors.
+    3. Labelled rows: all pages with visible text; block if it holds a block word, else allow. The labels come from the
+       text, the tokens from the url. Token counts per class over all of them give multinomial naive Bayes with add-one
+       smoothing and class priors.
     4. The rule that fits decides; else block if the log odds are above 0.
 
-    Null urls and urls without `://` have empty host and path and no tokens; the priors decide. Repeated rows are judged
-    alike. Input columns of the added names are replaced. An empty table gives an empty result. Work is per distinct
-    (host, path) shape of runs; the pages themselves are joined once by that shape.
+    Null urls and urls without `://` have empty host and path and no tokens; the priors decide. Pages without text are
+    judged, but teach nothing. Repeated rows are judged alike, and each counts. Of equally long rules the last given wins.
+    Long urls are read whole. Input columns of the added names are replaced, others stay whatever their names. An empty
+    table gives an empty result. Work is per distinct sequence of runs; the pages are joined once by its hash.
     """
     added = ("host", "path", "rule", "verdict", "tokens", "log_odds")
-    pages = pages.drop(*added)
-    host, path = url_parts(F.col(url_col))
-    parsed = pages.withColumns({"host": host, "path": path}).withColumn("_runs", F.concat(runs(F.col("host")), runs(F.col("path"))))
-    rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumns({"rule": rule, "_ruled": ruled})
-
-    spark = pages.sparkSession
-    seeds = spark.createDataFrame([(w, 0) for w in block_words] + [(w, 1) for w in allow_words], "word string, allow int")
-    counts = parsed.select(F.explode(page_words(F.col(html_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = cut(counts.union(seeds.select("word", F.lit(1).cast("long"))).groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0]
-
-    shapes = parsed.groupBy("_runs").agg(F.count("*").alias("n_pages"))
+    outer = [c for c in pages.columns if c not in added]
+    inner = pages.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(outer)])
+    url, html = (F.col(f"c{outer.index(c)}") for c in (url_col, html_col))
+    host, path = url_parts(url)
+    parsed = inner.withColumns({"host": host, "path": path}).withColumn("runs", F.concat(runs(F.col("host")), runs(F.col("path"))))
+    parsed = parsed.withColumn("key", F.unhex(F.md5(F.array_join("runs", " ").cast("binary"))))
+
+    counts = cut(inner.select(F.explode(page_words(html)).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    words = page_words(html)
+    label = F.when(F.size(words) > 0, F.arrays_overlap(words, F.array(*map(F.lit, block_words))))
+    shapes = parsed.withColumn("_block", label).groupBy("key").agg(F.first("runs").alias("runs"), F.count("*").alias("n_pages"), F.count_if(F.col("_block")).alias("b"), F.count_if(~F.col("_block")).alias("a"))
     shapes = cut(shapes)
-    names = shapes.select(F.explode("_runs").alias("run")).filter("run != '0'").distinct()
-    pieces = segment(names, counts, total)
-    # one row per token of a shape, in order
-    listed = shapes.select("_runs", "n_pages", F.posexplode("_runs").alias("at", "run"))
-    tokens = listed.join(pieces, "run", "left").withColumn("pieces", F.coalesce("pieces", F.array("run")))
-    shaped = tokens.groupBy("_runs", "n_pages").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "pieces"))), lambda x: x["pieces"])).alias("tokens"))
-    shaped = cut(shaped)
-
-    is_block = F.arrays_overlap("tokens", F.array(*map(F.lit, block_words)))
-    is_allow = F.arrays_overlap("tokens", F.array(*map(F.lit, allow_words)))
-    labelled = shaped.filter(is_block != is_allow).select("n_pages", "tokens", is_allow.cast("int").alias("allow"))
-    seen = labelled.select("allow", "n_pages", F.explode("tokens").alias("word")).groupBy("word").agg(
-        F.sum(F.when(F.col("allow") == 0, F.col("n_pages")).otherwise(0)).alias("b"), F.sum(F.when(F.col("allow") == 1, F.col("n_pages")).otherwise(0)).alias("a")
-    )
-    seeded = seeds.groupBy("word").agg(F.sum((F.col("allow") == 0).cast("long")).alias("b"), F.sum(F.col("allow").cast("long")).alias("a"))
-    table = cut(seen.union(seeded).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
-    sums = table.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
-    priors = labelled.agg(F.sum(F.when(F.col("allow") == 0, F.col("n_pages")).otherwise(0)), F.sum(F.when(F.col("allow") == 1, F.col("n_pages")).otherwise(0))).first()
-    vocabulary = sums[2] + 1
-    prior = math.log(((priors[0] or 0) + 1) / ((priors[1] or 0) + 1))
-    unseen = math.log((sums[1] + vocabulary) / (sums[0] + vocabulary))
-    weight = F.log((F.col("b") + 1) / F.lit(float(sums[0] + vocabulary))) - F.log((F.col("a") + 1) / F.lit(float(sums[1] + vocabulary)))
-    scored = shaped.select("_runs", "tokens", F.explode_outer("tokens").alias("word")).join(table.select("word", weight.alias("w")), "word", "left")
-    scored = scored.groupBy("_runs").agg(F.first("tokens").alias("tokens"), (F.lit(prior) + F.sum(F.when(F.col("word").isNull(), 0.0).otherwise(F.coalesce("w", F.lit(unseen))))).alias("log_odds"))
-
-    judged = parsed.join(scored.select("_runs", "tokens", F.round("log_odds", 9).alias("log_odds")), "_runs", "left")
-    missing = F.when(F.size("_runs") == 0, F.lit(round(prior, 9)))
-    judged = judged.withColumns({"log_odds": F.coalesce("log_odds", missing), "tokens": F.coalesce("tokens", F.array().cast("array<string>"))})
-    verdict = F.coalesce("_ruled", F.when(F.col("log_odds") > 0, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    return judged.withColumn("verdict", verdict).drop("_runs", "_ruled")
+    names = shapes.select(F.explode("runs").alias("run")).filter("run != '0'").groupBy("run").agg(F.count("*").alias("many"))
+    pieces = cut(segment(names, counts, total))
+    # one row per run of a shape, in order; the commonest runs stand in most shapes
+    listed = join_copies(shapes.select("key", F.posexplode("runs").alias("at", "run")), pieces, "run", "many", "left").withColumn("pieces", F.coalesce("pieces", F.array("run")))
+    tokens = listed.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "pieces"))), lambda x: x["pieces"])).alias("tokens"))
+    shaped = cut(shapes.drop("runs").join(tokens, "key", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))))
+
+    each = shaped.select("key", "b", "a", F.explode("tokens").alias("word"))
+    table = cut(each.groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("many")))
+    known = table.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0)), F.count_if(F.col("a") + F.col("b") > 0)).first()
+    labelled = shaped.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    prior = math.log((labelled[0] + 1) / (labelled[1] + 1))
+    weight = F.log((F.col("b") + 1) / F.lit(float(known[0] + known[2] + 1))) - F.log((F.col("a") + 1) / F.lit(float(known[1] + known[2] + 1)))
+    odds = join_copies(each.select("key", "word"), table.select("word", "many", weight.alias("w")), "word", "many").groupBy("key").agg(F.sum("w").alias("w"))
+    scored = cut(shaped.select("key", "n_pages", "tokens").join(odds, "key", "left").withColumn("log_odds", F.round(F.lit(prior) + F.coalesce("w", F.lit(0.0)), 9)).drop("w"))
+
+    rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
+    verdict = F.coalesce(ruled, F.when(F.col("log_odds") > 0, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
+    judged = join_copies(parsed, scored, "key", "n_pages")
+    return judged.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(outer)], "host", "path", rule.alias("rule"), verdict.alias("verdict"), "tokens", "log_odds")

@@ -2,15 +2,17 @@
 
 import collections
 import math
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from gradeline.llm import pitman_yor, queries, tokens
+from gradeline.llm import ngram_join, pitman_yor, queries, tokens
 from gradeline.llm import url_filter as url_filter_module
 from gradeline.llm.common import Words, held_out
 from gradeline.llm.components import connected_components
@@ -65,14 +67,46 @@ def test_rules(spark, odd, none):
     assert rows[5].n_words == 20_000 and quality_rules(odd).count() == len(ROWS) and quality_rules(none).count() == 0
 
 
+def plain_url_filter(rows):
+    """Segmentation over all splits and Bayes sums by loops; rows of (id, url, html)."""
+    letters = lambda t, n: re.findall(rf"[a-z]{{{n},}}|[0-9]+", t)
+    text = {i: [w for w in letters(re.sub(r"<[^>]*>", " ", h or "").lower(), 2) if w.isalpha()] for i, _, h in rows}
+    counts = collections.Counter(w for i, _, _ in rows for w in text[i])
+    total = sum(counts.values())
+    unseen = -math.log(total + 1) - 1
+
+    def split(run):
+        cost = lambda s: (sum(math.log(counts[p] / total) if p in counts else unseen * (1 + len(p)) for p in s), -len(s))
+        return max(all_splits(run), key=cost)
+
+    tokens = {}
+    for i, url, _ in rows:
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups() if url and "://" in url else ("", "")
+        tokens[i] = [p for part in (host, path) for r in letters(part.lower(), 1) for p in (split(r) if r.isalpha() else ["0"])]
+    block = {i: bool(set(t) & set(url_filter_module.BLOCK_WORDS)) for i, t in text.items() if t}
+    n = {c: collections.Counter(w for i, _, _ in rows if block.get(i) is c for w in tokens[i]) for c in (True, False)}
+    size = len(n[True] + n[False]) + 1
+    pages = {c: sum(block.get(i) is c for i, _, _ in rows) for c in (True, False)}
+    weight = lambda w: math.log((n[True][w] + 1) / (n[True].total() + size)) - math.log((n[False][w] + 1) / (n[False].total() + size))
+    return tokens, {i: math.log((pages[True] + 1) / (pages[False] + 1)) + sum(map(weight, tokens[i])) for i in tokens}
+
+
 def test_url_filter(spark):
-    pages = spark.createDataFrame([(1, "http://A.example.NET/en/x?q", None), (2, None, "<p>cheap pills casino</p>"), (3, "no scheme", ""), (4, "https://casinowin.example.com/de/", "x"), (5, "https://cheappills.test/p#f", "cheap pills"), (5, "https://cheappills.test/p#f", "cheap pills"), (6, "https://blog.site.org/fr/1", "")], "page_id int, url string, html string").withColumn("b", F.lit(1))
-    rows = {r.page_id: r for r in url_filter(pages).collect()}
-    assert (rows[1].host, rows[1].path, rows[1].rule, rows[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
-    assert rows[2].host == rows[3].host == "" and rows[2].rule is None
-    assert (rows[4].rule, rows[4].verdict) == ("example.com/de/", "block") and (rows[6].rule, rows[6].verdict) == ("org/fr/", "allow")
-    assert "pills" in rows[5].tokens and rows[5].verdict == "block"
-    assert url_filter(pages).count() == 7 and url_filter(pages.filter("false")).count() == 0
+    good = [(20 + k, f"http://www.{h}.test/a{k}/news.html", "<p>daily news and garden notes</p>") for k, h in enumerate(["news", "garden", "dailynews", "notes", "newsnotes", "a-b"])]
+    rows = [(1, "http://A.example.NET/en/x?q", None), (2, None, "<p>cheap pills casino</p>"), (3, "no scheme", ""), (4, "https://casinowin.example.com/de/", "x"), (5, "https://cheappills.test/p#f", "<b>cheap</b> pills win"), (5, "https://cheappills.test/p#f", "<b>cheap</b> pills win"), (6, "https://blog.site.org/fr/1", ""), (7, "https://cheapwin.test", None), (8, "https://gardennotes.test/" + "news/" * 300, None), *good]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({"key": F.lit(1), "runs": F.lit(2), "word": F.lit(3), "host": F.lit(4), "c0": F.lit(5)})
+    rows_ = {r.page_id: r for r in url_filter(pages).collect()}
+    assert (rows_[1].host, rows_[1].path, rows_[1].rule, rows_[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert rows_[2].host == rows_[3].host == "" and rows_[2].rule is None
+    assert (rows_[4].rule, rows_[4].verdict) == ("example.com/de/", "block") and (rows_[6].rule, rows_[6].verdict) == ("org/fr/", "allow")
+    # 7 and 8 are held out: they teach nothing, their hosts are new, their words are not
+    assert rows_[5].tokens[:2] == ["cheap", "pills"] and rows_[5].verdict == rows_[7].verdict == "block" and rows_[8].verdict == "allow"
+    assert url_filter(pages).count() == len(rows) and url_filter(pages.filter("false")).count() == 0
+    assert sorted(url_filter(pages).columns) == sorted({*pages.columns, "path", "rule", "verdict", "tokens", "log_odds"}) and rows_[5]["key"] == 1 and rows_[5]["c0"] == 5
+    tokens, odds = plain_url_filter(rows)
+    assert {i: r.tokens for i, r in rows_.items()} == tokens and {i: r.log_odds for i, r in rows_.items()} == pytest.approx(odds)
+    ties = [("a.test/", "allow"), ("a.test/", "block")]
+    assert [url_filter(spark.createDataFrame([(1, "http://a.test/", "x")], "page_id int, url string, html string"), rules=r).first().verdict for r in (ties, ties[::-1])] == ["block", "allow"]
 
 
 def all_splits(text):
@@ -136,6 +170,19 @@ def test_ngram_join(spark, odd, none):
     assert 1 - (1 - 0.8**per) ** bands >= 0.999
 
 
+def test_ngram_join_by_bucket(spark, monkeypatch):
+    """Labels of several blocks, and labels so wide that they are compared bucket by bucket, lose and repeat no link."""
+    rng = np.random.default_rng(9)
+    base = [f"t{k}" for k in range(90)]
+    texts = {k: " ".join(f"v{k}x{j}" if rng.random() < 0.025 else w for j, w in enumerate(base[:60 + 3 * (k % 11)])) for k in range(70)}
+    df, expected = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), brute_classes(texts)
+    assert 1 < len({c for c, _ in expected.values()}) < 70
+    for block, wide in ((8, 100), (8, 1), (100, 0)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "WIDE", wide)
+        assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(df, recall=0.99999).collect()} == expected
+
+
 def test_ngram_join_sends_a_text_once(spark, monkeypatch):
     base = [f"w{k}" for k in range(100)]
     texts = {"a": " ".join(base), "b": " ".join([*base[:-1], "other"])}
@@ -273,10 +320,10 @@ def plain_seat(c, others, share, d, key, sweep):
 def plain_scores(texts, learn, shards):
     """The sampler with one dictionary for each restaurant, one customer at a time. texts: lists of hashes."""
     start, end = pitman_yor.START, pitman_yor.END
-    rows = [[(([start, start] + t)[k], ([start, start] + t)[k + 1], w) for k, w in enumerate(t)] for t in ([*t, end] for t in texts)]
+    rows = [[(mix(([start, start] + t)[k]) >> 48, ([start, start] + t)[k + 1], w >> 24) for k, w in enumerate(t)] for t in ([*t, end] for t in texts)]
     seen = collections.Counter(x[2] for r, l in zip(rows, learn, strict=True) if l for x in r)
     base = lambda w: (seen[w] + 1) / (sum(seen.values()) + len(seen) + 1)
-    part = lambda u, v: mix(u) % shards.get(v, 1)
+    part = lambda u, v: u % shards.get(v, 1)
     c2 = collections.Counter(x for r, l in zip(rows, learn, strict=True) if l for x in r)
     t2 = dict.fromkeys(c2, 1)
 
@@ -334,7 +381,7 @@ def test_pitman_yor_equals_plain_sampler(spark, monkeypatch, owner_tokens):
     hashed = [Words(pa.array([t])).hashes(lower=True).tolist() for t in texts]
     every = collections.Counter(w for t in hashed for w in [*t, pitman_yor.START, pitman_yor.END])
     limit = owner_tokens // 2
-    expected = plain_scores(hashed, learn, {w: -(-n // limit) for w, n in every.items() if n > limit})
+    expected = plain_scores(hashed, learn, {w: -(-n // limit) for w, n in every.items() if n > limit and w != pitman_yor.END})
     docs = spark.createDataFrame(list(zip(range(len(texts)), texts, learn, strict=True)), "doc_id bigint, text string, t boolean")
     for parts in (4, 16):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -354,7 +401,7 @@ def test_pitman_yor_sums_to_one():
     base[3:9], base[9] = 0, 1 - base[:3].sum()
     ask = np.arange(10)
     rows = [np.concatenate([x, np.full(10, y)]) for x, y in ((u, 1), (v, 2))] + [np.concatenate([w, ask])]
-    found = pitman_yor.log_probabilities(*rows, np.repeat([1, 0], [400, 10]), words, np.maximum(base, 1e-300), np.ones(10, np.int64))
+    found = pitman_yor.log_probabilities(*rows, np.repeat([1, 0], [400, 10]), words, words, np.maximum(base, 1e-300), np.ones(10, np.int64))
     assert (10 ** found[400:]).sum() == pytest.approx(1)
 
 
