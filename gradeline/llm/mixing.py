@@ -47,7 +47,8 @@ def seed_shifts(sizes: DataFrame, rates: DataFrame, steps: int) -> DataFrame:
 
     sizes has the words of each (`_source`, `_step`), a step being 1/steps of the circle of draws. Of all shifts the one
     is chosen whose interval holds words nearest to the fraction of the source; of equals the first. So a few very long
-    documents don't carry a source far from its target, and each document's chance stays the fraction.
+    documents don't carry a source far from its target. The interval's length is the fraction, whatever the shift; as draws
+    are hashes of seed, id and text, over many seeds each document gets its extra copy about so often (see the test).
     """
     part = F.col("_rate") - F.floor("_rate")
     grid = rates.select("_source", "_source_size", part.alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(2 * steps))).alias("_at"))
@@ -67,16 +68,18 @@ def draw(seed: int, doc_id: Column, text: Column) -> Column:
 
 
 def _planned(docs: DataFrame, seed: int, cap: float, text_col: str, source_col: str, id_col: str) -> DataFrame:
-    sized = docs.withColumns({"_size": word_count(F.col(text_col)), "_draw": draw(seed, F.col(id_col), F.col(text_col))})
-    sizes = cut(sized.groupBy(F.col(source_col).alias("_source"), F.floor(F.col("_draw") * STEPS).cast("int").alias("_step")).agg(F.sum("_size").alias("_size")))
+    """The input's columns as c0, c1, ... beside `_size`, `_source_size`, `_target` and `_copies`."""
+    text, source, id_ = (F.col(f"c{docs.columns.index(c)}") for c in (text_col, source_col, id_col))
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    sized = inner.withColumns({"_size": word_count(text), "_draw": draw(seed, id_, text), "_from": source})
+    sizes = cut(sized.groupBy(F.col("_from").alias("_source"), F.floor(F.col("_draw") * STEPS).cast("int").alias("_step")).agg(F.sum("_size").alias("_size")))
     rates = cut(seed_shifts(sizes, source_rates(sizes, cap), STEPS))
     same = F.col("_from").eqNullSafe(F.col("_source"))
     if rates.count() <= BROADCAST_SOURCES:
-        joined = sized.withColumn("_from", F.col(source_col)).join(F.broadcast(rates), same, "left")
+        joined = sized.join(F.broadcast(rates), same, "left")
     else:
-        salt = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")
         wide = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumns({"_from": F.col(source_col), "_mine": salt}).join(wide, same & (F.col("_mine") == F.col("_salt")), "left").drop("_mine", "_salt")
+        joined = sized.withColumn("_mine", F.pmod(F.xxhash64(id_, text), F.lit(SALTS)).cast("int")).join(wide, same & (F.col("_mine") == F.col("_salt")), "left")
     whole = F.floor("_rate")
     turned = F.col("_draw") - F.col("_shift") / F.lit(float(STEPS))
     extra = turned + F.when(turned < 0, 1.0).otherwise(0.0) < F.col("_rate") - whole
@@ -88,14 +91,15 @@ def mix_plan(docs: DataFrame, seed: int = 17, cap: float = 3.0, text_col: str =
 
     A null text has size 0; a null source is a source of its own. Documents without words are taken like others, at no
     words. Equal rows get equal numbers of copies. An empty table gives an empty result. Input columns named size,
-    source_size, target or copies are replaced.
+    source_size, target or copies are replaced, others stay whatever their names. Sources meet in one ordered window, one
+    row each, so there may be thousands or millions of them, not as many as documents.
     """
     added = {"size": "_size", "source_size": "_source_size", "target": "_target", "copies": "_copies"}
     plan = _planned(docs, seed, cap, text_col, source_col, id_col)
-    return plan.select(*[c for c in docs.columns if c not in added], *[F.col(v).alias(k) for k, v in added.items()])
+    return plan.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in added], *[F.col(v).alias(k) for k, v in added.items()])
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, cap: float = 3.0, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The mix itself, with the columns of `docs`: each document repeated as `mix_plan` says, those with 0 copies left out."""
     plan = _planned(docs, seed, cap, text_col, source_col, id_col).filter("_copies > 0")
-    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -170,7 +170,10 @@ def sample_labels(labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "do
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Add the score of each whole text, 0 to 1. Null and blank texts have no n-grams and get the curve's value there."""
+    """Add the score of each whole text, 0 to 1. Null and blank texts have no n-grams and get the curve's value there.
+
+    Rows stay, repeated ones alike; a column named like the score is replaced, others stay whatever their names. An empty
+    table gives an empty result."""
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != score_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,6 +189,9 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_c
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Texts of the usable labelled rows, at most about fit_rows of them: a list of ids of that bound is sent to the scan."""
-    chosen = sample_labels(labels.filter(usable & F.col(label_col).isin(0, 1)).select("doc_id", label_col).dropDuplicates(["doc_id"]), fit_rows)
+    """Texts of the usable labelled rows, at most about fit_rows of them: a list of ids of that bound is sent to the scan.
+
+    Null ids and labels other than 0 and 1 don't count; a document with both labels has the lower one."""
+    usable = usable & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)
+    chosen = sample_labels(labels.filter(usable).groupBy("doc_id").agg(F.min(label_col).alias(label_col)), fit_rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -17,6 +17,8 @@ STOP_WORDS = (
     "el los las del y que en un una por con no se para como su al lo más pero sus este esta"
 ).split()
 
+#: The columns that `measures` adds.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words", "n_lines", "n_ellipsis_lines", "n_bullet_lines")
 SYMBOLS = "#*$%&|<>"
 GRAM = 8
 
@@ -48,13 +50,16 @@ def _removed(text: Column, chars: str) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the counts that the rules use. A null text counts as empty. All columns stay; `_`-names are internal.
+    """Add the counts that the rules use. A null text counts as empty. All columns stay; those named like a count are replaced.
 
     Words of 8-word windows that occur twice or more in a text are found by sorting the windows' 64-bit hashes, so a
     text of n words costs n log n steps, not n squared.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumns({"_text": text, "_words": word_array(F.col(text_col)), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    outer = [c for c in docs.columns if c not in COUNTS]
+    df = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(outer)])
+    given = F.col(f"c{outer.index(text_col)}")
+    text = F.coalesce(given, F.lit(""))
+    df = df.withColumns({"_text": text, "_words": word_array(given), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     starts = F.sequence(F.lit(1), F.size("_words") - GRAM + 1)
     df = df.withColumn("_grams", F.when(F.size("_words") >= GRAM, F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, GRAM)))).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn(
@@ -84,7 +89,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
         "n_bullet_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•]"))),
     }
-    return df.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_text", "_words", "_lines", "_grams", "_sorted", "_at")
+    return df.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(outer)], *[v.cast("long").alias(k) for k, v in counts.items()])
 
 
 def verdict(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -109,8 +114,7 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text
     words and so fails. Long texts are read whole. Repeated rows are judged alike, each for itself; an empty table gives
     an empty result. Input columns of the same names are replaced.
     """
-    clash = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words", "n_lines", "n_ellipsis_lines", "n_bullet_lines"]
-    df = measures(docs.drop(*clash), text_col)
+    df = measures(docs, text_col)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept, names = verdict(rules)
     return df.withColumns({"base_failed": base, "failed_rules": names}).withColumn("kept", ~F.col("base_failed") & kept)

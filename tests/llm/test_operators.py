@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
-from gradeline.llm import ngram_join, pitman_yor, queries, tokens
+from gradeline.llm import mixing, ngram_join, pitman_yor, queries, tokens
 from gradeline.llm import url_filter as url_filter_module
 from gradeline.llm.common import Words, held_out
 from gradeline.llm.components import connected_components
@@ -21,7 +21,7 @@ from gradeline.llm.mixing import mix_plan, mix_sources
 from gradeline.llm.ngram_join import choose_bands, drop_near_copies, jaccard_classes
 from gradeline.llm.packing import best_fit, local_search, pack, packed_sequences, pieces_of
 from gradeline.llm.pitman_yor import score_texts
-from gradeline.llm.quality import fit_quality, labelled_texts, score_quality
+from gradeline.llm.quality import descend, fit_quality, labelled_texts, score_quality
 from gradeline.llm.rules import quality_rules
 from gradeline.llm.substring import first_minima, remove_repeats, repeated_words
 from gradeline.llm.token_files import TokenFile, read_token_files, write_token_files
@@ -37,7 +37,7 @@ ROWS = [(1, "the cat sat on the mat and looked at the dog " * 3, "en", "a", 1),
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, blanks, a long text, repeated rows, and columns whose names operators use themselves."""
-    return spark.createDataFrame(ROWS, DOCS).withColumns({"size": F.lit("s"), "component": F.lit("c"), "links": F.lit(1), "key": F.lit("k"), "label": F.lit("l"), "score": F.lit("z"), "kept": F.lit("y"), "piece": F.lit("p")})
+    return spark.createDataFrame(ROWS, DOCS).withColumns({"size": F.lit("s"), "component": F.lit("c"), "links": F.lit(1), "key": F.lit("k"), "label": F.lit("l"), "score": F.lit("z"), "kept": F.lit("y"), "piece": F.lit("p"), "_source": F.lit(1), "text_key": F.lit(2), "_text": F.lit(3), "_words": F.lit(4), "_id": F.lit(5), "_key": F.lit(6), "_copies": F.lit(7), "c0": F.lit(8), "c1": F.lit(9), "rows": F.lit(0)})
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +49,7 @@ def docs_of(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
 
 
-def test_mixing(spark, odd, none):
+def test_mixing(spark, odd, none, monkeypatch):
     plan = mix_plan(odd)
     rows = plan.select("doc_id", F.col("size"), "source_size", "target", "copies").collect()
     assert len(rows) == len(ROWS) and all(0 <= r.copies <= 3 for r in rows)
@@ -58,6 +58,21 @@ def test_mixing(spark, odd, none):
     assert mix_sources(odd).count() == sum(r.copies for r in rows)
     assert sorted(map(str, mix_plan(odd).select("doc_id", "copies").collect())) == sorted(map(str, plan.select("doc_id", "copies").collect()))
     assert mix_plan(none).count() == mix_sources(none).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mix_plan(odd).select("doc_id", "size", "target", "copies").collect())) == sorted(map(str, plan.select("doc_id", "size", "target", "copies").collect()))
+
+
+def test_mixing_chances(spark):
+    """Over many seeds a document gets its extra copy about as often as its source's fraction says."""
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 9), "ab"[k % 2]) for k in range(60)], "doc_id long, text string, source string")
+    seeds = 20
+    plans = [mix_plan(docs, seed=k) for k in range(seeds)]
+    rows = [r for p in plans for r in p.collect()]
+    for source in (0, 1):
+        mine = [r for r in rows if r.doc_id % 2 == source]
+        rate = mine[0].target / mine[0].source_size
+        assert np.mean([r.copies for r in mine]) == pytest.approx(rate, abs=0.06)
+        assert all({r.copies for r in mine if r.doc_id == k} <= {math.floor(rate), math.ceil(rate)} for k in range(60))
 
 
 def test_rules(spark, odd, none):
@@ -155,6 +170,29 @@ def brute_classes(texts):
     return {i: (root[i], len(links[i])) for i in texts}
 
 
+def test_quality_solver():
+    """Coordinate descent ends where projected gradient steps on the dense dual problem end."""
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 7), replace=False)) for _ in range(30)]
+    y, ratio = np.where(rng.random(30) < 0.4, 1.0, -1.0), rng.normal(size=12)
+    x = np.zeros((30, 13))
+    for k, r in enumerate(rows):
+        x[k, r], x[k, 12] = ratio[r] / np.sqrt(len(r)), 1
+    upper = np.where(y > 0, 30 / (2 * (y > 0).sum()), 30 / (2 * (y < 0).sum()))
+    q, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(30)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, upper)
+    w = (alpha * y) @ x
+    got, bias = descend(rows, y, ratio, 1.0, 3000)
+    assert np.append(got, bias) == pytest.approx(np.append(w[:12] * ratio, w[12]), abs=1e-3)
+
+
+def test_quality_label_ties(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (2, None), (None, 1), (3, 0)], "doc_id long, quality int")
+    assert sorted(map(tuple, labelled_texts(docs, labels, F.lit(True)).collect())) == [(1, "a", 0), (2, "b", 1)]
+
+
 def test_ngram_join(spark, odd, none):
     texts = {r.doc_id: r.text for r in docs_of(spark).collect()}
     base = [f"t{k}" for k in range(120)]
