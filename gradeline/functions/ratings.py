@@ -50,17 +50,20 @@ def share(part: Column, whole: Column, digits: int = 1) -> Column:
 def decode_dms(lat: Column, lon: Column) -> dict[str, Column]:
     """`lat`, `lon` in degrees and `fault` from DDMMSSss and DDDMMSSss text; longitude is published west-positive.
 
-    Dots go; text with other characters, blank or all zero is missing_or_zero; too long is malformed; minutes or seconds
-    of 60 or more, or degrees beyond 90 or 180, are out_of_range. The latitude's fault comes first.
+    Dots go; blank text, text with other characters or of more than 64 bits is missing_or_zero, then too long is malformed,
+    then all zero is missing_or_zero; minutes or seconds of 60 or more, or whole degrees beyond 90 or 180, are out_of_range.
+    The latitude's fault comes first.
     """
 
     def one(c: Column, width: int, limit: int) -> tuple[Column, Column]:
-        raw = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\.", "")
+        raw = F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("."), F.lit(""))
+        number = F.when(raw.rlike("^[0-9]+$"), F.regexp_replace(raw, "^0+(?=.)", "").try_cast("decimal(38,0)"))
         digits = F.lpad(raw, width, "0")
         deg = F.substring(digits, 1, width - 6).try_cast("int")
         minutes, seconds = F.substring(digits, width - 5, 2).try_cast("int"), F.substring(digits, width - 3, 4).try_cast("int") / F.lit(100.0)
         value = deg + minutes / F.lit(60.0) + seconds / F.lit(3600.0)
-        fault = F.when(~raw.rlike("^[0-9]+$") | raw.rlike("^0+$"), "missing_or_zero").when(F.length(raw) > width, "malformed").when((minutes >= 60) | (seconds >= 60) | (value > limit), "out_of_range")
+        absent = F.coalesce(number > F.lit("18446744073709551615").cast("decimal(38,0)"), F.lit(True))
+        fault = F.when(absent, "missing_or_zero").when(F.length(raw) > width, "malformed").when(number == 0, "missing_or_zero").when((minutes >= 60) | (seconds >= 60) | (deg > limit), "out_of_range")
         return value, fault
 
     a, fa = one(lat, 8, 90)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.functions.codes import states
-from gradeline.functions.ratings import blank_to_null, condition_class, decode_dms, guarded_pad, lowest, strict_digit
+from gradeline.functions.ratings import blank_to_null, condition_class, decode_dms, guarded_pad, lowest, share, strict_digit
 
 REASONS = ["row_structural_fault", "unknown_state_code", "structure_number_invalid", "coordinate_missing_or_zero", "coordinate_invalid", "coordinate_outside_state", "year_built_impossible", "adt_invalid", "structure_length_invalid", "condition_code_invalid", "duplicate_key"]
 CONDITIONS = ["deck", "superstructure", "substructure", "culvert"]
@@ -19,15 +19,21 @@ def resolve_state(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_key", F.upper(guarded_pad(F.col(column), 2))).join(F.broadcast(keys), "_key", "left").drop("_key")
 
 
+def with_state(df: DataFrame, column: str) -> DataFrame:
+    """Add the same columns by padded FIPS alone, as published rows must have it; null if unknown."""
+    table = F.broadcast(states(df.sparkSession))
+    return df.withColumn("_key", guarded_pad(F.col(column), 2)).join(table, F.col("_key") == table["fips"], "left").drop("_key")
+
+
 def inside_bounds(lat: Column, lon: Column) -> Column:
     """Bounds included; true where a state has none."""
     return F.col("south").isNull() | (lat.between(F.col("south"), F.col("north")) & lon.between(F.col("west"), F.col("east")))
 
 
 def whole_number(c: Column) -> Column:
-    """The trimmed text as a whole number if it is one, sign allowed."""
+    """The trimmed text as a whole number of 32 bits if it is one, sign allowed."""
     t = F.trim(c)
-    return F.when(t.rlike(r"^[+-]?[0-9]{1,9}$"), t.cast("int"))
+    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
 
 
 def decimal_number(c: Column) -> Column:
@@ -38,7 +44,7 @@ def decimal_number(c: Column) -> Column:
 
 def validate(raw: DataFrame, snapshot_year: int) -> DataFrame:
     """Add `lat`, `lon`, the state's columns and `reasons`: every reason that a raw text row fails for, in REASONS' order."""
-    df = resolve_state(raw, "state")
+    df = with_state(raw, "state")
     df = df.withColumns({k if k != "fault" else "_fault": v for k, v in decode_dms(F.col("lat_raw"), F.col("lon_raw")).items()})
     given = lambda c: blank_to_null(F.col(c)).isNotNull()
     year, adt, length = whole_number(F.col("year_built")), whole_number(F.col("adt")), decimal_number(F.col("length"))
@@ -70,17 +76,28 @@ def canonical(valid: DataFrame, snapshot_year: int, *carried: str) -> DataFrame:
 
 
 def first_valid_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Append duplicate_key to the reasons of every valid row but the first of its key; invalid rows claim no key."""
-    valid = F.size("reasons") == 0
-    w = Window.partitionBy(*key, valid).orderBy(order)
-    again = valid & (F.row_number().over(w) > 1)
-    return df.withColumn("reasons", F.when(again, F.array(F.lit("duplicate_key"))).otherwise(F.col("reasons")))
+    """Append duplicate_key to the reasons of every valid row but the first of its key; invalid rows claim no key.
+
+    The first is a grouped minimum over valid rows, joined back to them; invalid rows don't move."""
+    valid = df.filter(F.size("reasons") == 0)
+    first = valid.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)]).agg(F.min(order).alias("_first"))
+    same = F.lit(True)
+    for n, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    told = valid.join(first, same).withColumn("reasons", F.when(F.col(order) > F.col("_first"), F.array(F.lit("duplicate_key"))).otherwise(F.col("reasons")))
+    return told.select(*df.columns).unionByName(df.filter(F.size("reasons") > 0))
 
 
 def quarantine_by_reason(df: DataFrame) -> DataFrame:
     return df.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n_rows"))
 
 
+def reject_rate(df: DataFrame) -> DataFrame:
+    """One row: n_read, n_rejected and rejected_percent (null without rows)."""
+    sums = df.agg(F.count("*").alias("n_read"), F.count_if(F.size("reasons") > 0).alias("n_rejected"))
+    return sums.withColumn("rejected_percent", share(F.col("n_rejected"), F.col("n_read"), 2))
+
+
 def quarantine_by_state(df: DataFrame, top: int = 15) -> DataFrame:
     bad = df.filter(F.size("reasons") > 0)
     return bad.groupBy("state").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "state").limit(top)

@@ -46,7 +46,8 @@ def _dms(c: str, width: int, limit: int, out: str) -> str:
     part = lambda a, n: f"TRY_CAST(substr({d}, {a}, {n}) AS INT)"
     deg, m, s = part(1, width - 6), part(width - 5, 2), f"({part(width - 3, 4)} / 100.0::DOUBLE)"
     value = f"({deg} + {m} / 60.0::DOUBLE + {s} / 3600.0::DOUBLE)"
-    return f"{value} AS {out}_v, CASE WHEN NOT regexp_full_match({raw}, '[0-9]+') OR regexp_full_match({raw}, '0+') THEN 'missing_or_zero' WHEN length({raw}) > {width} THEN 'malformed' WHEN {m} >= 60 OR {s} >= 60 OR {value} > {limit} THEN 'out_of_range' END AS {out}_f"
+    number = f"CASE WHEN regexp_full_match({raw}, '[0-9]+') THEN TRY_CAST({raw} AS UBIGINT) END"
+    return f"{value} AS {out}_v, CASE WHEN {number} IS NULL THEN 'missing_or_zero' WHEN length({raw}) > {width} THEN 'malformed' WHEN {number} = 0 THEN 'missing_or_zero' WHEN {m} >= 60 OR {s} >= 60 OR {deg} > {limit} THEN 'out_of_range' END AS {out}_f"
 
 
 _R = {
@@ -60,7 +61,7 @@ _R = {
     "structure_length_invalid": "nullif(trim(length), '') IS NOT NULL AND (ln IS NULL OR ln < 0)",
     "condition_code_invalid": " OR ".join(f"(nullif(trim({c}), '') IS NOT NULL AND NOT regexp_full_match(trim({c}), '[0-9Nn]'))" for c in COMPONENTS),
 }
-_INT = "CASE WHEN regexp_full_match(trim({0}), '[+-]?[0-9]{{1,9}}') THEN CAST(trim({0}) AS INT) END"
+_INT = "CASE WHEN regexp_full_match(trim({0}), '[+-]?[0-9]+') THEN TRY_CAST(trim({0}) AS INT) END"
 
 #: name -> SQL; a CTE may use those before it.
 CTES: dict[str, str] = {
@@ -103,7 +104,8 @@ CTES: dict[str, str] = {
     "popr": "SELECT CASE WHEN n_nationkey % 3 = 0 THEN '0400000US' ELSE '0500000US' END || ['01001', '01003', '02001', '02003', '77001'][n_nationkey % 5 + 1] AS key, CASE WHEN n_nationkey % 7 = 2 THEN '-555555555' ELSE CAST(n_nationkey * 1000 AS VARCHAR) END AS value, n_nationkey FROM nation",
     "pop": "SELECT substr(key, 10, 5) AS geoid, CASE WHEN TRY_CAST(value AS BIGINT) >= 0 THEN TRY_CAST(value AS BIGINT) END AS population FROM popr WHERE starts_with(key, '0500000US')",
     "pop1": "SELECT geoid, max(population) AS population FROM pop GROUP BY ALL",
-    "vst": f"SELECT r.*, s.*, {_dms('lat_raw', 8, 90, 'la')}, {_dms('lon_raw', 9, 180, 'lo')} FROM rawr r LEFT JOIN states s ON upper({_pad('state', 2)}) = s.fips OR upper({_pad('state', 2)}) = s.usps",
+    "resolved": f"SELECT r.state, s.fips, s.usps FROM rawr r LEFT JOIN states s ON upper({_pad('state', 2)}) = s.fips OR upper({_pad('state', 2)}) = s.usps",
+    "vst": f"SELECT r.*, s.*, {_dms('lat_raw', 8, 90, 'la')}, {_dms('lon_raw', 9, 180, 'lo')} FROM rawr r LEFT JOIN states s ON {_pad('state', 2)} = s.fips",
     "vco": f"SELECT *, coalesce(la_f, lo_f) AS fault, CASE WHEN coalesce(la_f, lo_f) IS NULL THEN la_v END AS lat, CASE WHEN coalesce(la_f, lo_f) IS NULL THEN -lo_v END AS lon, {_INT.format('year_built')} AS yb, {_INT.format('adt')} AS ad, CASE WHEN regexp_full_match(replace(trim(length), ',', ''), '[+-]?([0-9]{{1,8}}(\\.[0-9]*)?|\\.[0-9]+)') THEN TRY_CAST(replace(trim(length), ',', '') AS DECIMAL(9,1)) END AS ln FROM vst",
     "val": "SELECT *, list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _R.items()) + "], lambda x: x IS NOT NULL) AS reasons FROM vco",
     "fvw": "SELECT * EXCLUDE (reasons), CASE WHEN len(reasons) = 0 AND row_number() OVER (PARTITION BY fips, trim(structure_number), record_type, len(reasons) = 0 ORDER BY line_number) > 1 THEN ['duplicate_key'] ELSE reasons END AS reasons FROM val",

@@ -263,7 +263,7 @@ def dms_decode(s, d):
     return adapters.raw_rows(s, d).select("line_number", F.round(found["lat"], 9).alias("lat"), F.round(found["lon"], 9).alias("lon"), found["fault"].alias("fault"))
 
 
-@query("SELECT state, fips, usps, count(*) AS n FROM vst GROUP BY ALL")
+@query("SELECT state, fips, usps, count(*) AS n FROM resolved GROUP BY ALL")
 def state_resolve(s, d):
     return ingest.resolve_state(adapters.raw_rows(s, d), "state").groupBy("state", "fips", "usps").agg(F.count("*").alias("n"))
 
@@ -271,7 +271,7 @@ def state_resolve(s, d):
 @query("SELECT line_number, south IS NULL OR (lat BETWEEN south AND north AND lon BETWEEN west AND east) AS inside FROM vco WHERE fault IS NULL AND fips IS NOT NULL")
 def bounds_check(s, d):
     found = ratings.decode_dms(F.col("lat_raw"), F.col("lon_raw"))
-    df = ingest.resolve_state(adapters.raw_rows(s, d), "state").withColumns(found).filter("fault is null and fips is not null")
+    df = ingest.with_state(adapters.raw_rows(s, d), "state").withColumns(found).filter("fault is null and fips is not null")
     return df.select("line_number", ingest.inside_bounds(F.col("lat"), F.col("lon")).alias("inside"))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import sys
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeline.functions.ratings import blank_to_null
 
@@ -20,10 +25,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int").alias("line_number"), "line")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_quoted(lines: pd.Series) -> pd.Series:
+    csv.field_size_limit(sys.maxsize)
+    return lines.map(lambda t: None if t is None else next(csv.reader([t]), [""]))
+
+
 def quoted_fields(line: Column) -> Column:
-    """Fields of one comma-separated line; a field that starts with a quote ends at its closing quote, `""` is a quote."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), F.lit(1))
-    return F.transform(raw, lambda f: F.when(f.rlike('^".*"$') & (F.length(f) > 1), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
+    """Fields of one comma-separated line; a field that starts with a quote goes to its closing quote, `""` is a quote.
+
+    Text after a closing quote is appended as it is; a quote that never closes takes the rest of the line. Lines without
+    quotes are split by Spark; only the others go to Python, as no regular expression of the JVM reads fields of any length."""
+    quoted = line.contains('"')
+    return F.when(quoted, _split_quoted(F.when(quoted, line))).otherwise(F.split(line, ",", -1))
 
 
 def bind_header(header: list[str], required: list[str]) -> dict[str, int]:

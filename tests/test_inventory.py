@@ -64,10 +64,29 @@ def test_floor(spark, n, shown):
 
 
 def test_dms(spark):
-    df = spark.createDataFrame([("41303000", "093300000"), ("4130", "093300000"), ("0000", "1"), ("41603000", "093300000"), ("123456789", "0"), ("41x", "093300000")], "a string, b string")
+    df = spark.createDataFrame([("41303000", "093300000"), ("4130", "093300000"), ("0000", "1"), ("41603000", "093300000"), ("123456789", "0"), ("41x", "093300000"), ("90300000", "180595900"), ("91000000", "093300000"), ("000000000", "093300000"), ("41303000", "9" * 20), ("254626.80", "0801141.63"), ("29467560", "095221920"), (" ", "1")], "a string, b string")
     found = [tuple(r) for r in df.select(*[v.alias(k) for k, v in ratings.decode_dms(F.col("a"), F.col("b")).items()]).collect()]
     assert found[0][:2] == pytest.approx((41.508333, -93.5), abs=1e-6)
-    assert [f[2] for f in found] == [None, None, "missing_or_zero", "out_of_range", "malformed", "missing_or_zero"]
+    assert [f[2] for f in found] == [None, None, "missing_or_zero", "out_of_range", "malformed", "missing_or_zero", None, "out_of_range", "malformed", "missing_or_zero", None, "out_of_range", "missing_or_zero"]
+    assert found[6][0] == 90.5
+
+
+def test_whole_number(spark):
+    df = spark.createDataFrame([(v,) for v in ("2147483647", "2147483648", "-2147483648", " +12 ", "0000000000012", "1.0", "", None)], "v string")
+    assert [r[0] for r in df.select(ingest.whole_number(F.col("v"))).collect()] == [2147483647, None, -2147483648, 12, 12, None, None, None]
+
+
+def test_states_of_published_rows_are_numbers(spark):
+    df = spark.createDataFrame([("8",), ("08",), ("co",), ("83",)], "state string")
+    assert [r.fips for r in ingest.with_state(df, "state").collect()] == ["08", "08", None, None]
+    assert [r.fips for r in ingest.resolve_state(df, "state").collect()] == ["08", "08", "08", None]
+
+
+def test_quoted_fields(spark):
+    long = 'x,""' * 25_000
+    lines = {"a,b,c": ["a", "b", "c"], "a,,c,": ["a", "", "c", ""], '12,"R, N",x': ["12", "R, N", "x"], '"S ""H""",y': ['S "H"', "y"], "only": ["only"], '"a"b"c,d': ['ab"c', "d"], 'x"y",z': ['x"y"', "z"], '"open,a': ["open,a"], '"",b': ["", "b"], f'1,"{long}",2': ["1", long.replace('""', '"'), "2"]}
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert [r[0] for r in df.select(snapshot.quoted_fields(F.col("line"))).collect()] == list(lines.values())
 
 
 def test_snapshot_rows_and_faults(spark, tmp_path):
