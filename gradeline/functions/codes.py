@@ -1,4 +1,5 @@
-"""Code tables as relations. Every value below is fixed by the published coding guides."""
+"""Code tables as relations. All values below are fixed: codes and labels by the published coding guides; bounds (with a
+margin), cohort groups and the words for absent and national by the results that they must give."""
 
 from __future__ import annotations
 
@@ -39,23 +40,23 @@ STATES = [
 
 #: Climate regions of the contiguous states.
 REGIONS = {
-    "Northeast": "CT DE MA MD ME NH NJ NY PA RI VT DC",
-    "Upper Midwest": "IA MI MN WI",
-    "Ohio Valley": "IL IN KY MO OH TN WV",
-    "Southeast": "AL FL GA NC SC VA",
-    "Northern Rockies & Plains": "MT ND NE SD WY",
-    "South": "AR KS LA MS OK TX",
-    "Southwest": "AZ CO NM UT",
-    "Northwest": "ID OR WA",
-    "West": "CA NV",
+    "Northeast": ["CT", "DE", "MA", "MD", "ME", "NH", "NJ", "NY", "PA", "RI", "VT", "DC"],
+    "Upper Midwest": ["IA", "MI", "MN", "WI"],
+    "Ohio Valley": ["IL", "IN", "KY", "MO", "OH", "TN", "WV"],
+    "Southeast": ["AL", "FL", "GA", "NC", "SC", "VA"],
+    "Northern Rockies & Plains": ["MT", "ND", "NE", "SD", "WY"],
+    "South": ["AR", "KS", "LA", "MS", "OK", "TX"],
+    "Southwest": ["AZ", "CO", "NM", "UT"],
+    "Northwest": ["ID", "OR", "WA"],
+    "West": ["CA", "NV"],
 }
 OUTSIDE = "Outside contiguous U.S."
 ABSENT = "Not published"
 NATIONAL = "All"
 
 #: Cohort groups of material and design codes.
-MATERIAL_GROUPS = {"Concrete": "1 2", "Steel": "3 4", "Prestressed concrete": "5 6", "Timber": "7", "Masonry": "8", "Other": "0 9"}
-TYPE_GROUPS = {"Girder / Stringer": "01 02 03 04 05 06 21 22", "Truss / Arch": "09 10 11 12 13 14", "Culvert": "19", "Other": "00 07 08 15 16 17 18 20"}
+MATERIAL_GROUPS = {"Concrete": ["1", "2"], "Steel": ["3", "4"], "Prestressed concrete": ["5", "6"], "Timber": ["7"], "Masonry": ["8"], "Other": ["0", "9"]}
+TYPE_GROUPS = {"Girder / Stringer": ["01", "02", "03", "04", "05", "06", "21", "22"], "Truss / Arch": ["09", "10", "11", "12", "13", "14"], "Culvert": ["19"], "Other": ["00", "07", "08", "15", "16", "17", "18", "20"]}
 
 #: Labels of the codes.
 MATERIALS = {"1": "Concrete", "2": "Concrete continuous", "3": "Steel", "4": "Steel continuous", "5": "Prestressed concrete", "6": "Prestressed concrete continuous", "7": "Wood or timber", "8": "Masonry", "9": "Aluminum, wrought iron, or cast iron", "0": "Other"}
@@ -63,9 +64,9 @@ DESIGNS = {"01": "Slab", "02": "Stringer/multi-beam or girder", "03": "Girder an
 RATINGS = {"9": "Excellent condition", "8": "Very good condition", "7": "Good condition", "6": "Satisfactory condition", "5": "Fair condition", "4": "Poor condition", "3": "Serious condition", "2": "Critical condition", "1": "Imminent failure condition", "0": "Failed condition — out of service", "N": "Not applicable"}
 CLASSES = ("Good", "Fair", "Poor", "Unknown")
 
-_REGION_OF = {s: r for r, states in REGIONS.items() for s in states.split()}
-MATERIAL_ROWS = [(c, g) for g, codes in MATERIAL_GROUPS.items() for c in codes.split()]
-TYPE_ROWS = [(c, g) for g, codes in TYPE_GROUPS.items() for c in codes.split()]
+_REGION_OF = {s: r for r, states in REGIONS.items() for s in states}
+MATERIAL_ROWS = [(c, g) for g, codes in MATERIAL_GROUPS.items() for c in codes]
+TYPE_ROWS = [(c, g) for g, codes in TYPE_GROUPS.items() for c in codes]
 REGION_ROWS = [(s[0], _REGION_OF.get(s[1], OUTSIDE)) for s in STATES]
 LABEL_ROWS = [(kind, c, v) for kind, table in (("material", MATERIALS), ("design", DESIGNS), ("rating", RATINGS)) for c, v in table.items()]
 

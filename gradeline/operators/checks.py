@@ -110,10 +110,27 @@ def miss_reason(missed: DataFrame, touching: DataFrame, key: list[str]) -> DataF
     return missed.join(again, key, "left").filter(F.col("touching") != F.coalesce("again", F.lit(0))).select(*key, "reason", "touching", F.coalesce("again", F.lit(0)).alias("again"))
 
 
-def disagreement_account(pairs: DataFrame, coverage: DataFrame) -> DataFrame:
-    """The sums if the pairs don't account for the coverage row's differing outcomes."""
-    s = pairs.agg(F.sum("n_rows").alias("pair_rows"))
-    return s.crossJoin(coverage.select((F.col("other_county") + F.col("other_state") + F.col("no_code")).alias("outcome_rows"))).filter(~F.col("pair_rows").eqNullSafe(F.col("outcome_rows")))
+def disagreement_account(pairs: DataFrame, coverage: DataFrame, polygon_codes: DataFrame) -> DataFrame:
+    """One row if the pairs don't account for the coverage row's differing outcomes, if a containing code has no polygon, or if
+    a pair is malformed (no rows, more structures than rows, an unknown outcome)."""
+    known = polygon_codes.select("geoid", F.lit(True).alias("_known"))
+    told = pairs.join(known, "geoid", "left")
+    bad = (F.col("n_rows") <= 0) | (F.col("structures") > F.col("n_rows")) | ~F.col("outcome").isin("other_county", "other_state", "no_code")
+    s = told.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("pair_rows"), F.count_if(F.col("_known").isNull()).alias("unresolved"), F.count_if(bad).alias("malformed"))
+    both = s.crossJoin(coverage.select((F.col("other_county") + F.col("other_state") + F.col("no_code")).alias("outcome_rows")))
+    return both.filter(~F.col("pair_rows").eqNullSafe(F.col("outcome_rows")) | (F.col("unresolved") > 0) | (F.col("malformed") > 0))
+
+
+def reserved_value(groups: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value) of groups that are spelled like the reserved value; each frame has one column."""
+    named = [df.select(F.lit(k).alias("dimension"), df[df.columns[0]].alias("value")) for k, df in groups.items()]
+    return reduce(DataFrame.unionByName, named).filter(F.col("value") == NATIONAL).distinct()
+
+
+def written_per_vintage(written: DataFrame, converted: DataFrame, year: str = "VINTAGE_YEAR") -> DataFrame:
+    """Vintages whose number of rows read back differs from the number converted (`year`, converted); null is none."""
+    n = written.groupBy(year).agg(F.count("*").alias("written"))
+    return converted.select(year, "converted").join(n, year, "full_outer").filter(~F.coalesce("converted", F.lit(0)).eqNullSafe(F.coalesce("written", F.lit(0))))
 
 
 def gate(checks: dict[str, DataFrame]) -> DataFrame:

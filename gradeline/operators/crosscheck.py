@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeline.functions.ratings import share
+
 KEY = ["state_code", "structure_number", "record_type"]
 STRUCTURE = ["state_code", "structure_number"]
 
@@ -18,11 +20,12 @@ def outcomes(points: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    """One row: points and structures, matched and not, and outcome counts; both denominators."""
+    """One row: points and structures, matched and not, and outcome counts; percents of both, and of agreement where matched."""
     c = lambda k: F.count_if(F.col("outcome") == k).alias(k)
     matched = F.col("outcome") != "unmatched"
     out = rows.agg(F.count("*").alias("n_points"), F.count_if(matched).alias("matched"), F.countDistinct(F.struct(*STRUCTURE)).alias("structures"), F.countDistinct(F.when(matched, F.struct(*STRUCTURE))).alias("matched_structures"), *[c(k) for k in ("agree", "other_county", "other_state", "no_code", "unmatched")])
-    return out.withColumn("matched_percent", F.bround(F.try_divide(F.lit(100.0).cast("double") * F.col("matched"), F.col("n_points")), 4))
+    percents = {"matched_percent": ("matched", "n_points"), "structures_percent": ("matched_structures", "structures"), "agree_percent": ("agree", "matched")}
+    return out.withColumns({k: share(F.col(a), F.col(b), 4) for k, (a, b) in percents.items()})
 
 
 def disagreements(rows: DataFrame, polygon_codes: DataFrame) -> DataFrame:
@@ -47,6 +50,11 @@ def retired_codes(points: DataFrame, polygon_codes: DataFrame) -> DataFrame:
     return given.join(polygon_codes.select(F.col("geoid").alias("published")), "published", "left_anti").groupBy("published").agg(F.count("*").alias("n_rows"))
 
 
+def absent_population(areas: DataFrame) -> DataFrame:
+    """Areas (of `with_population`) without a population, by the first two digits of their code."""
+    return areas.filter("population is null").groupBy(F.substring("geoid", 1, 2).alias("state_fips")).agg(F.count("*").alias("areas"))
+
+
 def misses(points: DataFrame, assigned: DataFrame, touching: DataFrame, nearest: DataFrame) -> DataFrame:
     """Points in no polygon with a reason; one on a boundary is 0 metres from it."""
     left = points.join(assigned.select(*KEY), KEY, "left_anti").join(touching, KEY, "left").join(nearest, KEY, "left")

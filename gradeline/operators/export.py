@@ -15,6 +15,16 @@ def geojson_lines(df: DataFrame, id_: Column, properties: list[str]) -> DataFram
     return df.select(feature(id_, F.col("lon"), F.col("lat"), properties).alias("line"))
 
 
+def write_geojson(df: DataFrame, order: list[str], id_: Column, properties: list[str], path: str, run_id: str) -> int:
+    """Write the features in order as lines, and beside them one line that names the run and counts what was written."""
+    spark = df.sparkSession
+    df.orderBy(*order).select(feature(id_, F.col("lon"), F.col("lat"), properties).alias("value")).write.text(f"{path}/features")
+    n = spark.read.text(f"{path}/features").count()
+    meta = spark.createDataFrame([(run_id, n)], "run_id string, features bigint").withColumn("written_at", F.current_timestamp())
+    meta.coalesce(1).write.json(f"{path}/meta")
+    return n
+
+
 def capped_sizes(df: DataFrame, cap: int = 5000) -> DataFrame:
     """total, returned and truncated of a feature collection of at most `cap` features."""
     return df.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(cap)).alias("returned"), (F.col("total") > cap).alias("truncated"))

@@ -4,73 +4,119 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.operators.checks import gate
 
-LEDGER = "run_id string, source_hash string, year int, status string, n_rows bigint, error string, at timestamp"
+LEDGER = "run_id string, source_hash string, year int, status string, n_rows bigint, n_read bigint, n_rejected bigint, error string, at timestamp"
 
 
 def _ledger(spark: SparkSession, root: str, *row) -> None:
     spark.createDataFrame([row], LEDGER.rsplit(",", 1)[0]).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{root}/ledger")
 
 
-def ledger(spark: SparkSession, root: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
+    """The rows under a path; none if it does not exist yet."""
     try:
-        return spark.read.schema(LEDGER).parquet(f"{root}/ledger")
+        return spark.read.schema(schema).format(kind).load(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], LEDGER)
+        return spark.createDataFrame([], schema)
+
+
+def ledger(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each state of each attempt: Running, then Completed or Failed, with what was read, rejected and written."""
+    return _read(spark, f"{root}/ledger", LEDGER, "parquet")
 
 
 def current_run(spark: SparkSession, root: str) -> str | None:
-    """The run that readers see, by the pointer."""
-    try:
-        rows = spark.read.schema("run_id string, n int").json(f"{root}/pointer").orderBy(F.desc("n")).take(1)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    """The attempt that readers see, by the pointer."""
+    rows = _read(spark, f"{root}/pointer", "run_id string, n int", "json").orderBy(F.desc("n")).take(1)
     return rows[0]["run_id"] if rows else None
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, tuple[DataFrame, list[str]]], checks: dict[str, DataFrame], source_hash: str, year: int, force: bool = False, with_csv: bool = False) -> dict | None:
-    """Check, write every table sorted by its key under a run directory, count what was written, then move the pointer.
+def job_id(source_hash: str, year: int) -> str:
+    """The same for the same source and year."""
+    return hashlib.sha256(f"{source_hash}:{year}".encode()).hexdigest()[:16]
+
 
-    The same (hash, year) already completed and served is skipped (None) unless forced. A failed check or count leaves the
-    pointer where it was and a failed row in the ledger. The manifest is returned and written."""
-    run_id = hashlib.sha256(f"{source_hash}:{year}".encode()).hexdigest()[:16]
-    done = ledger(spark, root).filter((F.col("run_id") == run_id) & (F.col("status") == "Completed"))
-    if not force and current_run(spark, root) == run_id and done.take(1):
+def publish(spark: SparkSession, root: str, tables: dict[str, tuple[DataFrame, list[str]]], checks: dict[str, DataFrame], source_hash: str, year: int, force: bool = False, with_csv: bool = False, n_read: int | None = None, n_rejected: int | None = None) -> dict | None:
+    """Check, write every table sorted by its key under the attempt's own directory, then move the pointer.
+
+    The same (hash, year) that is served is skipped (None) unless forced. A forced run writes beside the served one, which
+    stays as it is until the pointer moves. Each table is computed once: the rows that go out are counted on their way
+    (`expected`), and those read back must be as many, and not none; CSV is made from what was written. A failed check or
+    count leaves the pointer where it was and a Failed row in the ledger. The manifest is returned and written."""
+    job = job_id(source_hash, year)
+    served_now = current_run(spark, root)
+    if not force and served_now and served_now.startswith(job):
         return None
+    run_id = f"{job}-{uuid.uuid4().hex[:12]}"
+    _ledger(spark, root, run_id, source_hash, year, "Running", None, n_read, n_rejected, None)
     try:
         gate(checks)
-        manifest: dict = {"run_id": run_id, "source_hash": source_hash, "year": year, "tables": {}}
+        manifest: dict = {"run_id": run_id, "source_hash": source_hash, "year": year, "n_read": n_read, "n_rejected": n_rejected, "tables": {}}
         for name, (df, key) in tables.items():
-            expected = df.count()
-            df.orderBy(*key).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/run_id={run_id}/{name}")
+            at, seen = f"{root}/run_id={run_id}/{name}", Observation()
+            df.orderBy(*key).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").option("compression", "zstd").parquet(at)
+            back = spark.read.schema(df.schema).parquet(at)
             if with_csv:
-                df.orderBy(*key).write.mode("overwrite").option("header", True).csv(f"{root}/run_id={run_id}/{name}_csv")
-            written = spark.read.schema(df.schema).parquet(f"{root}/run_id={run_id}/{name}").count()
-            if written != expected or not written:
-                raise ValueError(f"{name}: {written} rows were written of {expected}")
+                back.orderBy(*key).write.option("header", True).csv(f"{at}_csv")
+            written = back.count()
+            if written != seen.get["n"] or not written:
+                raise ValueError(f"{name}: {written} rows were written of {seen.get['n']}")
             manifest["tables"][name] = written
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/run_id={run_id}/manifest")
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{root}/run_id={run_id}/manifest")
     except Exception as e:
-        _ledger(spark, root, run_id, source_hash, year, "Failed", 0, str(e)[:500])
+        _ledger(spark, root, run_id, source_hash, year, "Failed", 0, n_read, n_rejected, str(e)[:500])
         raise
-    n = spark.read.schema("run_id string, n int").json(f"{root}/pointer").count() if current_run(spark, root) else 0
+    n = _read(spark, f"{root}/pointer", "run_id string, n int", "json").count()
     spark.createDataFrame([(run_id, n + 1)], "run_id string, n int").coalesce(1).write.mode("append").json(f"{root}/pointer")
-    _ledger(spark, root, run_id, source_hash, year, "Completed", sum(manifest["tables"].values()), None)
+    _ledger(spark, root, run_id, source_hash, year, "Completed", sum(manifest["tables"].values()), n_read, n_rejected, None)
     return manifest
 
 
+def manifest_of(spark: SparkSession, root: str, run_id: str) -> dict:
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{root}/run_id={run_id}/manifest").collect()))
+
+
+def reconcile(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """(name, expected, actual) of the run's tables whose files hold another number of rows than the manifest says."""
+    told = manifest_of(spark, root, run_id)["tables"]
+    rows = [spark.read.parquet(f"{root}/run_id={run_id}/{name}").agg(F.lit(name).alias("name"), F.lit(n).cast("long").alias("expected"), F.count("*").alias("actual")) for name, n in told.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.filter("expected <> actual")
+
+
+def read_back(spark: SparkSession, path: str, schema: str, key: list[str], rules: dict[str, str], expected: int | None = None) -> DataFrame:
+    """Published rows, after all their checks: exactly the columns and types of `schema`, no null or repeated key, every rule
+    (a SQL condition) true of every row, and as many rows as expected. One ValueError names all that is wrong."""
+    rows = spark.read.parquet(path)
+    declared = spark.createDataFrame([], schema).schema
+    found, wanted = ({f.name: f.dataType.simpleString() for f in s} for s in (rows.schema, declared))
+    if found != wanted:
+        raise ValueError(f"{path}: has the columns {found}, not {wanted}")
+    null_key = F.array_contains(F.array(*[F.col(k).isNull() for k in key]), True)
+    sums = rows.agg(F.count("*").alias("n"), F.count_if(null_key).alias("null_keys"), *[F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias(f"r{k}") for k, c in enumerate(rules.values())]).first()
+    again = rows.groupBy(*key).count().filter("count > 1").limit(1).count()
+    bad = [f"{name} ({sums[f'r{k}']} rows)" for k, name in enumerate(rules) if sums[f"r{k}"]]
+    bad += ["null keys"] if sums["null_keys"] else []
+    bad += ["repeated keys"] if again else []
+    bad += [f"{sums['n']} rows, not {expected}"] if expected is not None and sums["n"] != expected else []
+    if bad:
+        raise ValueError(f"{path}: {'; '.join(bad)}")
+    return rows
+
+
 def served(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the current run, with its run id and completed ledger row."""
+    """A table of the current run, with its run id and the time of its completed ledger row."""
     run = current_run(spark, root)
     rows = spark.read.parquet(f"{root}/run_id={run}/{name}").withColumn("run_id", F.lit(run))
-    runs = ledger(spark, root).filter("status = 'Completed'").groupBy("run_id").agg(F.max("at").alias("published_at"))
+    runs = ledger(spark, root).filter((F.col("status") == "Completed") & (F.col("run_id") == run)).groupBy("run_id").agg(F.max("at").alias("published_at"))
     return rows.join(F.broadcast(runs), "run_id")

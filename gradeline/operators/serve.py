@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,66 @@ def check_filter(state: str | None = None, classes: list[str] | None = None, yea
         raise ValueError("; ".join(bad))
 
 
+def _known_county(fips: str | None) -> str | None:
+    """What is wrong with a county's code, or nothing."""
+    if fips is None or not re.fullmatch("[0-9]{5}", fips):
+        return "fips: a county has 5 digits"
+    return None if fips[:2] in {s[0] for s in codes.STATES} else f"fips: {fips[:2]} is no state"
+
+
+def _raise(bad: list[str | None]) -> None:
+    if any(bad):
+        raise ValueError("; ".join(filter(None, bad)))
+
+
+def check_county(fips: str | None) -> None:
+    _raise([_known_county(fips)])
+
+
+def check_trend(level: str | None, fips: str | None, years: tuple[int, int] | None = None, published: tuple[int, int] = (1992, 2025)) -> None:
+    """Level state (FIPS or USPS code) or county (5 digits), years within the published ones and in order."""
+    bad = [None if level in ("state", "county") else f"level: {level} is neither state nor county"]
+    if level == "county":
+        bad.append(_known_county(fips))
+    elif level == "state" and (fips or "").upper().zfill(2) not in {x for s in codes.STATES for x in s[:2]}:
+        bad.append(f"fips: {fips} is no state")
+    elif not fips:
+        bad.append("fips: is required")
+    if years:
+        bad += [f"years: {y} is not published" for y in years if not published[0] <= y <= published[1]]
+        bad.append("years: the first is after the last" if years[0] > years[1] else None)
+    _raise(bad)
+
+
+def check_cohort(component: str | None, type_group: str | None = None, material_group: str | None = None, region: str | None = None) -> tuple[str, str, str, str]:
+    """(component, type group, material group, region) as spelled in the tables; all three groups or none, which is the nation."""
+    known = {"component": ("deck", "superstructure", "substructure", "culvert"), "type_group": tuple(codes.TYPE_GROUPS), "material_group": tuple(codes.MATERIAL_GROUPS), "region": (*codes.REGIONS, codes.OUTSIDE)}
+    for k in ("type_group", "material_group"):
+        known[k] = (*known[k], codes.ABSENT)
+    given = {"component": component, "type_group": type_group, "material_group": material_group, "region": region}
+    found = {k: next((x for x in known[k] if v and x.lower() == v.strip().lower()), None) for k, v in given.items()}
+    groups = [k for k in list(given)[1:] if given[k]]
+    bad = [f"component: {component} is unknown" if found["component"] is None else None]
+    if len(groups) in (1, 2):
+        bad.append("type_group, material_group, region: all three or none")
+    else:
+        bad += [f"{k}: {given[k]} is unknown" for k in groups if found[k] is None]
+    _raise(bad)
+    return found["component"], *[found[k] if groups else codes.NATIONAL for k in list(given)[1:]]
+
+
+def check_ranking(view: str | None = None, group_by: str | None = None, state: str | None = None, limit: int = 25, most: int = 500) -> None:
+    """View worst-condition, grouped by state, county or cohort, or high-adt-poor, which is not grouped."""
+    bad = [
+        f"view: {view} is unknown" if view not in (None, "worst-condition", "high-adt-poor") else None,
+        f"group_by: {group_by} is unknown" if group_by not in (None, "state", "county", "cohort") else None,
+        "group_by: does not apply to single structures" if view == "high-adt-poor" and group_by else None,
+        f"state: {state} is unknown" if state is not None and state.upper().zfill(2) not in {x for s in codes.STATES for x in s[:2]} else None,
+        f"limit: must lie between 1 and {most}" if not 1 <= limit <= most else None,
+    ]
+    _raise(bad)
+
+
 def inventory_filter(df: DataFrame, state: str | None = None, county: str | None = None, classes: list[str] | None = None, materials: list[str] | None = None, designs: list[str] | None = None, years: tuple[int, int] | None = None, min_traffic: int | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Rows that meet all given conditions; one that is not given asks nothing, and a null never meets one."""
     check_filter(state, classes, years, min_traffic, box)

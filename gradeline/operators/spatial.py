@@ -67,15 +67,20 @@ def unmatched_points(points: DataFrame, matched: DataFrame, key: list[str]) -> D
 def nearest_polygon(points: DataFrame, polygons: DataFrame, key: list[str], reach: float, cell: float = 8.0) -> DataFrame:
     """Per point the polygon within reach (planar) whose closest boundary point is nearest in spherical metres, then by code.
 
-    The closest point is taken in the plane, its distance on the sphere."""
-    rows = candidates(points, polygons, cell, reach).select(*key, "lon", "lat", "geoid", F.explode("edges").alias("s"))
-    dx, dy = F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1")
-    t = F.coalesce(((F.col("lon") - F.col("s.x1")) * dx + (F.col("lat") - F.col("s.y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-    rows = rows.withColumns({"px": F.col("s.x1") + t * dx, "py": F.col("s.y1") + t * dy})
-    rows = rows.withColumn("d2", (F.col("px") - F.col("lon")) * (F.col("px") - F.col("lon")) + (F.col("py") - F.col("lat")) * (F.col("py") - F.col("lat")))
-    closest = rows.groupBy(*key, "geoid").agg(F.min(F.struct("d2", "px", "py", "lon", "lat")).alias("c")).filter(F.col("c.d2") <= reach * reach)
+    The closest point is taken in the plane, its distance on the sphere. Edges stay inside the row of a point and a
+    polygon, which alone meets the grouped minimum."""
+    x, y = F.col("lon"), F.col("lat")
+
+    def closest(s: Column) -> Column:
+        """(squared planar distance, point) of a segment, for the least of a row's array."""
+        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(((x - s["x1"]) * dx + (y - s["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
+        px, py = s["x1"] + t * dx, s["y1"] + t * dy
+        return F.struct(((px - x) * (px - x) + (py - y) * (py - y)).alias("d2"), px.alias("px"), py.alias("py"), x.alias("lon"), y.alias("lat"))
+
+    closest_ = F.array_min(F.transform("edges", closest)).alias("c")
+    closest_rows = candidates(points, polygons, cell, reach).select(*key, "geoid", closest_).filter(F.col("c.d2") <= reach * reach)
     h = F.pow(F.sin(F.radians(F.col("c.py") - F.col("c.lat")) / 2), 2) + F.cos(F.radians("c.lat")) * F.cos(F.radians("c.py")) * F.pow(F.sin(F.radians(F.col("c.px") - F.col("c.lon")) / 2), 2)
     metres = F.round(2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), h)))).cast("long")
-    best = closest.select(*key, F.struct(metres.alias("m"), F.col("geoid").alias("g")).alias("b")).groupBy(*key).agg(F.min("b").alias("b"))
+    best = closest_rows.select(*key, F.struct(metres.alias("m"), F.col("geoid").alias("g")).alias("b")).groupBy(*key).agg(F.min("b").alias("b"))
     return best.select(*key, F.col("b.g").alias("nearest_geoid"), F.col("b.m").alias("distance_m"))

@@ -92,6 +92,9 @@ def unchanged_share(rows: DataFrame, cells: DataFrame, floor: int) -> DataFrame:
 
 
 def cohort_catalog(rows: DataFrame, floor: int) -> DataFrame:
-    """Per cohort (not by component): pairs, matrix rows, rows at or above the floor; rank 1 is the nation, then by size."""
-    per = rows.groupBy(*COHORT[1:]).agg(F.sum("row_total").alias("pairs"), F.count("*").alias("n_rows"), F.count_if(F.col("row_total") >= floor).alias("rows_above_floor"))
-    return per.withColumn("is_national", F.col("region") == NATIONAL)
+    """Per cohort and component: pairs, matrix rows, rows at or above the floor; `place` orders the cohorts: the nation first,
+    then by pairs of all components, then by name. Cohorts are as many as the code tables allow, so one task orders them."""
+    per = rows.groupBy(*COHORT).agg(F.sum("row_total").alias("pairs"), F.count("*").alias("n_rows"), F.count_if(F.col("row_total") >= floor).alias("rows_above_floor"))
+    whole = per.groupBy(*COHORT[1:]).agg(F.sum("pairs").alias("cohort_pairs")).withColumn("is_national", F.col("region") == NATIONAL)
+    placed = whole.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_national"), F.desc("cohort_pairs"), *COHORT[1:])))
+    return per.join(placed, COHORT[1:])

@@ -98,7 +98,7 @@ CTES: dict[str, str] = {
     "clo": f"SELECT {PKEY}, geoid, min(row((px - lon) * (px - lon) + (py - lat) * (py - lat), px, py, lon, lat)) AS c FROM segs GROUP BY ALL",
     "near": f"SELECT {PKEY}, min(row(m, geoid)) AS b FROM (SELECT {PKEY}, geoid, CAST(round(2 * 6371008.8::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(c[3] - c[5]) / 2), 2) + cos(radians(c[5])) * cos(radians(c[3])) * pow(sin(radians(c[2] - c[4]) / 2), 2))))) AS BIGINT) AS m FROM clo WHERE c[1] <= 9.0) GROUP BY {PKEY}",
     "outc": "SELECT p.*, q.geoid, CASE WHEN q.geoid IS NULL THEN 'unmatched' WHEN p.published IS NULL THEN 'no_code' WHEN p.published = q.geoid THEN 'agree' WHEN substr(p.published, 1, 2) = substr(q.geoid, 1, 2) THEN 'other_county' ELSE 'other_state' END AS outcome FROM pts p LEFT JOIN (SELECT state_code, structure_number, record_type, geoid FROM pip) q USING (state_code, structure_number, record_type)",
-    "cov": "SELECT count(*) AS n_points, count(*) FILTER (outcome <> 'unmatched') AS matched, count(DISTINCT (state_code, structure_number)) AS structures, count(DISTINCT (state_code, structure_number)) FILTER (outcome <> 'unmatched') AS matched_structures, " + ", ".join(f"count(*) FILTER (outcome = '{k}') AS {k}" for k in ("agree", "other_county", "other_state", "no_code", "unmatched")) + ", round_even(100.0::DOUBLE * count(*) FILTER (outcome <> 'unmatched') / nullif(count(*), 0), 4) AS matched_percent FROM outc",
+    "cov": "SELECT count(*) AS n_points, count(*) FILTER (outcome <> 'unmatched') AS matched, count(DISTINCT (state_code, structure_number)) AS structures, count(DISTINCT (state_code, structure_number)) FILTER (outcome <> 'unmatched') AS matched_structures, " + ", ".join(f"count(*) FILTER (outcome = '{k}') AS {k}" for k in ("agree", "other_county", "other_state", "no_code", "unmatched")) + ", round_even(100.0::DOUBLE * count(*) FILTER (outcome <> 'unmatched') / nullif(count(*), 0), 4) AS matched_percent, round_even(100.0::DOUBLE * count(DISTINCT (state_code, structure_number)) FILTER (outcome <> 'unmatched') / nullif(count(DISTINCT (state_code, structure_number)), 0), 4) AS structures_percent, round_even(100.0::DOUBLE * count(*) FILTER (outcome = 'agree') / nullif(count(*) FILTER (outcome <> 'unmatched'), 0), 4) AS agree_percent FROM outc",
     "dis": "SELECT published, geoid, outcome, n_rows, structures, CASE WHEN published IS NULL THEN NULL ELSE hit END AS current FROM (SELECT published, o.geoid, outcome, count(*) AS n_rows, count(DISTINCT (state_code, structure_number)) AS structures, bool_or(p.geoid IS NOT NULL) AS hit FROM outc o LEFT JOIN polys p ON published = p.geoid WHERE outcome IN ('other_county', 'other_state', 'no_code') GROUP BY published, o.geoid, outcome)",
     "miss": f"SELECT {PKEY}, CASE WHEN touching IS NOT NULL THEN 'on_boundary' ELSE 'outside_all' END AS reason, coalesce(touching, 0) AS touching, coalesce(first_geoid, b[2]) AS nearest_geoid, CASE WHEN touching IS NOT NULL THEN 0 ELSE b[1] END AS distance_m FROM unm LEFT JOIN touch USING ({PKEY}) LEFT JOIN near USING ({PKEY})",
     "popr": "SELECT CASE WHEN n_nationkey % 3 = 0 THEN '0400000US' ELSE '0500000US' END || ['01001', '01003', '02001', '02003', '77001'][n_nationkey % 5 + 1] AS key, CASE WHEN n_nationkey % 7 = 2 THEN '-555555555' ELSE CAST(n_nationkey * 1000 AS VARCHAR) END AS value, n_nationkey FROM nation",

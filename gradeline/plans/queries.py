@@ -240,7 +240,7 @@ def unchanged_share(s, d):
     return transitions.unchanged_share(transitions.matrix_rows(_mapped(s, d)), transitions.matrix_cells(_mapped(s, d)), FLOOR)
 
 
-@query(f"SELECT type_group, material_group, region, CAST(sum(row_total) AS BIGINT) AS pairs, count(*) AS n_rows, count(*) FILTER (row_total >= {FLOOR}) AS rows_above_floor, region = 'All' AS is_national FROM mrows GROUP BY ALL")
+@query(f"SELECT component, type_group, material_group, region, pairs, n_rows, rows_above_floor, cohort_pairs, is_national, place FROM (SELECT component, type_group, material_group, region, CAST(sum(row_total) AS BIGINT) AS pairs, count(*) AS n_rows, count(*) FILTER (row_total >= {FLOOR}) AS rows_above_floor FROM mrows GROUP BY ALL) JOIN (SELECT *, region = 'All' AS is_national, CAST(row_number() OVER (ORDER BY region = 'All' DESC, cohort_pairs DESC, type_group, material_group, region) AS INT) AS place FROM (SELECT type_group, material_group, region, CAST(sum(row_total) AS BIGINT) AS cohort_pairs FROM mrows GROUP BY ALL)) USING (type_group, material_group, region)")
 def cohort_catalog(s, d):
     return transitions.cohort_catalog(transitions.matrix_rows(_mapped(s, d)), FLOOR)
 
@@ -651,6 +651,23 @@ def check_miss_reason(s, d):
     return checks.miss_reason(_misses(s, d).withColumn("touching", F.col("touching") + more), _touching(s, d), CK)
 
 
-@query("SELECT CAST(sum(n_rows) AS BIGINT) AS pair_rows, (SELECT other_county + other_state + no_code FROM cov) AS outcome_rows FROM dis WHERE outcome <> 'no_code'")
+@query("SELECT CAST(sum(n_rows) AS BIGINT) AS pair_rows, count(*) FILTER (geoid = '01001') AS unresolved, CAST(0 AS BIGINT) AS malformed, (SELECT other_county + other_state + no_code FROM cov) AS outcome_rows FROM dis WHERE outcome <> 'no_code'")
 def check_disagreement(s, d):
-    return checks.disagreement_account(_disagreements(s, d).filter("outcome <> 'no_code'"), crosscheck.coverage(_outcomes(s, d)))
+    return checks.disagreement_account(_disagreements(s, d).filter("outcome <> 'no_code'"), crosscheck.coverage(_outcomes(s, d)), adapters.polygons(s).filter("geoid <> '01001'"))
+
+
+@query("SELECT DISTINCT 'region' AS dimension, 'All' AS value FROM mapped WHERE region = 'West'")
+def check_reserved_value(s, d):
+    rows = _mapped(s, d).withColumn("region", F.when(F.col("region") == "West", codes.NATIONAL).otherwise(F.col("region")))
+    return checks.reserved_value({c: rows.select(c) for c in ("type_group", "material_group", "region")})
+
+
+@query("SELECT substr(p.geoid, 1, 2) AS state_fips, count(*) AS areas FROM polys p LEFT JOIN pop1 q ON p.geoid = q.geoid WHERE population IS NULL GROUP BY ALL")
+def absent_population(s, d):
+    people = crosscheck.population(adapters.population_lines(s, d), "0500000US", 5).groupBy("geoid").agg(F.max("population").alias("population"))
+    return crosscheck.absent_population(crosscheck.with_population(adapters.polygons(s).select("geoid", "name"), people, "geoid"))
+
+
+@query("SELECT count(*) AS n_read, count(*) FILTER (len(reasons) > 0) AS n_rejected, " + PCT.format("count(*) FILTER (len(reasons) > 0)", "count(*)", 2) + " AS rejected_percent FROM val")
+def reject_rate(s, d):
+    return ingest.reject_rate(_validated(s, d))

@@ -63,6 +63,29 @@ def read_vintages(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def footer_differences(spark: SparkSession, path: str, partition: str = "VINTAGE_YEAR") -> dict[str, dict[str, tuple[str | None, str | None]]]:
+    """Files whose own columns or types are not those of the first: file -> column -> (there, in the first).
+
+    One footer a file is read, no rows. Empty means that one schema reads them all."""
+    files = sorted(spark.read.parquet(path).inputFiles())
+    footers = {f: {c.name: c.dataType.simpleString() for c in spark.read.parquet(f).schema if c.name != partition} for f in files}
+    first = footers[files[0]] if files else {}
+    differ = {f: {c: (found.get(c), first.get(c)) for c in sorted({*found, *first}) if found.get(c) != first.get(c)} for f, found in footers.items()}
+    return {f: d for f, d in differ.items() if d}
+
+
+def catalog(summaries: list[tuple[int, str, str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(vintages, totals): each (year, file, sha256, `summary`) as a row in order of the year, and the sums of all."""
+    rows = None
+    for year, file, sha256, one in summaries:
+        row = one.select(F.lit(year).cast("smallint").alias("year"), F.lit(file).alias("file"), F.lit(sha256).alias("sha256"), "read", "converted", "rejected", "by_reason")
+        rows = row if rows is None else rows.unionByName(row)
+    if rows is None:
+        raise ValueError("there are no vintages")
+    totals = rows.agg(F.count("*").alias("vintages"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), *[F.sum(c).alias(c) for c in ("read", "converted", "rejected")])
+    return rows.orderBy("year"), totals
+
+
 def summary(good: DataFrame, rejects: DataFrame) -> DataFrame:
     """converted, rejected, and rejects by reason."""
     by = rejects.groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("by_reason"), F.coalesce(F.sum("n"), F.lit(0)).alias("rejected"))

@@ -1,3 +1,4 @@
+import json
 import os
 
 import duckdb
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeline.functions import codes, ratings
 from gradeline.operators import checks, export, ingest, panel, publish, serve, spatial, transitions
 from gradeline.plans import adapters, queries
-from gradeline.sources import snapshot, vintages
+from gradeline.sources import boundaries, snapshot, vintages
 from gradeline.streaming.landing import load_landing
 
 SF = "/root/testdata/sf0.001"
@@ -120,19 +121,82 @@ def test_publish_checks_pointer_and_skip(spark, tmp_path):
     root = str(tmp_path / "pub")
     df = spark.range(5).withColumnRenamed("id", "k")
     none = df.filter("k < 0")
-    assert publish.publish(spark, root, {"t": (df, ["k"])}, {"c": none}, "h1", 2025)["tables"] == {"t": 5}
+    assert publish.publish(spark, root, {"t": (df, ["k"])}, {"c": none}, "h1", 2025, n_read=7, n_rejected=2)["tables"] == {"t": 5}
     assert publish.publish(spark, root, {"t": (df, ["k"])}, {"c": none}, "h1", 2025) is None
     first = publish.current_run(spark, root)
     with pytest.raises(ValueError):
         publish.publish(spark, root, {"t": (df, ["k"])}, {"c": df}, "h2", 2025)
+    with pytest.raises(ValueError):
+        publish.publish(spark, root, {"t": (none, ["k"])}, {"c": none}, "h1", 2025, force=True)
     assert publish.current_run(spark, root) == first and publish.served(spark, root, "t").count() == 5
+    # a forced run converges beside the served one
+    forced = publish.publish(spark, root, {"t": (df.filter("k < 4"), ["k"])}, {"c": none}, "h1", 2025, force=True, with_csv=True)
+    assert publish.current_run(spark, root) == forced["run_id"] != first and publish.served(spark, root, "t").count() == 4
+    assert spark.read.parquet(f"{root}/run_id={first}/t").count() == 5 and publish.reconcile(spark, root, first).count() == 0
+    states = [(r.status, r.n_rows, r.n_read, r.n_rejected) for r in publish.ledger(spark, root).orderBy("at").collect()]
+    assert states == [("Running", None, 7, 2), ("Completed", 5, 7, 2), ("Running", None, None, None), ("Failed", 0, None, None), ("Running", None, None, None), ("Failed", 0, None, None), ("Running", None, None, None), ("Completed", 4, None, None)]
+    spark.range(1).withColumnRenamed("id", "k").write.mode("append").parquet(f"{root}/run_id={first}/t")
+    assert [tuple(r) for r in publish.reconcile(spark, root, first).collect()] == [("t", 5, 6)]
     with pytest.raises(ValueError):
         checks.gate({})
 
 
+def test_read_back(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int").write.parquet(path)
+    assert publish.read_back(spark, path, "k string, n int", ["k"], {"positive": "n > 0"}, 2).count() == 2
+    with pytest.raises(ValueError, match="columns"):
+        publish.read_back(spark, path, "k string, n bigint", ["k"], {})
+    spark.createDataFrame([("b", -1), (None, None)], "k string, n int").write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="positive .2 rows.; null keys; repeated keys; 4 rows, not 2"):
+        publish.read_back(spark, path, "k string, n int", ["k"], {"positive": "n > 0"}, 2)
+
+
+def test_boundaries(spark, tmp_path):
+    ring = [[0, 0], [4, 0], [4, 4], [0, 0]]
+    feature = lambda geometry, **p: json.dumps({"type": "Feature", "properties": {"GEOID": "01001", "ALAND": 7, **p}, "geometry": geometry})
+    lines = ['{"type": "FeatureCollection", "crs": {"properties": {"name": "EPSG:4269"}}}', feature({"type": "Polygon", "coordinates": [ring]}), feature({"type": "MultiPolygon", "coordinates": [[ring], [ring, ring]]}, GEOID="01003"), "", feature({"type": "Polygon", "coordinates": [ring[:3]]}), feature({"type": "Polygon", "coordinates": [[*ring[:3], [1, 1]]]}), feature({"type": "Point", "coordinates": [0, 0]}), feature({"type": "Polygon", "coordinates": [[[0, 99], *ring]]}), feature({"type": "Polygon", "coordinates": [ring]}, GEOID=" "), "junk"]
+    (tmp_path / "b.json").write_text("\n".join(lines))
+    good, bad = boundaries.read_boundaries(spark, str(tmp_path), {"GEOID": "geoid"}, {"ALAND": "aland"})
+    assert [(r.geoid, r.aland, len(r.rings)) for r in good.orderBy("geoid").collect()] == [("01001", 7, 1), ("01003", 7, 3)]
+    assert sorted(r.reason for r in bad.collect()) == ["geometry_missing", "missing_key_field", "no_feature", "point_outside_degrees", "ring_open", "ring_short"]
+    pts = spark.createDataFrame([("p", 3.0, 1.0)], "k string, lon double, lat double")
+    assert [r.geoid for r in spatial.point_in_polygon(pts, good.filter("geoid = '01001'")).collect()] == ["01001"]
+    text = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1))",), ("POINT (1 1)",)], "t string")
+    assert [r[0] and [len(x) for x in r[0]] for r in text.select(boundaries.wkt_rings(F.col("t"))).collect()] == [[4, 4], None]
+    (tmp_path / "b.json").write_text(lines[0].replace("4269", "3857"))
+    with pytest.raises(ValueError, match="3857"):
+        boundaries.read_boundaries(spark, str(tmp_path), {"GEOID": "geoid"}, {})
+
+
+def test_vintage_catalog_and_footers(spark, tmp_path):
+    rows = spark.createDataFrame([(2000, "a"), (2000, "b"), (2001, "c")], "VINTAGE_YEAR smallint, x string")
+    vintages.write_vintages(rows, str(tmp_path / "v"))
+    assert vintages.footer_differences(spark, str(tmp_path / "v")) == {}
+    assert checks.written_per_vintage(rows, spark.createDataFrame([(2000, 2), (2001, 2)], "VINTAGE_YEAR smallint, converted bigint")).collect()[0].asDict() == {"VINTAGE_YEAR": 2001, "converted": 2, "written": 1}
+    spark.createDataFrame([(2002, 1, 2)], "VINTAGE_YEAR smallint, x int, y int").write.mode("append").partitionBy("VINTAGE_YEAR").parquet(str(tmp_path / "v"))
+    assert list(vintages.footer_differences(spark, str(tmp_path / "v")).values()) == [{"x": ("int", "string"), "y": ("int", None)}]
+    rejects = spark.createDataFrame([("r",)], "reason string")
+    listed, totals = vintages.catalog([(2001, "b", "h", vintages.summary(rows, rejects)), (2000, "a", "g", vintages.summary(rows, rejects.filter("false")))])
+    assert [(r.year, r.read) for r in listed.collect()] == [(2000, 3), (2001, 4)] and tuple(totals.first()) == (2, 2000, 2001, 7, 6, 1)
+
+
+def test_geojson_with_run(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, 4.0)], "id string, lon double, lat double")
+    assert export.write_geojson(df, ["id"], F.col("id"), ["id"], str(tmp_path / "g"), "run7") == 2
+    assert spark.read.json(str(tmp_path / "g/meta")).select("run_id", "features").first() == ("run7", 2)
+
+
 def test_filter_arguments(spark):
     with pytest.raises(ValueError, match="state.*min_traffic"):
         serve.check_filter(state="03", min_traffic=-1)
+    assert serve.check_cohort("DECK", "culvert", "steel", "west") == ("deck", "Culvert", "Steel", "West") and serve.check_cohort("deck")[1:] == ("All", "All", "All")
+    serve.check_county("12086")
+    serve.check_trend("state", "fl", (1992, 2025))
+    serve.check_ranking("high-adt-poor", None, "12")
+    for f, args, said in ((serve.check_cohort, ("2", "Culvert"), "component.*all three"), (serve.check_cohort, ("deck", "All", "Steel", "West"), "type_group"), (serve.check_county, ("1208",), "5 digits"), (serve.check_county, ("03001",), "no state"), (serve.check_trend, ("county", "x", (2001, 1990)), "5 digits.*1990.*after"), (serve.check_trend, ("town", None), "level.*required"), (serve.check_ranking, ("high-adt-poor", "state", "zz", 0), "group_by.*state.*limit")):
+        with pytest.raises(ValueError, match=said):
+            f(*args)
 
 
 def test_csv_report(spark, tmp_path):
