@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -57,11 +58,15 @@ def join_copies(rows: DataFrame, table: DataFrame, key: str, copies: str, how: s
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small in this session, so that tasks and workers hold few texts at a time."""
+    """Keep Arrow batches of whole texts small in this session, so that tasks and workers hold few texts at a time.
+
+    Plans are run after an operator returns, so the setting stays; smaller ones of the session's own are kept."""
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(rows)) <= 0 or int(spark.conf.get(rows)) > 1000:
+    if not 0 < int(spark.conf.get(rows)) <= 1000:
         spark.conf.set(rows, 1000)
-    spark.conf.set(size, "8m")
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", spark.conf.get(size).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= 8 << 20:
+        spark.conf.set(size, "8m")
 
 
 def tidy() -> None:

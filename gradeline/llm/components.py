@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import cut
+from gradeline.llm.common import HOT, cut
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -20,15 +20,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(`node`, `component`) for every node of `edges` (`a`, `b`): the smallest node that links reach.
 
     Each step keeps at most as many edges as the one before and is written to the shared folder; nodes, edges and
-    components stay distributed, and a node with very many neighbours only ever meets a grouped minimum. Steps end as soon
-    as the edges are stars, which one grouped sum tells.
+    components stay distributed. A node with more than 1/HOT of all edges learns its smallest neighbour by a broadcast (there
+    are fewer than 2 * HOT such nodes), so its edges stay where they are; all others by a join. Steps end as soon as the
+    edges are stars, which one grouped sum tells. Null ends link nothing; without edges there are no rows.
     """
     kind = edges.schema["a"].dataType
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("_n")))
+        total = low.agg(F.sum("_n")).first()[0]
+        busy = F.broadcast(low.filter(F.col("_n") * HOT > total).select("a", "m"))
+        met = both.join(busy, "a").unionByName(both.join(busy, "a", "left_anti").join(low.select("a", "m"), "a"))
+        large = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(down.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())

@@ -104,6 +104,15 @@ m AS (SELECT w.doc_id, w.k, word, r.k IS NOT NULL AS s FROM w LEFT JOIN r ON w.d
 f AS (SELECT doc_id, k, word, bool_or(s) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
 a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op4_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [list_aggregate(ws, 'string_agg', ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda k: list_aggregate(ws[k:k + 4], 'string_agg', ' ')) END) AS gram FROM d WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE c.n >= 0.8 * (x.n + y.n - c.n) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS seen FROM d UNION SELECT doc_id, b FROM reach JOIN links ON seen = a),
+m AS (SELECT doc_id, min(seen) AS class_id FROM reach GROUP BY 1)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM m""",
     "op10_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
