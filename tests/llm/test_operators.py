@@ -512,3 +512,24 @@ def test_pipeline(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_pipeline_takes_odd_rows(spark, odd, none, tmp_path):
+    """Every stage on nulls, blanks, a long text, repeated rows and clashing names, and on no rows."""
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", none)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, 1, 0), (6, 1, 0), (3, None, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = {}
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert k == 4 or out.columns == docs.columns
+            found[stage] = out.collect()
+        if name == "none":
+            assert not any(found.values()) and corpus_pipeline.run(spark, folder).count() == 0
+        else:
+            assert sorted(r.doc_id or 0 for r in found["n-gram jaccard join"]) == [0, 1, 2, 3, 4, 5, 7]
+            assert {r.doc_id for r in found["substring dedup"]} == {None, 1, 7} and sum(r.length for r in found["best-fit packing"] if r.doc_id == 2) == 1
+            corpus_pipeline.run(spark, folder).collect()
