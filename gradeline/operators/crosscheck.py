@@ -96,3 +96,18 @@ def population(raw: DataFrame, prefix: str, width: int) -> DataFrame:
     """Rows whose key has the prefix: the rest of the key, and the value with negative sentinels as null."""
     value = F.col("value").try_cast("bigint")
     return raw.filter(F.col("key").startswith(prefix)).select(F.substring("key", len(prefix) + 1, width).alias("geoid"), F.when(value >= 0, value).alias("population"))
+
+
+def population_report(rows: DataFrame) -> DataFrame:
+    """One row on staged population lines: lines, areas, lines without a value, people, and codes that are not five digits."""
+    return rows.agg(F.count("*").alias("n_lines"), F.countDistinct("geoid").alias("areas"), F.count_if(F.col("population").isNull()).alias("without_value"), F.sum("population").alias("people"), F.count_if(~F.coalesce(F.col("geoid").rlike("^[0-9]{5}$"), F.lit(False))).alias("malformed"))
+
+
+def boundary_report(polygons: DataFrame) -> DataFrame:
+    """One row on staged polygons: polygons, areas, those without rings, and codes that are not five digits."""
+    return polygons.agg(F.count("*").alias("polygons"), F.countDistinct("geoid").alias("areas"), F.count_if(F.coalesce(F.size("rings"), F.lit(0)) <= 0).alias("without_rings"), F.count_if(~F.coalesce(F.col("geoid").rlike("^[0-9]{5}$"), F.lit(False))).alias("malformed"))
+
+
+def national_total(report: DataFrame, stated: int) -> DataFrame:
+    """The report's row if its people are not the stated total."""
+    return report.select("people", F.lit(stated).cast("long").alias("stated")).filter(~F.col("people").eqNullSafe(F.col("stated")))

@@ -12,6 +12,7 @@ from gradeline.operators import checks, crosscheck, export, ingest, panel, serve
 from gradeline.plans import adapters
 from gradeline.plans.adapters import POINT_KEY
 from gradeline.plans.oracle import FLOOR, PCT, PKEY, TALLY, _class, _digit, _pad, counts, sql
+from gradeline.sources import vintages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,10 +168,10 @@ def vintage_counts(s, d):
     return adapters.panel(s, d).groupBy("vintage_year").agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT unified, count(*) AS n FROM (SELECT coalesce(CASE WHEN vintage_year >= 1998 THEN superstructure END, nullif(trim(substructure), '')) AS unified FROM panel) GROUP BY ALL")
+@query("SELECT unified, count(*) AS n FROM (SELECT coalesce(nullif(trim(CASE WHEN vintage_year >= 1998 THEN superstructure END), ''), nullif(trim(substructure), '')) AS unified FROM panel) GROUP BY ALL")
 def coalesce_renamed(s, d):
-    unified = F.coalesce(F.when(F.col("vintage_year") >= 1998, F.col("superstructure")), ratings.blank_to_null(F.col("substructure")))
-    return adapters.panel(s, d).groupBy(unified.alias("unified")).agg(F.count("*").alias("n"))
+    rows = adapters.panel(s, d).withColumn("later", F.when(F.col("vintage_year") >= 1998, F.col("superstructure")))
+    return vintages.unified(rows, {"unified": ["later", "substructure", "never"]}, {}).groupBy("unified").agg(F.count("*").alias("n"))
 
 
 # transitions
@@ -314,8 +315,7 @@ def upsert_latest(s, d):
 
 @query("SELECT k AS prop, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
 def json_props(s, d):
-    found = F.from_json("props", "map<string,string>")
-    return adapters.table(s, d, "events").select(F.explode(F.map_keys(found)).alias("prop")).groupBy("prop").agg(F.count("*").alias("n"))
+    return vintages.manifest_rows(adapters.table(s, d, "events"), "props", key="prop").groupBy("prop").agg(F.count("*").alias("n"))
 
 
 @query("SELECT geoid, population, count(*) AS n FROM pop GROUP BY ALL")
@@ -411,15 +411,15 @@ def nullsafe_upsert(s, d):
 
 @query("SELECT count(*) AS n_lines, count(DISTINCT geoid) AS areas, count(*) FILTER (population IS NULL) AS without_value, CAST(sum(population) AS BIGINT) AS people, count(*) FILTER (NOT regexp_full_match(geoid, '[0-9]{5}')) AS malformed FROM pop")
 def staging_reconcile(s, d):
-    p = crosscheck.population(adapters.population_lines(s, d), "0500000US", 5)
-    return p.agg(F.count("*").alias("n_lines"), F.countDistinct("geoid").alias("areas"), F.count_if(F.col("population").isNull()).alias("without_value"), F.sum("population").alias("people"), F.count_if(~F.col("geoid").rlike("^[0-9]{5}$")).alias("malformed"))
+    return crosscheck.population_report(crosscheck.population(adapters.population_lines(s, d), "0500000US", 5))
 
 
 @query("SELECT vintage_year, n_rows, n_rows + 1 AS stated FROM (SELECT vintage_year, count(*) AS n_rows FROM panel GROUP BY ALL) WHERE vintage_year % 2 = 0")
 def vintage_reconcile(s, d):
-    per = adapters.panel(s, d).groupBy("vintage_year").agg(F.count("*").alias("n_rows"))
-    manifest = per.select("vintage_year", (F.col("n_rows") + (F.col("vintage_year") % 2 == 0).cast("int")).alias("stated"))
-    return per.join(manifest, "vintage_year").filter("n_rows <> stated")
+    rows = adapters.panel(s, d)
+    even = (F.col("vintage_year") % 2 == 0).cast("int")
+    manifest = rows.groupBy("vintage_year").agg(F.count("*").alias("n")).select("vintage_year", (F.col("n") + even).alias("stated"))
+    return vintages.differing_counts(rows, manifest, "vintage_year", "stated")
 
 
 # serving

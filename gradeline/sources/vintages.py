@@ -74,6 +74,26 @@ def footer_differences(spark: SparkSession, path: str, partition: str = "VINTAGE
     return {f: d for f, d in differ.items() if d}
 
 
+def unified(df: DataFrame, renamed: dict[str, list[str]], numbers: dict[str, str]) -> DataFrame:
+    """`df` with one column for names that changed over the years (the first given one that is not blank; names that no
+    vintage here has are passed over) and numbers (ours -> published) as doubles, null where the text is none."""
+    text = {ours: [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in df.columns] for ours, names in renamed.items()}
+    merged = {ours: F.coalesce(*found) if found else F.lit(None).cast("string") for ours, found in text.items()}
+    return df.withColumns(merged | {ours: F.trim(F.col(c).cast("string")).try_cast("double") for ours, c in numbers.items()})
+
+
+def manifest_rows(df: DataFrame, json: str, entry: str = "string", key: str = "key", value: str = "entry") -> DataFrame:
+    """A row for each key of JSON objects, with what it holds read as `entry` (a type, nested or not)."""
+    held = F.from_json(F.col(json), f"map<string,{entry}>")
+    return df.select(F.explode(held).alias(key, value))
+
+
+def differing_counts(rows: DataFrame, manifest: DataFrame, year: str, stated: str) -> DataFrame:
+    """Vintages that the manifest states with another number of rows than there are; one that either side lacks differs."""
+    per = rows.groupBy(year).agg(F.count("*").alias("n_rows"))
+    return per.join(manifest.select(year, stated), year, "full_outer").filter(~F.col("n_rows").eqNullSafe(F.col(stated)))
+
+
 def catalog(summaries: list[tuple[int, str, str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """(vintages, totals): each (year, file, sha256, `summary`) as a row in order of the year, and the sums of all."""
     rows = None

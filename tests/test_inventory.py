@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeline.functions import codes, ratings
-from gradeline.operators import checks, export, ingest, panel, publish, serve, spatial, transitions
+from gradeline.operators import checks, crosscheck, export, ingest, panel, publish, serve, spatial, transitions
 from gradeline.plans import adapters, queries
 from gradeline.sources import boundaries, snapshot, vintages
 from gradeline.streaming.landing import load_landing
@@ -181,6 +181,19 @@ def test_vintage_catalog_and_footers(spark, tmp_path):
     assert [(r.year, r.read) for r in listed.collect()] == [(2000, 3), (2001, 4)] and tuple(totals.first()) == (2, 2000, 2001, 7, 6, 1)
 
 
+def test_renames_manifest_and_staging(spark):
+    df = spark.createDataFrame([(" ", "G", "1.5"), ("F", "G", "x"), (None, None, None)], "new string, old string, area string")
+    assert [(r.c, r.a, r.z) for r in vintages.unified(df, {"c": ["new", "gone", "old"], "z": ["gone"]}, {"a": "area"}).collect()] == [("G", 1.5, None), ("F", None, None), (None, None, None)]
+    text = spark.createDataFrame([('{"2000": {"rows": 3, "file": {"sha": "h"}}, "2001": {"rows": 1}}',)], "j string")
+    listed = vintages.manifest_rows(text, "j", "struct<rows:bigint,file:struct<sha:string>>").selectExpr("cast(key as int) y", "entry.rows stated", "entry.file.sha sha")
+    assert sorted(map(tuple, listed.collect()), key=str) == [(2000, 3, "h"), (2001, 1, None)]
+    rows = spark.createDataFrame([(2000,)] * 3 + [(2002,)], "y int")
+    assert sorted(map(tuple, vintages.differing_counts(rows, listed, "y", "stated").collect())) == [(2001, None, 1), (2002, 1, None)]
+    assert tuple(crosscheck.boundary_report(adapters.polygons(spark)).first()) == (5, 5, 0, 0)
+    people = crosscheck.population_report(spark.createDataFrame([("01001", 5), ("1", None)], "geoid string, population bigint"))
+    assert tuple(people.first()) == (2, 2, 1, 5, 1) and crosscheck.national_total(people, 5).count() == 0 and crosscheck.national_total(people, 6).count() == 1
+
+
 def test_geojson_with_run(spark, tmp_path):
     df = spark.createDataFrame([("b", 1.0, 2.0), ("a", 3.0, 4.0)], "id string, lon double, lat double")
     assert export.write_geojson(df, ["id"], F.col("id"), ["id"], str(tmp_path / "g"), "run7") == 2
