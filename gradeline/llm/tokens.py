@@ -109,6 +109,9 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in shown]
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        apart = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", "a b", " a\tb\n", "a  b")]
+        if any(x != apart[0] + apart[1] for x in apart[2:]):
+            raise ValueError(f"{path}: tokens depend on white space")
         self.memo, self.parts = Memo(self.dtype), {}
 
     def _learn(self, words: list[bytes]) -> tuple[list[int], list[int]]:

@@ -288,6 +288,13 @@ def test_encoder_equals_library(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_refuses_tokens_with_spaces():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_files(spark, odd, none):
     manifest = write_token_files(odd)
     rows = read_token_files(spark, manifest).orderBy("start").collect()
