@@ -192,9 +192,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     found = cut(loaded.groupBy("label", "band", "low", "high").applyInPandas(compare, "a binary, b binary, links bigint"))
     links = found.groupBy(F.col("a").alias("_key")).agg(F.sum("links").alias("links"))
     linked = connected_components(found.select("a", "b")).select(F.col("node").alias("_key"), F.col("component").alias("class_key"))
-    full = nodes.select("_key", "first_id", "copies", F.col("bands").isNull().alias("bare")).join(links, "_key", "left").join(linked, "_key", "left").withColumn("class_key", F.coalesce("class_key", "_key"))
-    classes = full.groupBy("class_key").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "_key")).alias("best"))
-    full = full.join(classes, "class_key")
+    full = nodes.select("_key", "first_id", "copies", F.col("bands").isNull().alias("bare")).join(links, "_key", "left").join(linked, "_key", "left")
+    full = cut(full.withColumn("class_key", F.coalesce("class_key", "_key")))
+    classes = cut(full.groupBy("class_key").agg(F.count("*").alias("many"), F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "_key")).alias("best")))
+    full = join_copies(full, classes, "class_key", "many")
     full = cut(full.select("_key", "copies", "class_key", "class_id", "bare", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("best._key").alias("best_key")))
     rows_ = join_copies(own.select("_id", "_key"), full, "_key", "copies")
     return rows_.select(
