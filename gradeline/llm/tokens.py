@@ -14,6 +14,8 @@ from gradeline.llm.common import Words, slices
 
 #: Words kept with their ids in a worker; the memory is bounded, the results don't depend on it.
 MEMO_WORDS = 1_000_000
+#: Parts of new words kept likewise; they only spare work on words that share them.
+MEMO_PARTS = 100_000
 
 
 def default_path() -> str:
@@ -120,6 +122,8 @@ class WordEncoder:
         sizes = []
         text = b"\n".join(words).decode("utf-8", "replace")
         marked = any(x in text for x in self.special)
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
         tokenize, held = self.tokenizer.model.tokenize, self.parts
         for s in text.split("\n"):
             before = len(flat)
@@ -147,7 +151,6 @@ class WordEncoder:
             if self.memo.n + len(distinct) > MEMO_WORDS:
                 # what came first came often; later words make room
                 self.memo.forget(MEMO_WORDS * 3 // 4)
-                self.parts.clear()
                 new = np.flatnonzero(self.memo.find(hashes) < 0)
                 distinct, first = np.unique(hashes[new], return_index=True)
             raw, first = words.data.tobytes(), new[first]
