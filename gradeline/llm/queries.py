@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeline.llm.alignment import align_documents
 from gradeline.llm.common import cut, held_out, join_copies, read
+from gradeline.llm.conversations import repair_report
+from gradeline.llm.digest_index import exact_groups
 from gradeline.llm.grid_join import near_vectors
 from gradeline.llm.mixing import mix_plan
 from gradeline.llm.ngram_join import jaccard_classes
@@ -75,10 +78,36 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_quality, op4_ngram_join, op5_packing, op6_pitman_yor, op7_grid_join, op8_token_files, op9_substring, op10_rules)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(read(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_quality, op4_ngram_join, op5_packing, op6_pitman_yor, op7_grid_join, op8_token_files, op9_substring, op10_rules, op11_exact_dedup, op12_token_alignment, op13_conversation_repair)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _add(state: str, cost: int | str, letter: str) -> str:
+    """SQL: a conversation's state (twelve digits of cost, then the audit) after one more edit."""
+    return f"printf('%012d', CAST({state}[1:12] AS BIGINT) + {cost}) || {state}[13:] || '{letter}'"
+
+
+def _state(z0: str, z1: str, z2: str, z3: str) -> str:
+    """SQL: the best way to each state (nothing, system, user, assistant), insertions included."""
+    user = f"least(y2, {_add('y0', 5, 'I')}, {_add('y1', 5, 'I')}, {_add('y3', 5, 'I')})"
+    return f"y0 AS z0, y1 AS z1, {user} AS z2, least(y3, {_add(f'({user})', 5, 'I')}) AS z3".replace("y0", f"({z0})").replace("y1", f"({z1})").replace("y2", f"({z2})").replace("y3", f"({z3})")
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
@@ -131,4 +160,25 @@ links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good
 reach AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT vec_id, b FROM reach JOIN links ON seen = a),
 c AS (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id)""",
+    "op11_exact_dedup": """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, (SELECT unnest([0, 1]) AS again) WHERE kind <> 0 AND (again = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM d),
+f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS prev, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS short FROM o),
+r AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN short THEN 5 ELSE 0 END AS more FROM f),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (short AND NOT gone) AS truncated, count(*) FILTER (k > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM r GROUP BY 1),
+s AS (SELECT conv_id, 0::BIGINT AS k, {_state("'000000000000'", *["CAST(NULL AS VARCHAR)"] * 3)} FROM m UNION ALL
+  SELECT i.conv_id, i.k, {_state(_add("z0", 2, "D"), f"least({_add('z1', 2, 'D')}, CASE WHEN NOT gone AND ini = 's' THEN {_add('z0', 'more', 'K')} END)", f"least({_add('z2', 2, 'D')}, CASE WHEN NOT gone AND ini = 'u' THEN least({', '.join(_add(z, 'more', 'K') for z in ('z0', 'z1', 'z3'))}) END, CASE WHEN NOT gone THEN least({', '.join(_add(z, 'more + 1', 'R') for z in ('z0', 'z1', 'z3'))}) END)", f"least({_add('z3', 2, 'D')}, CASE WHEN NOT gone AND ini = 'a' THEN {_add('z2', 'more', 'K')} END, CASE WHEN NOT gone THEN {_add('z2', 'more + 1', 'R')} END)")} FROM (SELECT r.conv_id, r.k, ini, gone, more, z0, z1, z2, z3 FROM s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = s.k + 1) i),
+e AS (SELECT s.conv_id, least(z0, z3) AS best FROM s JOIN m ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.k = n),
+a AS (SELECT conv_id, CAST(best[1:12] AS BIGINT) AS cost, best[13:] AS audit FROM e),
+l AS (SELECT conv_id, i, audit[i] AS c, i - len(replace(audit[1:i], 'I', '')) AS inserted, len(replace(audit[1:i], 'I', '')) AS k, len(replace(audit[1:i], 'D', '')) - 1 AS place FROM a, (SELECT unnest(range(1, (SELECT max(len(audit)) + 1 FROM a))) AS i) WHERE i <= len(audit)),
+g AS (SELECT l.*, r.role, r.text, max(CASE WHEN c = 'K' AND place = 0 AND r.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS lead FROM l LEFT JOIN r ON l.conv_id IS NOT DISTINCT FROM r.conv_id AND l.k = r.k),
+w AS (SELECT conv_id, string_agg(CASE WHEN c = 'K' THEN role ELSE CASE WHEN (place - lead) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS told FROM g WHERE c <> 'D' GROUP BY 1),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM c LEFT JOIN m ON c.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id""",
 }

@@ -80,6 +80,13 @@ class Memo:
         self._resize(len(self.entry))
 
 
+def byte_signs() -> dict[int, str]:
+    """Byte-level: printable bytes stand for themselves, the others for the signs from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes whole texts of a tokenizer whose tokens never span white space, one distinct word at a time.
 
@@ -106,10 +113,7 @@ class WordEncoder:
         flat = [x["type"] for s in steps for x in (s or {}).get("normalizers", (s or {}).get("pretokenizers", [s or {"type": ""}]))]
         self.in_parts = flat == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and told["model"]["type"] == "BPE" and steps[1]["pretokenizers"][0]["pattern"].get("Regex") == self.PARTS
         self.part = regex.compile(self.PARTS)
-        # Byte-level: printable bytes stand for themselves, the others for the signs from 256 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in shown]
-        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.signs = byte_signs()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         apart = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", "a b", " a\tb\n", "a  b")]
         if any(x != apart[0] + apart[1] for x in apart[2:]):
