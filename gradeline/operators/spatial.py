@@ -1,10 +1,12 @@
-"""Points and polygons: strict containment, touching, and bounded nearest, as hash joins on grid cells."""
+"""Points and polygons: strict containment, touching, and bounded nearest, as joins on the cells of a grid that follows the polygons."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeline.operators.hot import join_dealt
+
 EARTH = 6371008.8
 
 
@@ -36,27 +38,88 @@ def _on_edge(x: Column, y: Column, e: Column) -> Column:
     return F.exists(e, lambda s: flat(s) & inside(s))
 
 
-def candidates(points: DataFrame, polygons: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
-    """Points with the polygons whose box, widened by reach, holds them. An equality join on cells; Spark broadcasts the
-    polygons if they are small and shuffles by cell otherwise."""
-    boxed = with_box(polygons)
-    span = lambda low, high: F.sequence(F.floor((F.col(low) - reach) / cell), F.floor((F.col(high) + reach) / cell))
-    tiles = boxed.withColumn("_cx", F.explode(span("west", "east"))).withColumn("_cy", F.explode(span("south", "north")))
-    placed = points.withColumns({"_cx": F.floor(F.col("lon") / cell), "_cy": F.floor(F.col("lat") / cell)})
-    near = F.col("lon").between(F.col("west") - reach, F.col("east") + reach) & F.col("lat").between(F.col("south") - reach, F.col("north") + reach)
-    return placed.join(tiles, ["_cx", "_cy"]).filter(near).drop("_cx", "_cy")
+#: Polygons of up to so many edges go to the tasks whole; more meet the points by cells.
+BROADCAST_EDGES = 200_000
+#: Cells across a polygon's box: half the root of its edges, at least and at most so many. A polygon of more than WIDE cells
+#: of one level goes to the next, whose cells are STEP times as large.
+FEWEST, MOST, WIDE, STEP = 2, 16, 64, 16
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float = 8.0) -> DataFrame:
-    """`points` columns and `geoid` for each polygon that holds the point strictly inside."""
-    x, y, e = F.col("lon"), F.col("lat"), F.col("edges")
-    return candidates(points, polygons, cell).filter(_crossings_odd(x, y, e) & ~_on_edge(x, y, e)).select(*points.columns, "geoid")
+def grid_of(polygons: DataFrame, cell: float | None = None) -> tuple[list[float], int]:
+    """(cell size of each level, edges of all polygons). The first level follows the polygons' boxes and numbers of edges, each
+    further one is STEP times as coarse and holds what is too large for those before."""
+    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    across = F.least(F.lit(float(MOST)), F.greatest(F.lit(float(FEWEST)), F.sqrt(F.size("edges").cast("double")) / 2))
+    told = with_box(polygons).agg(F.percentile_approx(F.nullif(extent / across, F.lit(0.0)), 0.5), F.max(extent), F.sum(F.size("edges").cast("long"))).first()
+    sizes = [float(cell or told[0] or 1.0)]
+    while (told[1] or 0.0) > WIDE * sizes[-1]:
+        sizes.append(sizes[-1] * STEP)
+    return sizes, told[2] or 0
 
 
-def touching_polygons(points: DataFrame, polygons: DataFrame, key: list[str], cell: float = 8.0) -> DataFrame:
+def polygon_index(polygons: DataFrame, sizes: list[float], reach: float = 0.0) -> DataFrame:
+    """Cells with the polygons that may hold a point in them: _level, _cx, _cy, geoid, near, base, steps.
+
+    `near` has the edges whose box, widened by reach, meets the cell; no others can pass through a point there or stand on one
+    side of it or the other. Edges that lie wholly to the right of the cell are crossed by a ray to the right wherever they
+    span its height: their chains count by the heights of their ends alone, where pairs cancel. `steps` has those heights
+    within the cell, `base` whether an odd number lies above it. Sums over both give what all edges would, with the same
+    comparisons. Cells that a polygon neither meets nor covers have no row.
+    """
+    boxed = with_box(polygons)
+    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.lit(len(sizes) - 1)
+    for k in range(len(sizes) - 2, -1, -1):
+        level = F.when(extent <= WIDE * sizes[k], k).otherwise(level)
+    boxed = boxed.withColumn("_level", level.cast("int")).withColumn("_size", F.get(F.array(*map(F.lit, sizes)), F.col("_level")))
+    size, slack = F.col("_size"), F.col("_size") * 1e-9 + F.lit(reach)
+    span = lambda low, high: F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size))
+    low, high = lambda e, c: F.least(e[f"{c}1"], e[f"{c}2"]), lambda e, c: F.greatest(e[f"{c}1"], e[f"{c}2"])
+    each = boxed.select("geoid", "west", "east", "_level", "_size", F.explode("edges").alias("e"))
+    each = each.withColumn("_cy", F.explode(span(low(F.col("e"), "y"), high(F.col("e"), "y"))))
+    bands = each.groupBy("geoid", "west", "east", "_level", "_size", "_cy").agg(F.collect_list("e").alias("band"))
+    cells = bands.withColumn("_cx", F.explode(span(F.col("west"), F.col("east"))))
+    left, right = F.col("_cx") * size, (F.col("_cx") + 1) * size
+    bottom, top = F.col("_cy") * size, (F.col("_cy") + 1) * size
+    near = F.filter("band", lambda e: (high(e, "x") >= left - slack) & (low(e, "x") <= right + slack))
+    ends = F.array_sort(F.flatten(F.transform(F.filter("band", lambda e: low(e, "x") > right + slack), lambda e: F.array(e["y1"], e["y2"]))))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    odd = F.aggregate(ends, F.array().cast("array<double>"), lambda a, y: F.when(last(a) == y, F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(y))))
+    cells = cells.select("_level", "_cx", "_cy", "geoid", near.alias("near"), odd.alias("odd"), (bottom - slack).alias("_low"), (top + slack).alias("_high"))
+    base = F.size(F.filter("odd", lambda y: y > F.col("_high"))) % 2 == 1
+    cells = cells.select("_level", "_cx", "_cy", "geoid", "near", base.alias("base"), F.filter("odd", lambda y: (y > F.col("_low")) & (y <= F.col("_high"))).alias("steps"))
+    return cells.filter((F.size("near") > 0) | F.col("base") | (F.size("steps") > 0))
+
+
+def candidates(points: DataFrame, polygons: DataFrame, cell: float | None = None, reach: float = 0.0) -> DataFrame:
+    """Points with the rows of `polygon_index` of their cells, one equality join. The index goes to the tasks whole if the
+    polygons have few edges; else it meets the points by cells, and cells that are dense with points are dealt to many tasks.
+    Points without coordinates meet nothing."""
+    sizes, n_edges = grid_of(polygons, cell)
+    index = polygon_index(polygons, sizes, reach)
+    at = F.array(*[F.struct(F.lit(k).alias("l"), F.floor(F.col("lon") / s).alias("x"), F.floor(F.col("lat") / s).alias("y")) for k, s in enumerate(sizes)])
+    placed = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("_at", F.explode(at))
+    placed = placed.withColumns({"_level": F.col("_at.l"), "_cx": F.col("_at.x"), "_cy": F.col("_at.y")}).drop("_at")
+    on = ["_level", "_cx", "_cy"]
+    met = placed.join(F.broadcast(index), on) if n_edges <= BROADCAST_EDGES else join_dealt(placed, index, on)
+    return met.drop(*on)
+
+
+def _inside() -> Column:
+    """Whether a ray to the right crosses an odd number of edges."""
+    above = F.size(F.filter("steps", lambda y: y > F.col("lat"))) % 2 == 1
+    return (F.col("base") != above) != _crossings_odd(F.col("lon"), F.col("lat"), F.col("near"))
+
+
+def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
+    """`points` columns and `geoid` for each polygon that holds the point strictly inside. cell: the first level's size, if
+    it shall not follow the polygons."""
+    return candidates(points, polygons, cell).filter(_inside() & ~_on_edge(F.col("lon"), F.col("lat"), F.col("near"))).select(*points.columns, "geoid")
+
+
+def touching_polygons(points: DataFrame, polygons: DataFrame, key: list[str], cell: float | None = None) -> DataFrame:
     """Per point the number of polygons that hold or touch it and the first of their codes."""
-    x, y, e = F.col("lon"), F.col("lat"), F.col("edges")
-    hit = candidates(points, polygons, cell).filter(_on_edge(x, y, e) | _crossings_odd(x, y, e))
+    hit = candidates(points, polygons, cell).filter(_on_edge(F.col("lon"), F.col("lat"), F.col("near")) | _inside())
     return hit.groupBy(*key).agg(F.count("*").cast("int").alias("touching"), F.min("geoid").alias("first_geoid"))
 
 
@@ -64,11 +127,11 @@ def unmatched_points(points: DataFrame, matched: DataFrame, key: list[str]) -> D
     return points.join(matched.select(*key).distinct(), key, "left_anti")
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, key: list[str], reach: float, cell: float = 8.0) -> DataFrame:
+def nearest_polygon(points: DataFrame, polygons: DataFrame, key: list[str], reach: float, cell: float | None = None) -> DataFrame:
     """Per point the polygon within reach (planar) whose closest boundary point is nearest in spherical metres, then by code.
 
-    The closest point is taken in the plane, its distance on the sphere. Edges stay inside the row of a point and a
-    polygon, which alone meets the grouped minimum."""
+    The closest point is taken in the plane, its distance on the sphere. Only the edges near a point's cell are looked at;
+    one row for a point and a polygon meets the grouped minimum."""
     x, y = F.col("lon"), F.col("lat")
 
     def closest(s: Column) -> Column:
@@ -78,7 +141,7 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, key: list[str], reac
         px, py = s["x1"] + t * dx, s["y1"] + t * dy
         return F.struct(((px - x) * (px - x) + (py - y) * (py - y)).alias("d2"), px.alias("px"), py.alias("py"), x.alias("lon"), y.alias("lat"))
 
-    closest_ = F.array_min(F.transform("edges", closest)).alias("c")
+    closest_ = F.array_min(F.transform("near", closest)).alias("c")
     closest_rows = candidates(points, polygons, cell, reach).select(*key, "geoid", closest_).filter(F.col("c.d2") <= reach * reach)
     h = F.pow(F.sin(F.radians(F.col("c.py") - F.col("c.lat")) / 2), 2) + F.cos(F.radians("c.lat")) * F.cos(F.radians("c.py")) * F.pow(F.sin(F.radians(F.col("c.px") - F.col("c.lon")) / 2), 2)
     metres = F.round(2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), h)))).cast("long")

@@ -63,6 +63,27 @@ POLYGONS = [
     ("02003", "North", [[(5, 15), (15, 15), (15, 25), (5, 25), (5, 15)]]),
     ("03001", "Empty", [[(100, 60), (110, 60), (110, 70), (100, 70), (100, 60)]]),
 ]
+#: Areas with jagged sides of 30 edges each, one for each part; some are far larger than the others. Units of 1/1024 degree.
+AREA_BASE = [
+    "lpad(cast(p_partkey as string), 9, '0') as geoid",
+    "cast(p_partkey as bigint) as p",
+    "cast(case when p_partkey % 97 = 0 then 8192 else 256 + (p_partkey * 31) % 768 end as bigint) as w",
+    "(cast(p_partkey as bigint) * 7919) % 40960 as x0",
+    "(cast(p_partkey as bigint) * 15485863) % 28672 as y0",
+]
+#: For the k-th vertex: its place along the side, how far it stands off the side, and its coordinates.
+AREA_ALONG = "cast(floor(w * (k % 30) / 30.0) as bigint)"
+AREA_OFF = "(case when k % 30 = 0 then 0 else (p * 131 + k * 7919) % cast(floor(w / 16.0) as bigint) - cast(floor(w / 32.0) as bigint) end)"
+AREA_X = f"cast(x0 + (case cast(floor(k / 30.0) as int) when 0 then {AREA_ALONG} when 1 then w + {AREA_OFF} when 2 then w - {AREA_ALONG} else {AREA_OFF} end) as double) / cast(1024 as double)"
+AREA_Y = f"cast(y0 + (case cast(floor(k / 30.0) as int) when 0 then {AREA_OFF} when 1 then {AREA_ALONG} when 2 then w + {AREA_OFF} else w - {AREA_ALONG} end) as double) / cast(1024 as double)"
+#: How far from a point its nearest area may lie, in degrees.
+AREA_REACH = 0.25
+#: Points in the region of the areas and a little beyond, one for each order.
+AREA_POINTS = [
+    "cast(o_orderkey as bigint) as point",
+    "cast((cast(o_orderkey as bigint) * 7907) % 49152 as double) / cast(1024 as double) as lon",
+    "cast((cast(o_orderkey as bigint) * 104729) % 36864 as double) / cast(1024 as double) as lat",
+]
 POINT_KEY = ["state_code", "structure_number", "record_type"]
 
 
@@ -98,3 +119,13 @@ def population_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_nationkey") % 7 == 2, "-555555555").otherwise((F.col("n_nationkey") * 1000).cast("string")).alias("value"),
         "n_nationkey",
     )
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(geoid, rings): jagged areas of 120 edges from the parts."""
+    ring = f"transform(sequence(0, 120), j -> transform(array(j % 120), k -> named_struct('x', {AREA_X}, 'y', {AREA_Y}))[0])"
+    return table(spark, sf_dir, "part").selectExpr(*AREA_BASE).selectExpr("geoid", f"array({ring}) as rings")
+
+
+def area_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*AREA_POINTS)

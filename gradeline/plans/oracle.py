@@ -6,7 +6,7 @@ import re
 
 from gradeline.functions import codes
 from gradeline.operators.panel import COMPONENTS
-from gradeline.plans.adapters import INVENTORY, PANEL, POLYGONS, RAW
+from gradeline.plans.adapters import AREA_BASE, AREA_POINTS, AREA_REACH, AREA_X, AREA_Y, INVENTORY, PANEL, POLYGONS, RAW
 
 FLOOR = 5
 
@@ -84,7 +84,7 @@ CTES: dict[str, str] = {
     "areas": "SELECT 'state' AS level, state_code AS fips, vintage_year, condition_class FROM sy UNION ALL SELECT 'county', state_code || county_code, vintage_year, condition_class FROM sy WHERE county_code IS NOT NULL",
     "roll": f"SELECT level, fips, vintage_year, {counts()} FROM areas GROUP BY ALL",
     "lng": " UNION ALL ".join(f"SELECT vintage_year, state_code, structure_number, material, design, '{c}' AS component, {c} AS rating FROM sy WHERE {c} IS NOT NULL" for c in COMPONENTS),
-    "pairs": "SELECT a.state_code, a.structure_number, a.component, a.vintage_year AS from_year, a.rating AS from_rating, b.rating AS to_rating, a.material, a.design FROM lng a JOIN lng b ON a.state_code = b.state_code AND a.structure_number = b.structure_number AND a.component = b.component AND b.vintage_year = a.vintage_year + 1",
+    "pairs": "SELECT * EXCLUDE (next_year) FROM (SELECT state_code, structure_number, component, vintage_year AS from_year, rating AS from_rating, lead(rating) OVER w AS to_rating, lead(vintage_year) OVER w AS next_year, material, design FROM lng WINDOW w AS (PARTITION BY state_code, structure_number, component ORDER BY vintage_year)) WHERE next_year = from_year + 1",
     "coh": "SELECT p.*, CASE WHEN material IS NULL THEN 'Not published' ELSE mg END AS material_group, CASE WHEN design IS NULL THEN 'Not published' ELSE tg END AS type_group, region FROM pairs p LEFT JOIN mats ON material = mc LEFT JOIN typs ON design = tc LEFT JOIN regs ON state_code = rc",
     "mapped": "SELECT * FROM coh WHERE material_group IS NOT NULL AND type_group IS NOT NULL AND region IS NOT NULL",
     "stacked": "SELECT component, type_group, material_group, region, from_rating, to_rating, from_year FROM mapped UNION ALL SELECT component, 'All', 'All', 'All', from_rating, to_rating, from_year FROM mapped",
@@ -109,10 +109,26 @@ CTES: dict[str, str] = {
     "vco": f"SELECT *, coalesce(la_f, lo_f) AS fault, CASE WHEN coalesce(la_f, lo_f) IS NULL THEN la_v END AS lat, CASE WHEN coalesce(la_f, lo_f) IS NULL THEN -lo_v END AS lon, {_INT.format('year_built')} AS yb, {_INT.format('adt')} AS ad, CASE WHEN regexp_full_match(replace(trim(length), ',', ''), '[+-]?([0-9]{{1,8}}(\\.[0-9]*)?|\\.[0-9]+)') THEN TRY_CAST(replace(trim(length), ',', '') AS DECIMAL(9,1)) END AS ln FROM vst",
     "val": "SELECT *, list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in _R.items()) + "], lambda x: x IS NOT NULL) AS reasons FROM vco",
     "fvw": "SELECT * EXCLUDE (reasons), CASE WHEN len(reasons) = 0 AND row_number() OVER (PARTITION BY fips, trim(structure_number), record_type, len(reasons) = 0 ORDER BY line_number) > 1 THEN ['duplicate_key'] ELSE reasons END AS reasons FROM val",
+    "jagv": f"SELECT geoid, j, {AREA_X} AS x, {AREA_Y} AS y FROM (SELECT *, j % 120 AS k FROM (SELECT {', '.join(AREA_BASE)} FROM part), (SELECT unnest(range(0, 121)) AS j))",
+    "jagb": "SELECT geoid, min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north FROM jagv GROUP BY 1",
+    "jage": "SELECT v.geoid, v.x AS x1, v.y AS y1, z.x AS x2, z.y AS y2 FROM jagv v JOIN jagv z ON v.geoid = z.geoid AND z.j = v.j + 1",
+    "apts": f"SELECT {', '.join(AREA_POINTS)} FROM orders",
+    "ahit": "SELECT point, lon, lat, geoid FROM apts JOIN jagb ON lon BETWEEN west AND east AND lat BETWEEN south AND north",
+    "aedge": "SELECT point, lon, lat, geoid, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1 AS odd, bool_or((x2 - x1) * (lat - y1) = (y2 - y1) * (lon - x1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2)) AS onb FROM ahit JOIN jage USING (geoid) GROUP BY ALL",
+    "ain": "SELECT point, geoid FROM aedge WHERE odd AND NOT onb",
+    "amiss": "SELECT * FROM apts ANTI JOIN ain USING (point)",
+    "afar": f"SELECT point, lon, lat, geoid FROM amiss JOIN jagb ON lon BETWEEN west - {AREA_REACH} AND east + {AREA_REACH} AND lat BETWEEN south - {AREA_REACH} AND north + {AREA_REACH}",
+    "aseg": "SELECT *, x1 + t * (x2 - x1) AS px, y1 + t * (y2 - y1) AS py FROM (SELECT f.*, e.x1, e.y1, e.x2, e.y2, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0.0), 0.0))) AS t FROM afar f JOIN jage e USING (geoid))",
+    "aclo": "SELECT point, geoid, min(row((px - lon) * (px - lon) + (py - lat) * (py - lat), px, py, lon, lat)) AS c FROM aseg GROUP BY ALL",
+    "anear": f"SELECT point, min(row(m, geoid)) AS b FROM (SELECT point, geoid, CAST(round(2 * 6371008.8::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(c[3] - c[5]) / 2), 2) + cos(radians(c[5])) * cos(radians(c[3])) * pow(sin(radians(c[2] - c[4]) / 2), 2))))) AS BIGINT) AS m FROM aclo WHERE c[1] <= {AREA_REACH} * {AREA_REACH}) GROUP BY 1",
     "grp": f"SELECT state_code, {TALLY} FROM inv WHERE record_type = '1' GROUP BY ALL",
 }
 
 
+#: Computed once where they are used more than once.
+MATERIALIZED = {"jagv", "jage", "ahit", "afar"}
+
+
 def sql(body: str) -> str:
     """The body with the CTEs that it uses, directly or not, in order."""
     used: set[str] = set()
@@ -123,5 +139,5 @@ def sql(body: str) -> str:
             if n not in used and re.search(rf"\b{n}\b", text):
                 used.add(n)
                 todo.append(CTES[n])
-    head = ", ".join(f"{n} AS ({CTES[n]})" for n in CTES if n in used)
+    head = ", ".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTES[n]})" for n in CTES if n in used)
     return f"WITH {head} {body}" if head else body

@@ -346,6 +346,23 @@ def nearest_polygon(s, d):
     return _nearest(s, d)
 
 
+@query("SELECT point, geoid FROM ain")
+def points_in_areas(s, d):
+    return spatial.point_in_polygon(adapters.area_points(s, d), adapters.areas(s, d)).select("point", "geoid")
+
+
+@query("SELECT point, CAST(count(*) AS INT) AS touching, min(geoid) AS first_geoid FROM aedge WHERE odd OR onb GROUP BY 1")
+def areas_touching(s, d):
+    return spatial.touching_polygons(adapters.area_points(s, d), adapters.areas(s, d), ["point"])
+
+
+@query("SELECT point, b[2] AS nearest_geoid, b[1] AS distance_m FROM anear")
+def nearest_areas(s, d):
+    points, areas = adapters.area_points(s, d), adapters.areas(s, d)
+    missed = spatial.unmatched_points(points, spatial.point_in_polygon(points, areas), ["point"])
+    return spatial.nearest_polygon(missed, areas, ["point"], adapters.AREA_REACH)
+
+
 @query("SELECT * FROM unm")
 def unmatched_points(s, d):
     return spatial.unmatched_points(adapters.points(s, d), _assigned(s, d), CK)
