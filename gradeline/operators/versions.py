@@ -11,6 +11,18 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import SparkSession
 
 
+def put_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A small file of a new name; readers see it whole or not at all, and writers of other names don't meet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    hidden, final = path(f"{folder}/.{name}"), path(f"{folder}/{name}")
+    fs = hidden.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hidden, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(hidden, final):
+        raise OSError(f"{final} can't be written")
+
+
 class VersionTaken(RuntimeError):
     """Another writer has published the version that this one was to become."""
 
