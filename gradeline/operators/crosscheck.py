@@ -92,10 +92,10 @@ def with_population(areas: DataFrame, population: DataFrame, key: str) -> DataFr
     return areas.join(given, key, "left").select(*areas.columns, "population", F.when(F.col("_listed").isNull(), "not listed").when(F.col("population").isNull(), "not published").otherwise("published").alias("status"))
 
 
-def population(raw: DataFrame, prefix: str, width: int) -> DataFrame:
-    """Rows whose key has the prefix: the rest of the key, and the value with negative sentinels as null."""
+def population(raw: DataFrame, prefix: str, width: int, *carried: str) -> DataFrame:
+    """Rows whose key has the prefix: the rest of the key, the value with negative sentinels as null, and the carried columns."""
     value = F.col("value").try_cast("bigint")
-    return raw.filter(F.col("key").startswith(prefix)).select(F.substring("key", len(prefix) + 1, width).alias("geoid"), F.when(value >= 0, value).alias("population"))
+    return raw.filter(F.col("key").startswith(prefix)).select(F.substring("key", len(prefix) + 1, width).alias("geoid"), F.when(value >= 0, value).alias("population"), *carried)
 
 
 def population_report(rows: DataFrame) -> DataFrame:

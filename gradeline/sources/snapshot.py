@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import sys
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gradeline.functions.ratings import blank_to_null
 
@@ -25,19 +20,22 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int").alias("line_number"), "line")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_quoted(lines: pd.Series) -> pd.Series:
-    csv.field_size_limit(sys.maxsize)
-    return lines.map(lambda t: None if t is None else next(csv.reader([t]), [""]))
+#: What stands between the quotes, `""` for a quote; taken without going back, so that a field may be of any length.
+_BETWEEN = r'[^"]*+(?:""[^"]*+)*+'
 
 
 def quoted_fields(line: Column) -> Column:
     """Fields of one comma-separated line; a field that starts with a quote goes to its closing quote, `""` is a quote.
 
-    Text after a closing quote is appended as it is; a quote that never closes takes the rest of the line. Lines without
-    quotes are split by Spark; only the others go to Python, as no regular expression of the JVM reads fields of any length."""
-    quoted = line.contains('"')
-    return F.when(quoted, _split_quoted(F.when(quoted, line))).otherwise(F.split(line, ",", -1))
+    Text after a closing quote is appended as it is; a quote that never closes takes the rest of the line. Each field is
+    found with the comma before it, so the line gets one in front."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf',(?:"{_BETWEEN}(?:"[^,]*+|\z)|[^,]*+)'), 0)
+
+    def plain(f: Column) -> Column:
+        inner, tail = F.regexp_extract(f, f'^,"({_BETWEEN})', 1), F.regexp_extract(f, f'^,"{_BETWEEN}"([^,]*+)', 1)
+        return F.when(f.startswith(',"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), tail)).otherwise(F.substring(f, 2, 2**31 - 1))
+
+    return F.when(line.contains('"'), F.transform(fields, plain)).otherwise(F.split(line, ",", -1))
 
 
 def bind_header(header: list[str], required: list[str]) -> dict[str, int]:
@@ -68,8 +66,3 @@ def read_snapshot(spark: SparkSession, path: str, columns: dict[str, str], requi
     for k in key:
         bad = bad | F.col(k).isNull()
     return rows.select("line_number", F.col("line").alias("raw_line"), F.when(bad, "row_structural_fault").alias("fault"), *columns.values())
-
-
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of the bytes of each file."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"))

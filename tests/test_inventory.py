@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeline.functions import codes, ratings
 from gradeline.operators import checks, crosscheck, export, ingest, panel, publish, serve, spatial, transitions
 from gradeline.plans import adapters, queries
-from gradeline.sources import boundaries, snapshot, vintages
+from gradeline.sources import boundaries, files, snapshot, vintages
 from gradeline.streaming.landing import load_landing
 
 SF = "/root/testdata/sf0.001"
@@ -172,10 +172,11 @@ def test_boundaries(spark, tmp_path):
 def test_vintage_catalog_and_footers(spark, tmp_path):
     rows = spark.createDataFrame([(2000, "a"), (2000, "b"), (2001, "c")], "VINTAGE_YEAR smallint, x string")
     vintages.write_vintages(rows, str(tmp_path / "v"))
-    assert vintages.footer_differences(spark, str(tmp_path / "v")) == {}
+    assert files.footer_differences(spark, str(tmp_path / "v")).count() == 0
     assert checks.written_per_vintage(rows, spark.createDataFrame([(2000, 2), (2001, 2)], "VINTAGE_YEAR smallint, converted bigint")).collect()[0].asDict() == {"VINTAGE_YEAR": 2001, "converted": 2, "written": 1}
     spark.createDataFrame([(2002, 1, 2)], "VINTAGE_YEAR smallint, x int, y int").write.mode("append").partitionBy("VINTAGE_YEAR").parquet(str(tmp_path / "v"))
-    assert list(vintages.footer_differences(spark, str(tmp_path / "v")).values()) == [{"x": ("int", "string"), "y": ("int", None)}]
+    off = files.footer_differences(spark, str(tmp_path / "v")).orderBy("column").collect()
+    assert [(r.column, r.found, r.expected) for r in off] == [("x", "int", "string"), ("y", "int", None)] and all("VINTAGE_YEAR=2002" in r.file for r in off)
     rejects = spark.createDataFrame([("r",)], "reason string")
     listed, totals = vintages.catalog([(2001, "b", "h", vintages.summary(rows, rejects)), (2000, "a", "g", vintages.summary(rows, rejects.filter("false")))])
     assert [(r.year, r.read) for r in listed.collect()] == [(2000, 3), (2001, 4)] and tuple(totals.first()) == (2, 2000, 2001, 7, 6, 1)
