@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions.ratings import blank_to_null, condition_class, guarded_pad, lowest, share, strict_digit
@@ -13,11 +13,16 @@ COMPONENTS = ["deck", "superstructure", "substructure", "culvert"]
 COUNTS = ["total", "good", "fair", "poor", "unknown"]
 
 
-def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by `order`, by a grouped minimum (partial sums, no sort of groups)."""
+def keep_first(df: DataFrame, key: list[str], order: list[str], together: list[str] | None = None) -> DataFrame:
+    """The first row of each key by `order`, then by the other columns: one exchange and one sort, no aggregate of whole rows.
+
+    together (some of the key): rows that agree in these stay in one partition, sorted by them first, so that what is
+    grouped or ordered by them next needs neither an exchange nor a sort."""
     rest = [c for c in df.columns if c not in key and c not in order]
-    first = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return first.select(*key, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
+    first = [*(together or []), *[k for k in key if k not in (together or [])]]
+    placed = df.repartition(*together) if together else df
+    ranked = placed.withColumn("_place", F.row_number().over(Window.partitionBy(*first).orderBy(*order, *rest)))
+    return ranked.filter("_place = 1").select(*df.columns)
 
 
 def typed_ratings(panel: DataFrame) -> DataFrame:
@@ -27,7 +32,7 @@ def typed_ratings(panel: DataFrame) -> DataFrame:
 def structure_years(panel: DataFrame) -> DataFrame:
     """One row per (year, state, structure) of record type 1: the lowest source row, its four ratings, lowest and class."""
     ones = panel.filter("record_type = '1'").select(*KEY, "source_row", "county_code", *COMPONENTS, "material", "design")
-    first = keep_first(ones, KEY, ["source_row", *COMPONENTS, "county_code", "material", "design"])
+    first = keep_first(ones, KEY, ["source_row", *COMPONENTS, "county_code", "material", "design"], ENTITY)
     out = first.select(*KEY, guarded_pad(F.col("county_code"), 3).alias("county_code"), *[strict_digit(F.col(c)).cast("int").alias(c) for c in COMPONENTS], blank_to_null(F.col("material")).alias("material"), guarded_pad(F.col("design"), 2).alias("design"))
     return out.withColumn("lowest", lowest(*[F.col(c) for c in COMPONENTS])).withColumn("condition_class", condition_class(F.col("lowest")))
 

@@ -24,6 +24,19 @@ def transition_pairs(long: DataFrame) -> DataFrame:
     return nxt.filter("_year = vintage_year + 1").select(*ENTITY, "component", F.col("vintage_year").alias("from_year"), F.col("rating").alias("from_rating"), "to_rating", "material", "design")
 
 
+def component_pairs(years: DataFrame) -> DataFrame:
+    """The pairs of all components, as `transition_pairs` of `component_long` gives them, from one window over whole years: a
+    pair needs both years, so the next row of the structure decides. Years that come from `structure_years` lie by structure
+    already and move no more."""
+    w = Window.partitionBy(*ENTITY).orderBy("vintage_year")
+    after = F.lead(F.struct("vintage_year", *COMPONENTS)).over(w)
+    met = years.select(*ENTITY, "vintage_year", "material", "design", *COMPONENTS, after.alias("after")).filter("after.vintage_year = vintage_year + 1")
+    each = F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("from_rating"), F.col(f"after.{c}").alias("to_rating")) for c in COMPONENTS])
+    rated = F.filter(each, lambda p: p["from_rating"].isNotNull() & p["to_rating"].isNotNull())
+    pairs = met.select(*ENTITY, F.col("vintage_year").alias("from_year"), "material", "design", F.explode(rated).alias("p"))
+    return pairs.select(*ENTITY, "p.component", "from_year", "p.from_rating", "p.to_rating", "material", "design")
+
+
 def cohort_pairs(pairs: DataFrame) -> DataFrame:
     return with_cohort(pairs)
 

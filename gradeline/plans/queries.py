@@ -42,7 +42,7 @@ def _rollup(s, d):
 
 
 def _pairs(s, d):
-    return transitions.cohort_pairs(transitions.transition_pairs(transitions.component_long(_years(s, d))))
+    return transitions.cohort_pairs(transitions.component_pairs(_years(s, d)))
 
 
 def _mapped(s, d):
@@ -184,7 +184,7 @@ def component_long(s, d):
 
 @query("SELECT state_code, structure_number, component, from_year, from_rating, to_rating FROM pairs")
 def transition_pairs(s, d):
-    return transitions.transition_pairs(transitions.component_long(_years(s, d))).select("state_code", "structure_number", "component", "from_year", "from_rating", "to_rating")
+    return transitions.component_pairs(_years(s, d)).select("state_code", "structure_number", "component", "from_year", "from_rating", "to_rating")
 
 
 @query("SELECT component, type_group, material_group, region, count(*) AS pairs FROM coh GROUP BY ALL")
