@@ -200,21 +200,25 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", group: int
     search empties those. It ends at the fewest bins that the lengths allow or a bin or two above; that is the loss against
     packing all together. Repeated rows are pieces of their own, numbered for the hash, so that they are dealt to all groups
     however many they are. Placing is deterministic. Null ids stay null; an empty table gives an empty result; input columns
-    named like the added ones are replaced. Inside, names begin with `_`; such columns of the input may clash.
+    named like the added ones are replaced, others stay whatever their names.
     """
     pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
-    held = cut(pieces.withColumn("_full", F.col("length") >= size))
+    # inside, columns go by their place
+    inner = [f"c{k}" for k in range(len(names))]
+    c_id, c_piece, c_length, c_crc = (inner[names.index(c)] for c in (id_col, "piece", "length", "ids_crc32"))
+    id_type = pieces.schema[id_col].dataType
+    held = cut(pieces.toDF(*inner).withColumn("_full", F.col(c_length) >= size))
     rest = held.filter("not _full")
     groups = max(1, round(rest.count() / group))
     # pandas would turn ids with nulls into floats, so ids travel as text
-    dealt = rest.withColumn(id_col, F.col(id_col).cast("string")).drop("_full")
-    dealt = _numbered(dealt.withColumn("_hash", F.xxhash64(F.col(id_col), "piece", "ids_crc32")), "_hash")
+    dealt = rest.withColumn(c_id, F.col(c_id).cast("string")).drop("_full")
+    dealt = _numbered(dealt.withColumn("_hash", F.xxhash64(F.col(c_id), c_piece, c_crc)), "_hash")
     dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_hash", "_number"), F.lit(groups)).cast("int")).drop("_hash", "_number")
 
     def place(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ids_crc32", "piece", id_col, "length"]).reset_index(drop=True)
-        lengths = g["length"].to_numpy(np.int64)
+        g = g.sort_values([c_crc, c_piece, c_id, c_length]).reset_index(drop=True)
+        lengths = g[c_length].to_numpy(np.int64)
         bins = local_search(best_fit(lengths, size), lengths, size)
         sequence, offset = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
         for n, items in enumerate(bins):
@@ -225,14 +229,17 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id", group: int
         return g.drop(columns="_group")
 
     schema = dealt.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
-    packed = dealt.groupBy("_group").applyInPandas(place, schema).withColumn(id_col, F.col(id_col).cast(pieces.schema[id_col].dataType))
+    packed = dealt.groupBy("_group").applyInPandas(place, schema).withColumn(c_id, F.col(c_id).cast(id_type))
     alone = held.filter("_full").drop("_full").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return packed.unionByName(alone).select(*names, "sequence_id", "offset")
+    return packed.unionByName(alone).select(*inner, "sequence_id", "offset").toDF(*names, "sequence_id", "offset")
 
 
-def packed_sequences(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
-    """The sequences themselves: `sequence_id`, `ids` (joined by offset) and `spans` (doc_id, piece, offset, length)."""
-    packed = pack(pieces_of(docs, size, end_id, tokenizer, with_ids=True), size)
-    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
+def packed_sequences(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The sequences themselves: `sequence_id`, `ids` (joined by offset) and `spans` (doc_id, piece, offset, length).
+
+    Null and empty texts are the end id alone, a null id stays null in its spans, repeated rows have spans of their own;
+    texts of any length are cut into whole sequences; no rows give no sequences; other columns of `docs` don't matter."""
+    packed = pack(pieces_of(docs, size, end_id, tokenizer, id_col=id_col, text_col=text_col, with_ids=True), size, id_col)
+    parts = F.sort_array(F.collect_list(F.struct("offset", F.col(id_col).alias("doc_id"), "piece", "length", "ids")))
     whole = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     return whole.select("sequence_id", F.flatten("parts.ids").alias("ids"), F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length"))).alias("spans"))
