@@ -103,10 +103,12 @@ class _Writer:
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int = 2, tokenizer: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Write all documents' ids in ascending id order (null first; equal ids by text) and return the manifest.
+    """Write all documents' ids in ascending id order (null first; equal ids by a hash of the text, then the text) and return
+    the manifest.
 
     Each document is the ids of its whole text and `end_id`; a null text is the end id alone. Rows are dealt to tasks by
-    ranges of the id. A task writes one file of sequences and one of its documents' places (`id_col`, start, n_tokens);
+    ranges of (id, hash), and equal rows of any number to as many tasks as they need. Repeated rows are written as often as
+    they come; an empty table gives an empty manifest; other columns, whatever their names, don't matter. A task writes one file of sequences and one of its documents' places (`id_col`, start, n_tokens);
     the files go to a folder that all machines share, under a name of the attempt's own until they are whole, so that a
     repeated task does no harm. The manifest has a row per file, in order: path, index, n_docs, n_tokens, start.
     """
@@ -117,7 +119,10 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
     where, base = _open(folder)
     where.create_dir(base, recursive=True)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ordered = own.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.col("_text").asc_nulls_first())
+    own = own.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()})
+    order = [F.col("_id").asc_nulls_first(), F.col("_hash")]
+    # the row's number only cuts runs of equal rows: which of them comes first shows nowhere
+    ordered = own.repartitionByRange(*order, F.col("_row")).sortWithinPartitions(*order, F.col("_text").asc_nulls_first()).select("_id", "_text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -165,7 +170,9 @@ def index_schema(batch: pa.RecordBatch, id_col: str) -> pa.Schema:
 
 
 def read_token_files(spark: SparkSession, manifest: list[dict], id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
-    """From the files, per document: `id_col`, start (ids of all documents before it), n_tokens and ids_crc32. One task per file."""
+    """From the files, per document: `id_col`, start (ids of all documents before it), n_tokens and ids_crc32. One task per file.
+
+    Null ids, repeated rows and empty texts come back as they were written; no files give no rows."""
     if not manifest:
         return spark.createDataFrame([], f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
     rows = spark.createDataFrame([(m["path"], m["index"], m["start"]) for m in manifest], "path string, index string, base bigint").repartition(len(manifest), "path")
