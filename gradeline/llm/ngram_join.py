@@ -151,9 +151,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     # One row per text, reduced before the exchange: copies and repeated rows meet in no task.
     texts = own.groupBy("_key").agg(F.first("_text").alias("_text"))
 
-    banded = nodes.filter("bands is not null").select("_key", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("_key").alias("hub"), F.max("_key").alias("last")).filter("hub <> last").drop("last")
-    met = banded.join(hubs, ["band", "hash"]).select(F.col("_key").alias("a"), F.col("hub").alias("b"))
+    # two buckets of one 64-bit name would only be compared together
+    banded = nodes.filter("bands is not null").select("_key", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash"))
+    hubs = cut(banded.groupBy("bucket").agg(F.min("_key").alias("hub"), F.max("_key").alias("last"), F.count("*").alias("held")).filter("hub <> last").drop("last"))
+    met = join_copies(banded.select("_key", "bucket"), hubs, "bucket", "held").select(F.col("_key").alias("a"), F.col("hub").alias("b"))
     labels = cut(connected_components(met))
 
     weights = own.select("_key", (1 + F.floor(F.octet_length("_text") / WEIGHT)).alias("weight")).groupBy("_key").agg(F.first("weight").alias("weight"))
@@ -173,9 +174,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     spread = lambda *names: F.pmod(F.xxhash64(*names), F.lit(tasks)).cast("string")
     wide = F.col("size") > WIDE * BLOCK
     narrow = dealt(members.filter(~wide).withColumn("band", F.lit(-1)), "size", spread("component"), F.hex("component"))
-    inside = members.filter(wide).join(banded, "_key")
-    buckets = inside.groupBy("band", "hash").agg(F.sum("weight").alias("held"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    by_bucket = dealt(inside.join(buckets, ["band", "hash"]), "held", spread("hash"), F.concat(F.lit("b"), F.col("hash").cast("string")))
+    inside = members.filter(wide).join(banded.drop("bucket"), "_key").withColumn("bucket", F.struct("band", "hash"))
+    if members.filter(wide).limit(1).count():
+        # rows of a large bucket are dealt to many tasks, which needs them in one order
+        inside = cut(inside)
+        buckets = cut(inside.groupBy("bucket").agg(F.sum("weight").alias("held"), F.count("*").alias("_n")).filter("_n > 1"))
+        inside = join_copies(inside, buckets, "bucket", "_n")
+    else:
+        inside = inside.withColumn("held", F.lit(0).cast("long"))
+    by_bucket = dealt(inside, "held", spread("hash"), F.concat(F.lit("b"), F.col("hash").cast("string")))
     loaded = narrow.unionByName(by_bucket).join(nodes.select("_key", "copies", "bands"), "_key").join(texts, "_key")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
