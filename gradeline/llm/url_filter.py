@@ -91,14 +91,17 @@ def segment(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
 
     Every substring of a run of 2 to LONGEST letters meets the words that begin with it (a shorter word: that are it) in
     a join, longer words are kept where the run holds them whole, and each run gathers only its own known substrings; so
-    neither vocabulary nor runs are broadcast, and words of any length are found. Very long runs cost LONGEST substrings a
-    letter.
+    neither vocabulary nor runs are broadcast, and words of any length are found. Substrings that very many runs hold are
+    dealt to many tasks; `names` is read twice and must come from files or a checkpoint. Very long runs cost LONGEST
+    substrings a letter.
     """
-    spans = names.filter(F.length("run") > 1).select("run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("_a"))
-    spans = spans.select("run", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - F.col("_a") + 1)), lambda n: F.substring(F.col("run"), F.col("_a"), n))).alias("_start"))
-    begun = counts.withColumn("_start", F.substring("word", 1, LONGEST))
-    known = spans.distinct().join(begun, "_start").filter((F.col("word") == F.col("_start")) | F.col("run").contains(F.col("word")))
-    known = known.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda a: F.transform(F.sequence(F.lit(2), F.least(F.lit(LONGEST), F.length("run") - a + 1)), lambda n: F.substring(F.col("run"), a, n)))
+    spans = names.filter(F.length("run") > 1).select("run", F.explode(F.array_distinct(F.flatten(parts))).alias("_start"))
+    begun = counts.groupBy(F.substring("word", 1, LONGEST).alias("_start")).agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    # how many runs hold each: short common words stand in a large part of all
+    begun = cut(begun.join(spans.groupBy("_start").agg(F.count("*").alias("many")), "_start"))
+    known = join_copies(spans, begun, "_start", "many").select("run", "_start", F.explode("words").alias("x")).select("run", "_start", "x.word", "x.n")
+    known = known.filter((F.col("word") == F.col("_start")) | F.col("run").contains(F.col("word"))).groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unseen = -math.log(total + 1.0) - 1.0
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +141,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = DEFAULT_RU
     label = F.when(F.size(words) > 0, F.arrays_overlap(words, F.array(*map(F.lit, block_words))))
     shapes = parsed.withColumn("_block", label).groupBy("key").agg(F.first("runs").alias("runs"), F.count("*").alias("n_pages"), F.count_if(F.col("_block")).alias("b"), F.count_if(~F.col("_block")).alias("a"))
     shapes = cut(shapes)
-    names = shapes.select(F.explode("runs").alias("run")).filter("run != '0'").groupBy("run").agg(F.count("*").alias("many"))
+    names = cut(shapes.select(F.explode("runs").alias("run")).filter("run != '0'").groupBy("run").agg(F.count("*").alias("many")))
     pieces = cut(segment(names, counts, total))
     # one row per run of a shape, in order; the commonest runs stand in most shapes
     listed = join_copies(shapes.select("key", F.posexplode("runs").alias("at", "run")), pieces, "run", "many", "left").withColumn("pieces", F.coalesce("pieces", F.array("run")))
