@@ -133,13 +133,30 @@ def written_per_vintage(written: DataFrame, converted: DataFrame, year: str = "V
     return converted.select(year, "converted").join(n, year, "full_outer").filter(~F.coalesce("converted", F.lit(0)).eqNullSafe(F.coalesce("written", F.lit(0))))
 
 
-def gate(checks: dict[str, DataFrame]) -> DataFrame:
-    """(check, n) of all checks from one job; raises if there are none, or if any has rows."""
-    if not checks:
+def fold(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(check, n) for any number of rules over the same rows from one scan and one aggregate: n rows for which the rule (a SQL
+    condition) is not true."""
+    sums = rows.agg(*[F.count_if(~F.coalesce(F.expr(r), F.lit(False))).alias(f"r{k}") for k, r in enumerate(rules.values())])
+    each = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"r{k}").alias("n")) for k, name in enumerate(rules)])
+    return sums.select(F.explode(each).alias("e")).select("e.check", "e.n")
+
+
+def shared(**inputs: DataFrame) -> dict[str, DataFrame]:
+    """The inputs of a gate's checks, each computed once and written to the checkpoint folder; checks read that."""
+    return {name: df.checkpoint(eager=True) for name, df in inputs.items()}
+
+
+def gate(checks: dict[str, DataFrame], *folded: DataFrame) -> DataFrame:
+    """(check, n) of all checks from one job; raises if there are none, or if any has rows.
+
+    folded: further checks that are counted already (`fold`). Checks over the same input are built over `shared` ones, so that
+    the input is not scanned once for each."""
+    counts = [c.agg(F.lit(k).alias("check"), F.count("*").alias("n")) for k, c in checks.items()] + list(folded)
+    if not counts:
         raise ValueError("no checks were given")
-    counts = reduce(DataFrame.unionByName, [c.agg(F.lit(k).alias("check"), F.count("*").alias("n")) for k, c in checks.items()])
+    counts = reduce(DataFrame.unionByName, counts)
     found = counts.collect()
-    if len(found) != len(checks):
+    if len(found) < len(checks) + len(folded):
         raise ValueError("the checks gave no result")
     bad = {r["check"]: r["n"] for r in found if r["n"]}
     if bad:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeline.functions.codes import states
 from gradeline.functions.ratings import blank_to_null, condition_class, decode_dms, guarded_pad, lowest, share, strict_digit
+from gradeline.operators.hot import join_dealt
 
 REASONS = ["row_structural_fault", "unknown_state_code", "structure_number_invalid", "coordinate_missing_or_zero", "coordinate_invalid", "coordinate_outside_state", "year_built_impossible", "adt_invalid", "structure_length_invalid", "condition_code_invalid", "duplicate_key"]
 CONDITIONS = ["deck", "superstructure", "substructure", "culvert"]
@@ -78,13 +79,13 @@ def canonical(valid: DataFrame, snapshot_year: int, *carried: str) -> DataFrame:
 def first_valid_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """Append duplicate_key to the reasons of every valid row but the first of its key; invalid rows claim no key.
 
-    The first is a grouped minimum over valid rows, joined back to them; invalid rows don't move."""
-    valid = df.filter(F.size("reasons") == 0)
-    first = valid.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)]).agg(F.min(order).alias("_first"))
-    same = F.lit(True)
-    for n, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
-    told = valid.join(first, same).withColumn("reasons", F.when(F.col(order) > F.col("_first"), F.array(F.lit("duplicate_key"))).otherwise(F.col("reasons")))
+    The first is a grouped minimum over valid rows, summed before the exchange. Keys of a single valid row need no more; only
+    the others are joined back, and rows of a key that very many have are dealt to many tasks. Invalid rows don't move."""
+    # nulls in a struct are equal to each other
+    valid = df.filter(F.size("reasons") == 0).withColumn("_key", F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(key)]))
+    first = valid.groupBy("_key").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    told = join_dealt(valid, first, ["_key"], "left")
+    told = told.withColumn("reasons", F.when(F.col(order) > F.col("_first"), F.array(F.lit("duplicate_key"))).otherwise(F.col("reasons")))
     return told.select(*df.columns).unionByName(df.filter(F.size("reasons") > 0))
 
 
@@ -113,6 +114,7 @@ def upsert(target: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key by `order`, then by the other columns."""
     rest = [c for c in df.columns if c not in key and c not in order]
     last = df.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_last"))
     return last.select(*key, *[F.col(f"_last.{c}").alias(c) for c in [*order, *rest]])

@@ -143,6 +143,30 @@ def kpi_summary(df: DataFrame, as_of: int) -> DataFrame:
     return out.withColumn("percent_poor", share(F.col("poor"), F.col("structures")))
 
 
+def with_names(df: DataFrame, names: DataFrame, key: str, what: str = "Area") -> DataFrame:
+    """Add `name`: that of `names` (key, name), else what is known of it (`what` and the key), so that no row goes for want of
+    a name. Blank names are none; of several names of a key the least is taken."""
+    one = names.groupBy(F.col(key).alias("_k")).agg(F.min(F.nullif(F.trim("name"), F.lit(""))).alias("_name"))
+    known = F.coalesce("_name", F.concat(F.lit(f"{what} "), F.col(key).cast("string")))
+    return df.join(one, F.col(key) == F.col("_k"), "left").withColumn("name", known).drop("_k", "_name")
+
+
+def vocabulary(groups: DataFrame, labels: DataFrame, group: str, code: str, counted: DataFrame | None = None) -> DataFrame:
+    """For each group of a dimension its members as text (`code=label`, in order of the code), null for a group without any,
+    and how many rows of `counted` (group, code, n) fall into it (0 if none).
+
+    groups: (group, code), one row a code; a group that has no code of its own has a null one. labels: (code, label); a code
+    without a label is no member."""
+    told = groups.join(F.broadcast(labels.select(code, "label")), code, "left")
+    listed = F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct(F.col(code).alias("c"), "label"))))
+    members = F.nullif(F.array_join(F.transform(listed, lambda x: F.concat(x["c"], F.lit("="), x["label"])), "; "), F.lit(""))
+    out = told.groupBy(group).agg(members.alias("members"))
+    if counted is None:
+        return out
+    sums = counted.groupBy(group).agg(F.sum("n").alias("n"))
+    return out.join(sums, group, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
 def group_tally(df: DataFrame, by: list[str]) -> DataFrame:
     return df.filter("record_type = '1'").groupBy(*by).agg(*tally())
 

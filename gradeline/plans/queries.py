@@ -250,9 +250,7 @@ def cohort_catalog(s, d):
 def dimension_vocab(s, d):
     per = codes.with_cohort(_years(s, d)).groupBy("type_group", "design").agg(F.count("*").alias("n"))
     names = codes.labels(s).filter("kind = 'design'").select(F.col("code").alias("design"), "label")
-    both = per.join(F.broadcast(names), "design", "left")
-    members = F.nullif(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("design", "label")))), lambda x: F.concat(x["design"], F.lit("="), x["label"])), "; "), F.lit(""))
-    return both.groupBy("type_group").agg(members.alias("members"), F.sum("n").alias("structure_years"))
+    return serve.vocabulary(per.select("type_group", "design"), names, "type_group", "design", per).withColumnRenamed("n", "structure_years")
 
 
 # ingest
@@ -487,8 +485,7 @@ def rank_state(s, d):
 def rank_area(s, d):
     own = adapters.inventory(s, d).withColumn("fips", F.concat("state_code", "county_code"))
     top = serve.ranked(serve.group_tally(own, ["fips"]), "fips", FLOOR, TOP)
-    names = adapters.polygons(s).select(F.col("geoid").alias("fips"), "name")
-    return top.join(names, "fips", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("Area "), F.col("fips"))))
+    return serve.with_names(top, adapters.polygons(s).select(F.col("geoid").alias("fips"), "name"), "fips")
 
 
 @query(_rank("coalesce(mg, 'Unknown code') AS cohort", "cohort"))
