@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,13 +49,13 @@ BROADCAST_EDGES = 200_000
 FEWEST, MOST, WIDE, STEP = 2, 16, 64, 16
 
 
-def grid_of(polygons: DataFrame, cell: float | None = None) -> tuple[list[float], int]:
-    """(cell size of each level, edges of all polygons). The first level follows the polygons' boxes and numbers of edges, each
-    further one is STEP times as coarse and holds what is too large for those before."""
+def grid_of(polygons: DataFrame, cell: float | None = None, reach: float = 0.0) -> tuple[list[float], int]:
+    """(cell size of each level, edges of all polygons). The first level follows the polygons' boxes and numbers of edges, but is
+    not smaller than `reach`; each further one is STEP times as coarse and holds what is too large for those before."""
     extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     across = F.least(F.lit(float(MOST)), F.greatest(F.lit(float(FEWEST)), F.sqrt(F.size("edges").cast("double")) / 2))
     told = with_box(polygons).agg(F.percentile_approx(F.nullif(extent / across, F.lit(0.0)), 0.5), F.max(extent), F.sum(F.size("edges").cast("long"))).first()
-    sizes = [float(cell or told[0] or 1.0)]
+    sizes = [max(float(cell or told[0] or 1.0), reach)]
     while (told[1] or 0.0) > WIDE * sizes[-1]:
         sizes.append(sizes[-1] * STEP)
     return sizes, told[2] or 0
@@ -66,36 +70,88 @@ def polygon_index(polygons: DataFrame, sizes: list[float], reach: float = 0.0) -
     within the cell, `base` whether an odd number lies above it. Sums over both give what all edges would, with the same
     comparisons. Cells that a polygon neither meets nor covers have no row.
     """
-    boxed = with_box(polygons)
-    extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
-    level = F.lit(len(sizes) - 1)
-    for k in range(len(sizes) - 2, -1, -1):
-        level = F.when(extent <= WIDE * sizes[k], k).otherwise(level)
-    boxed = boxed.withColumn("_level", level.cast("int")).withColumn("_size", F.get(F.array(*map(F.lit, sizes)), F.col("_level")))
-    size, slack = F.col("_size"), F.col("_size") * 1e-9 + F.lit(reach)
-    span = lambda low, high: F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size))
-    low, high = lambda e, c: F.least(e[f"{c}1"], e[f"{c}2"]), lambda e, c: F.greatest(e[f"{c}1"], e[f"{c}2"])
-    each = boxed.select("geoid", "west", "east", "_level", "_size", F.explode("edges").alias("e"))
-    each = each.withColumn("_cy", F.explode(span(low(F.col("e"), "y"), high(F.col("e"), "y"))))
-    bands = each.groupBy("geoid", "west", "east", "_level", "_size", "_cy").agg(F.collect_list("e").alias("band"))
-    cells = bands.withColumn("_cx", F.explode(span(F.col("west"), F.col("east"))))
-    left, right = F.col("_cx") * size, (F.col("_cx") + 1) * size
-    bottom, top = F.col("_cy") * size, (F.col("_cy") + 1) * size
-    near = F.filter("band", lambda e: (high(e, "x") >= left - slack) & (low(e, "x") <= right + slack))
-    ends = F.array_sort(F.flatten(F.transform(F.filter("band", lambda e: low(e, "x") > right + slack), lambda e: F.array(e["y1"], e["y2"]))))
-    last = lambda a: F.get(a, F.size(a) - 1)
-    odd = F.aggregate(ends, F.array().cast("array<double>"), lambda a, y: F.when(last(a) == y, F.slice(a, 1, F.size(a) - 1)).otherwise(F.concat(a, F.array(y))))
-    cells = cells.select("_level", "_cx", "_cy", "geoid", near.alias("near"), odd.alias("odd"), (bottom - slack).alias("_low"), (top + slack).alias("_high"))
-    base = F.size(F.filter("odd", lambda y: y > F.col("_high"))) % 2 == 1
-    cells = cells.select("_level", "_cx", "_cy", "geoid", "near", base.alias("base"), F.filter("odd", lambda y: (y > F.col("_low")) & (y <= F.col("_high"))).alias("steps"))
-    return cells.filter((F.size("near") > 0) | F.col("base") | (F.size("steps") > 0))
+    widest = [WIDE * x for x in sizes[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _cells(b, np.array(sizes), np.array(widest), reach)
+
+    kind = polygons.schema["geoid"].dataType.simpleString()
+    schema = f"_level int, _cx bigint, _cy bigint, geoid {kind}, near array<struct<x1: double, y1: double, x2: double, y2: double>>, base boolean, steps array<double>"
+    return polygons.select("geoid", "rings").mapInArrow(run, schema)
+
+
+def _each(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of whole-number ranges [low, high]: the row and the number of every member."""
+    n = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
+
+def _cells(batch: pa.RecordBatch, sizes: np.ndarray, widest: np.ndarray, reach: float) -> pa.RecordBatch:
+    """The rows of `polygon_index` of a batch of polygons, in arrays of all their edges at once."""
+    rings = batch.column("rings")
+    flat = rings.flatten()
+    xy = flat.flatten()
+    x, y = (xy.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y"))
+    ring_size = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    polygon = np.repeat(np.repeat(np.arange(batch.num_rows), rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), ring_size)
+    # an edge from each point but the last of a ring
+    at = np.flatnonzero(np.arange(len(x)) + 1 != np.repeat(np.cumsum(ring_size), ring_size))
+    p, x1, y1, x2, y2 = polygon[at], x[at], y[at], x[at + 1], y[at + 1]
+    box = [f.reduceat(v, np.flatnonzero(np.diff(p, prepend=-1))) if len(p) else v for f, v in ((np.minimum, np.minimum(x1, x2)), (np.maximum, np.maximum(x1, x2)), (np.minimum, np.minimum(y1, y2)), (np.maximum, np.maximum(y1, y2)))]
+    held = np.unique(p)
+    level = np.zeros(batch.num_rows, np.int64)
+    level[held] = np.searchsorted(widest, np.maximum(box[1] - box[0], box[3] - box[2]))
+    west = np.zeros(batch.num_rows)
+    west[held] = box[0]
+    size = sizes[level]
+    slack = size * 1e-9 + reach
+    first = np.floor((west - slack) / size).astype(np.int64)
+    s, z = size[p], slack[p]
+    cell = lambda v: np.floor(v / s).astype(np.int64)
+    left, right = cell(np.minimum(x1, x2) - z), cell(np.maximum(x1, x2) + z)
+    e, cy = _each(cell(np.minimum(y1, y2) - z), cell(np.maximum(y1, y2) + z))
+    r, cx = _each(left[e], right[e])
+    near = (p[e[r]], cy[r], cx, e[r])
+    # heights of ends, each seen by the cells to the left of the edge; where an even number of edges shows one it goes
+    ends = np.lexsort((np.tile(-left[e], 2), np.concatenate([y1[e], y2[e]]), np.tile(cy, 2), np.tile(p[e], 2)))
+    who, band, height, upto = np.tile(p[e], 2)[ends], np.tile(cy, 2)[ends], np.concatenate([y1[e], y2[e]])[ends], np.tile(left[e], 2)[ends]
+    new = np.append(True, (who[1:] != who[:-1]) | (band[1:] != band[:-1]) | (height[1:] != height[:-1])) if len(who) else np.empty(0, bool)
+    place = np.arange(len(who)) - np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))
+    odd = np.flatnonzero(place % 2 == 0)
+    follows = np.append(~new[1:], False)[odd] if len(who) else np.empty(0, bool)
+    until = np.where(follows, np.append(upto[1:], 0)[odd], first[who[odd]]) if len(who) else np.empty(0, np.int64)
+    r, cx = _each(until, upto[odd] - 1)
+    r = odd[r]
+    top, low = (band[r] + 1) * size[who[r]] + slack[who[r]], band[r] * size[who[r]] - slack[who[r]]
+    above, within = height[r] > top, (height[r] > low) & (height[r] <= top)
+    seen = above | within
+    steps = (who[r][seen], band[r][seen], cx[seen], height[r][seen], above[seen])
+    # both by cell
+    keys = np.concatenate([np.stack(t[:3], 1) for t in (near, steps)])
+    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+    begun = np.append(True, (np.diff(keys[order], axis=0) != 0).any(1)) if len(order) else np.empty(0, bool)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(begun) - 1
+    told, n = keys[order[begun]], int(begun.sum())
+    of_near, of_step = number[: len(near[0])], number[len(near[0]) :]
+    a = np.argsort(of_near, kind="stable")
+    inner = np.flatnonzero(~steps[4])
+    c = inner[np.argsort(of_step[inner], kind="stable")]
+    base = np.bincount(of_step[steps[4]], minlength=n) % 2 == 1
+    kept = np.flatnonzero(np.bincount(of_near, minlength=n).astype(bool) | base | np.bincount(of_step[inner], minlength=n).astype(bool))
+    starts = lambda k: pa.array(np.append(0, np.cumsum(np.bincount(k, minlength=n))), pa.int32())
+    edges_ = pa.StructArray.from_arrays([pa.array(v[near[3][a]]) for v in (x1, y1, x2, y2)], names=["x1", "y1", "x2", "y2"])
+    columns = [pa.array(level[told[:, 0]], pa.int32()), pa.array(told[:, 2]), pa.array(told[:, 1]), batch.column("geoid").take(pa.array(told[:, 0])), pa.ListArray.from_arrays(starts(of_near), edges_), pa.array(base), pa.ListArray.from_arrays(starts(of_step[inner]), pa.array(steps[3][c]))]
+    return pa.RecordBatch.from_arrays(columns, names=["_level", "_cx", "_cy", "geoid", "near", "base", "steps"]).take(pa.array(kept))
 
 
 def candidates(points: DataFrame, polygons: DataFrame, cell: float | None = None, reach: float = 0.0) -> DataFrame:
     """Points with the rows of `polygon_index` of their cells, one equality join. The index goes to the tasks whole if the
     polygons have few edges; else it meets the points by cells, and cells that are dense with points are dealt to many tasks.
     Points without coordinates meet nothing."""
-    sizes, n_edges = grid_of(polygons, cell)
+    sizes, n_edges = grid_of(polygons, cell, reach)
     index = polygon_index(polygons, sizes, reach)
     at = F.array(*[F.struct(F.lit(k).alias("l"), F.floor(F.col("lon") / s).alias("x"), F.floor(F.col("lat") / s).alias("y")) for k, s in enumerate(sizes)])
     placed = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("_at", F.explode(at))

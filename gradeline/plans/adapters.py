@@ -67,7 +67,7 @@ POLYGONS = [
 AREA_BASE = [
     "lpad(cast(p_partkey as string), 9, '0') as geoid",
     "cast(p_partkey as bigint) as p",
-    "cast(case when p_partkey % 97 = 0 then 8192 else 256 + (p_partkey * 31) % 768 end as bigint) as w",
+    "cast(case when p_partkey % 97 = 0 then 2048 else 64 + (p_partkey * 31) % 192 end as bigint) as w",
     "(cast(p_partkey as bigint) * 7919) % 40960 as x0",
     "(cast(p_partkey as bigint) * 15485863) % 28672 as y0",
 ]

@@ -75,7 +75,7 @@ def population_text(s, d):
     return delimited.read_population(s, one_file(s, "GEO_ID|B01003_M001|B01003_E001", lines, f"{scratch(s)}/population"), 2024)
 
 
-@query("SELECT geoid, CAST(w AS BIGINT) AS land, 1 AS n_rings, 121 AS n_points, west, east, south, north FROM jagb JOIN (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS geoid, CASE WHEN p_partkey % 97 = 0 THEN 8192 ELSE 256 + (p_partkey * 31) % 768 END AS w FROM part) USING (geoid)")
+@query("SELECT geoid, CAST(w AS BIGINT) AS land, 1 AS n_rings, 121 AS n_points, west, east, south, north FROM jagb JOIN (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS geoid, CASE WHEN p_partkey % 97 = 0 THEN 2048 ELSE 64 + (p_partkey * 31) % 192 END AS w FROM part) USING (geoid)")
 def boundary_rows(s, d):
     areas = adapters.areas(s, d).join(adapters.table(s, d, "part").selectExpr(*adapters.AREA_BASE).select("geoid", "w"), "geoid")
     rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
