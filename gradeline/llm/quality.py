@@ -54,7 +54,8 @@ def indicators(text: str | None) -> np.ndarray:
     words[again] = np.uint64(7)
     pairs = mix64(words[:-1]) ^ words[1:]
     kinds = [tri | np.uint64(1) << np.uint64(40), four | np.uint64(2) << np.uint64(40), words, pairs]
-    return np.unique((mix64(np.concatenate(kinds)) >> np.uint64(64 - BITS)).astype(np.int64))
+    at = np.sort((mix64(np.concatenate(kinds)) >> np.uint64(64 - BITS)).astype(np.int32))
+    return at[np.append(True, at[1:] != at[:-1])]
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float, epochs: int) -> tuple[np.ndarray, float]:
