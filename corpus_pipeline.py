@@ -6,6 +6,7 @@ all but the last return the columns of their documents. Each stage's docstring s
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        gc.collect()  # the driver lets go of the stage's plans and checkpoints
     return docs
