@@ -20,17 +20,19 @@ def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(found, counts.select(*on).schema) if found else None
 
 
-def join_dealt(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_dealt(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", hint: str | None = None) -> DataFrame:
     """Join `rows` to a `table` by equal keys; rows of hot keys are dealt to many tasks, each with the table's rows of the key.
+    hint: Spark's join hint for the table, needed where its size can't be told from what it is made of.
 
     A row's task follows from its place among the `rows`, so these must come in the same order when a lost executor's work
     is done again: read from files."""
+    hinted = lambda t: t.hint(hint) if hint else t
     hot = hot_keys(rows, on)
     if hot is None:
-        return rows.join(table, on, how)
+        return rows.join(hinted(table), on, how)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     mine = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     dealt = rows.join(hot, on, "left").withColumn("_salt", mine).drop("_hot")
     wide = table.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return dealt.join(wide, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(hinted(wide), [*on, "_salt"], how).drop("_salt")

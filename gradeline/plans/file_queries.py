@@ -3,15 +3,13 @@ library's own readers; the SQL gives the same rows from the tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.operators import checks, layout, panel, publish
 from gradeline.operators.keyed_table import KeyedTable
 from gradeline.plans import adapters
+from gradeline.plans.adapters import scratch
 from gradeline.plans.oracle import sql
 from gradeline.plans.queries import ORACLE, QUERIES, Query
 from gradeline.sources import boundaries, delimited, files, snapshot, vintages
@@ -26,16 +24,6 @@ def query(body: str):
     return register
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all machines share: in `spark.checkpoint.dir`, of our own only in local mode without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def one_file(spark: SparkSession, header: str, rows: DataFrame, to: str) -> str:
     """Write lines (`n`, `value`) under a header as one text file, as such files are published."""
     head = spark.createDataFrame([(-1, header)], "n bigint, value string")
@@ -77,7 +65,7 @@ def population_text(s, d):
 
 @query("SELECT geoid, CAST(w AS BIGINT) AS land, 1 AS n_rings, 121 AS n_points, west, east, south, north FROM jagb JOIN (SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS geoid, CASE WHEN p_partkey % 97 = 0 THEN 2048 ELSE 64 + (p_partkey * 31) % 192 END AS w FROM part) USING (geoid)")
 def boundary_rows(s, d):
-    areas = adapters.areas(s, d).join(adapters.table(s, d, "part").selectExpr(*adapters.AREA_BASE).select("geoid", "w"), "geoid")
+    areas = adapters.areas(s, d, "w")
     rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("geoid").alias("GEOID"), F.col("w").alias("ALAND")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry")))
     path = f"{scratch(s)}/boundaries"

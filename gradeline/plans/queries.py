@@ -357,8 +357,10 @@ def areas_touching(s, d):
 @query("SELECT point, b[2] AS nearest_geoid, b[1] AS distance_m FROM anear")
 def nearest_areas(s, d):
     points, areas = adapters.area_points(s, d), adapters.areas(s, d)
-    missed = spatial.unmatched_points(points, spatial.point_in_polygon(points, areas), ["point"])
-    return spatial.nearest_polygon(missed, areas, ["point"], adapters.AREA_REACH)
+    # written once: its cells are counted before it meets the areas
+    path = f"{adapters.scratch(s)}/missed"
+    spatial.unmatched_points(points, spatial.point_in_polygon(points, areas), ["point"]).write.parquet(path)
+    return spatial.nearest_polygon(s.read.parquet(path), areas, ["point"], adapters.AREA_REACH)
 
 
 @query("SELECT * FROM unm")

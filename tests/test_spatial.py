@@ -107,3 +107,35 @@ def test_areas_are_cut_to_their_cells(spark):
     cells = spatial.polygon_index(areas, sizes)
     per = cells.agg(F.max(F.size("near")).alias("most"), F.avg(F.size("near")).alias("mean")).first()
     assert n == 120 * areas.count() and len(sizes) == 2 and per["most"] < 60 and per["mean"] < 15
+
+
+def test_index_does_not_go_to_the_tasks_whole(spark, monkeypatch):
+    """Its size can't be told from the table that the polygons are made of."""
+    monkeypatch.setattr(spatial, "BROADCAST_EDGES", 0)
+    shapes, points = sample(3)
+    polygons, pts = frames(spark, shapes, points)
+    plan = spatial.candidates(pts, polygons)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in next(line for line in plan.splitlines() if "Join [_level" in line)
+    few = spatial.point_in_polygon(pts, polygons)
+    monkeypatch.setattr(spatial, "BROADCAST_CELLS", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, spatial.point_in_polygon(pts, polygons).collect()))
+
+
+def test_polygons_are_cut_a_few_at_a_time(spark, monkeypatch):
+    polygons, _ = frames(spark, *sample(5))
+    batch = polygons.toArrow().combine_chunks().to_batches()[0]
+    sizes, widest = spatial.np.array([1.0, 16.0]), spatial.np.array([64.0])
+    every = spatial._cells(batch, sizes, widest, 0.0).to_pylist()
+    monkeypatch.setattr(spatial, "TOGETHER", 300)
+    slices = list(spatial._few(batch))
+    assert len(slices) > 5 and sum(b.num_rows for b in slices) == batch.num_rows
+    assert [row for b in slices for row in spatial._cells(b, sizes, widest, 0.0).to_pylist()] == every
+
+
+def test_areas_are_those_of_the_expressions(spark):
+    """Outlines drawn in arrays equal the column expressions that the SQL has, and lie in many tasks."""
+    areas = adapters.areas(spark, "/root/testdata/sf0.01", "w")
+    ring = f"transform(sequence(0, 120), j -> transform(array(j % 120), k -> named_struct('x', {adapters.AREA_X}, 'y', {adapters.AREA_Y}))[0])"
+    plain = adapters.table(spark, "/root/testdata/sf0.01", "part").selectExpr(*adapters.AREA_BASE).selectExpr("geoid", "w", f"array({ring}) as rings")
+    assert sorted(map(str, areas.collect())) == sorted(map(str, plain.collect()))
+    assert areas.rdd.getNumPartitions() >= 16
