@@ -55,7 +55,8 @@ def read_boundaries(spark: SparkSession, path: str, names: dict[str, str], areas
         raise ValueError(f"the coordinate system is {wrong[0][0]}")
     rows = rows.filter(F.coalesce(F.col("_type") != "FeatureCollection", F.lit(True)))
     rows = rows.withColumns({ours: F.nullif(F.trim(item(f"$.properties.{p}")), F.lit("")) for p, ours in names.items()} | {ours: item(f"$.properties.{p}").try_cast("bigint") for p, ours in areas.items()})
-    rows = rows.withColumn("rings", geojson_rings(item("$.geometry")))
+    # a row of one struct: what is generated is made once, not again for each place that reads it
+    rows = rows.select("*", F.inline(F.array(F.struct(geojson_rings(item("$.geometry")).alias("rings")))))
     reason = F.when(~F.col("_type").eqNullSafe("Feature"), "no_feature").when(F.col(key).isNull(), "missing_key_field").otherwise(ring_fault(F.col("rings")))
     rows = rows.withColumn("reason", reason)
     return rows.filter("reason is null").select(*names.values(), *areas.values(), "rings"), rows.filter("reason is not null").select(F.col("value").alias("line"), "reason")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeline.plans import file_queries
-from gradeline.sources import delimited, files, snapshot, vintages
+from gradeline.sources import boundaries, delimited, files, snapshot, vintages
 
 
 def plan_of(df):
@@ -124,3 +124,12 @@ def test_file_query_matches_sql(spark, name):
     at = [rel.columns.index(n) for n in names]
     got = sorted((tuple(shown(r[n]) for n in names) for r in df.collect()), key=repr)
     assert got == sorted((tuple(shown(r[k]) for k in at) for r in rel.fetchall()), key=repr) and got
+
+
+def test_geometry_is_parsed_once(spark, tmp_path):
+    ring = [[0, 0], [4, 0], [4, 4], [0, 0]]
+    (tmp_path / "f.json").write_text(json.dumps({"type": "Feature", "properties": {"GEOID": "1"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}) + "\n")
+    good, _ = boundaries.read_boundaries(spark, str(tmp_path / "f.json"), {"GEOID": "geoid"}, {})
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert sum("from_json" in line for line in plan.splitlines()) == 1
+    assert [[(p.x, p.y) for p in r] for r in good.first().rings] == [[tuple(p) for p in ring]]
