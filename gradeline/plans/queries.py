@@ -74,7 +74,8 @@ def _misses(s, d):
 
 
 def _validated(s, d):
-    return ingest.validate(adapters.raw_rows(s, d), YEAR)
+    """Dealt to tasks first: the table's files are few and small, the tests of a row are many."""
+    return ingest.validate(adapters.raw_rows(s, d).repartition(4 * s.sparkContext.defaultParallelism, "line_number"), YEAR)
 
 
 # ratings and codes
@@ -288,8 +289,10 @@ def canonical_row(s, d):
 
 @query("SELECT line_number, array_to_string(reasons, ',') AS reasons FROM fvw WHERE len(reasons) = 0 OR reasons[1] = 'duplicate_key'")
 def first_valid_wins(s, d):
-    df = _validated(s, d).withColumn("_number", F.trim("structure_number"))
-    out = ingest.first_valid_wins(df, ["fips", "_number", "record_type"], "line_number")
+    # validated once: the rows are looked at for their keys, the first of each and the rest
+    path = f"{adapters.scratch(s)}/validated"
+    _validated(s, d).select("line_number", "fips", F.trim("structure_number").alias("_number"), "record_type", "reasons").write.parquet(path)
+    out = ingest.first_valid_wins(s.read.parquet(path), ["fips", "_number", "record_type"], "line_number")
     return out.filter((F.size("reasons") == 0) | (F.get("reasons", 0) == "duplicate_key")).select("line_number", F.array_join("reasons", ",").alias("reasons"))
 
 

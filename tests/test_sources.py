@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gradeline.plans import file_queries
+from gradeline.plans import file_queries, queries
 from gradeline.sources import boundaries, delimited, files, snapshot, vintages
 
 
@@ -133,3 +133,7 @@ def test_geometry_is_parsed_once(spark, tmp_path):
     plan = good._jdf.queryExecution().executedPlan().toString()
     assert sum("from_json" in line for line in plan.splitlines()) == 1
     assert [[(p.x, p.y) for p in r] for r in good.first().rings] == [[tuple(p) for p in ring]]
+
+
+def test_rows_are_dealt_before_they_are_validated(spark):
+    assert queries._validated(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 16
