@@ -12,12 +12,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """`file`, `line_number` (from 1, blank lines counted) and `line` of every line under path, in parallel.
 
     Rows of one file block stand together in one task, so a line's number is its place in the block plus the lines of
-    the blocks before; only one row per block is ordered."""
+    the blocks before; only one row per block is ordered, and these rows (a few for each gigabyte) go to the lines, which stay
+    where they are read."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return lines.join(blocks, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int").alias("line_number"), "line")
+    return lines.join(F.broadcast(blocks), ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int").alias("line_number"), "line")
 
 
 #: What stands between the quotes, `""` for a quote; taken without going back, so that a field may be of any length.

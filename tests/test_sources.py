@@ -135,5 +135,17 @@ def test_geometry_is_parsed_once(spark, tmp_path):
     assert [[(p.x, p.y) for p in r] for r in good.first().rings] == [[tuple(p) for p in ring]]
 
 
+def test_vintage_file_is_written_and_read_unsorted(spark, tmp_path):
+    """Lines come back as they are, under the header, and nothing sorts them: neither the writing task nor the line numbers."""
+    odd = ["'1', N , '2'", " 'a\\b', \"N\",'' ", ",,", "\t'x', y, z"]
+    lines = spark.createDataFrame([(x,) for x in odd], "value string")
+    path = file_queries.one_unsorted_file("'KEY', A , B", lines, str(tmp_path / "text"))
+    (part,) = [f for f in os.listdir(path) if f.startswith("part-")]
+    first, *rest = open(f"{path}/{part}", encoding="utf-8").read().splitlines()
+    assert first == "'KEY', A , B" and sorted(rest) == sorted(odd)
+    numbered = snapshot.numbered_lines(spark, path)
+    assert "SortMergeJoin" not in plan_of(numbered) and [r.line_number for r in numbered.orderBy("line_number").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_rows_are_dealt_before_they_are_validated(spark):
     assert queries._validated(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 16
