@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,11 +30,13 @@ TOGETHER = 1000
 
 
 def _press(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays]))
+    """The arrays in few bytes: the first bytes of all numbers, then the second ones, and so on."""
+    return zstandard.ZstdCompressor(3).compress(pickle.dumps([(a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in map(np.ascontiguousarray, arrays)]))
 
 
 def _open(blob: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(b, t) for t, b in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
+    loaded = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for t, b in loaded]
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +110,46 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return (codes >> 32).astype(np.int32), codes.astype(np.uint32).view(np.int32), place
 
 
-def _discounts(counts: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """For each group n1 / (n1 + 2 n2) of its counts of counts, drawn towards PRIOR."""
-    n1, n2 = (np.bincount(group[counts == k], minlength=n) for k in (1, 2))
+def _discounts(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """n1 / (n1 + 2 n2) of counts of counts, drawn towards PRIOR."""
     return np.clip((n1 + PRIOR * PRIOR_WEIGHT) / (n1 + 2 * n2 + PRIOR_WEIGHT), 0.05, 0.95)
 
 
-def log_probabilities(u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, middles: np.ndarray, words: np.ndarray, base: np.ndarray, shards: np.ndarray) -> np.ndarray:
+def _reseat(c2: np.ndarray, own: np.ndarray, tables: np.ndarray, c1: np.ndarray, t1: np.ndarray, base: np.ndarray, c: np.ndarray, t: np.ndarray, d1: np.ndarray, d2: np.ndarray, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of the lower level's dishes after a sweep. own, tables: of the dish, of its restaurant; c1, t1: the dish's customers
+    and tables in the parent; c, t: all of the parent's."""
+    rest = c1 - own
+    held = np.minimum(t1, rest)
+    share = np.maximum(rest - d1 * held, 0) + (THETA + d1 * (t - t1 + held)) * base
+    share /= THETA + c - own
+    return seat(c2, tables - own, share, d2, key, 2 * sweep)
+
+
+def _key_lower(classes: np.ndarray, middles: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(mix64(mix64(classes.astype(np.uint64)) + middles) + words)
+
+
+def _key_upper(middles: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64(mix64(mix64(middles)) + words)
+
+
+class Parents(NamedTuple):
+    """What several owners share of a word's restaurant, before each sweep and after the last (the first axis, where there is one).
+
+    keys: (number of the middle word << 32 | number of the word), ascending; c1, t1: these dishes' customers and tables;
+    c, t: all of a middle word's; d1, d2: its discounts (those of other middle words are not read).
+    """
+
+    keys: np.ndarray
+    c1: np.ndarray
+    t1: np.ndarray
+    c: np.ndarray
+    t: np.ndarray
+    d1: np.ndarray
+    d2: np.ndarray
+
+
+def log_probabilities(u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, middles: np.ndarray, words: np.ndarray, base: np.ndarray, shares: np.ndarray, parents: Parents | None = None) -> np.ndarray:
     """log10 of the model's probability for each row (u: class, v: number in `middles`, w: number in `words`; count: how often
     training has the row).
 
@@ -120,38 +157,51 @@ def log_probabilities(u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.nda
     the customers of all dishes of the lower level anew, given the parents, then those of the upper level, whose customers
     are the lower one's tables; a dish's own tables are taken out of both levels first. All dishes of a level are seated
     at the same time, given the others as they were. Probabilities are averaged over the KEEP sweeps after BURN.
-    shards: the restaurants that a middle word is dealt to, by the class before it; rows of one restaurant come together.
+    shares: to how many owners a middle word is dealt; where these are several, the rows are one owner's, and `parents` tells
+    the word's restaurant, which all of them seated together (`shared_parents`).
     """
+    n = len(middles)
     cv, cu, context = _distinct(v, u)
     r, tw, row = _distinct(context, w)
     del context
     c2 = np.bincount(row, count, len(r)).astype(np.int32)
-    qv, qs, q_of = _distinct(cv, (cu % shards[cv]).astype(np.int32))
-    q = q_of[r]
+    q = cv[r]
     pq, pw, p = _distinct(q, tw)
     again = np.flatnonzero(c2 > 1)
-    key2 = mix64(mix64(mix64(cu.astype(np.uint64)) + middles[cv])[r[again]] + words[tw[again]])
+    key2 = _key_lower(cu[r[again]], middles[q[again]], words[tw[again]])
     del tw
-    key1 = mix64(mix64(mix64(middles[qv]) + qs.astype(np.uint64))[pq] + words[pw])
+    key1 = _key_upper(middles[pq], words[pw])
     t2 = np.minimum(c2, 1).astype(np.float32)
     c1 = np.bincount(p, t2, len(pq))
     t1 = np.minimum(c1, 1)
-    d2, d1 = _discounts(c2, q, len(qv)), _discounts(c1, pq, len(qv))
+    d2, d1 = (_discounts(*(np.bincount(group[counts == k], minlength=n) for k in (1, 2))) for counts, group in ((c2, q), (c1, pq)))
     size2 = np.bincount(r, c2, len(cv))
     pr, qr, g1 = p[again], q[again], base[pw]
+    told, far = np.flatnonzero(shares > 1), np.flatnonzero(shares[pq] > 1)
+    if len(told):
+        d1[told], d2[told] = parents.d1[told], parents.d2[told]
+        at = np.searchsorted(parents.keys, pq[far].astype(np.int64) << 32 | pw[far])
+        c1[far], t1[far] = parents.c1[0, at], parents.t1[0, at]
+
+    def sums(sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        c, t = np.bincount(pq, c1, n), np.bincount(pq, t1, n)
+        if len(told):
+            c[told], t[told] = parents.c[sweep, told], parents.t[sweep, told]
+        return c, t
+
+    c, t = sums(0)
     total = np.zeros(len(r))
     for sweep in range(BURN + KEEP):
-        own = t2[again]
-        rest = c1[pr] - own
-        held = np.minimum(t1[pr], rest)
-        share = np.maximum(rest - d1[qr] * held, 0) + (THETA + d1[qr] * (np.bincount(pq, t1, len(qv))[qr] - t1[pr] + held)) * g1[pr]
-        share /= THETA + np.bincount(pq, c1, len(qv))[qr] - own
-        t2[again] = seat(c2[again], np.bincount(r, t2, len(cv))[r[again]] - own, share, d2[qr], key2, 2 * sweep)
+        t2[again] = _reseat(c2[again], t2[again], np.bincount(r, t2, len(cv))[r[again]], c1[pr], t1[pr], g1[pr], c[qr], t[qr], d1[qr], d2[qr], key2, sweep)
         c1 = np.bincount(p, t2, len(pq))
+        c1[far] = 0
         t1 = np.minimum(t1, c1)
-        t1 = seat(c1.astype(np.int64), np.bincount(pq, t1, len(qv))[pq] - t1, g1, d1[pq], key1, 2 * sweep + 1)
+        t1 = seat(c1.astype(np.int64), np.bincount(pq, t1, n)[pq] - t1, g1, d1[pq], key1, 2 * sweep + 1)
+        if len(far):
+            c1[far], t1[far] = parents.c1[sweep + 1, at], parents.t1[sweep + 1, at]
+        c, t = sums(sweep + 1)
         if sweep >= BURN:
-            upper = (np.maximum(c1 - d1[pq] * t1, 0) + (THETA + d1 * np.bincount(pq, t1, len(qv)))[pq] * g1) / (THETA + np.bincount(pq, c1, len(qv)))[pq]
+            upper = (np.maximum(c1 - d1[pq] * t1, 0) + (THETA + d1 * t)[pq] * g1) / (THETA + c)[pq]
             tables = np.bincount(r, t2, len(cv))
             for k in range(0, len(r), 1 << 18):
                 x = slice(k, k + (1 << 18))
@@ -187,6 +237,206 @@ def vocabulary(own: DataFrame) -> DataFrame:
     return own.select("_text", "_train").mapInArrow(count, "w bigint, seen bigint, n bigint").groupBy("w").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n"))
 
 
+def _lists(frame: pd.DataFrame) -> tuple[list[int], list[np.ndarray], list[list[np.ndarray]]]:
+    """What shares of a word told a block first: the shares, the dishes of each, and further facts of these."""
+    frame = frame.sort_values("other")
+    loaded = [_open(x) for x in frame["blob"]]
+    return frame["other"].tolist(), [np.cumsum(x[0], dtype=np.uint64) for x in loaded], [x[1:] for x in loaded]
+
+
+def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray, seen_short: DataFrame, total: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """The restaurants of middle words with too many tokens for one owner; the same sweeps as in `log_probabilities`.
+
+    A word's triples are dealt to shares by the class before it, and its dishes to as many blocks by the word that follows. In
+    each sweep a block tells the shares its dishes' state, the shares seat their own and tell the tables they opened, and the
+    blocks add these up and seat them. A word's totals (a row for each word) go through the driver, twice a sweep. Only
+    dishes that can change take part. Gives (`h`, `part`: word and share, `blob`: dishes, customers and tables before
+    each sweep and after the last), and the words' totals and discounts.
+    """
+    first_share = np.cumsum(hot_shares) - hot_shares
+    sends, rooms = "h int, part int, other int, blob binary", "h int, part int, fixed binary, dishes binary, seats binary, c bigint, t bigint, n1 bigint, n2 bigint, m1 bigint, m2 bigint"
+    low = np.uint64((1 << 40) - 1)
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            share, code, learn = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(share, kind="stable")
+            share, code, learn = share[order], code[order], learn[order]
+            edges, rows = np.flatnonzero(np.append(True, share[1:] != share[:-1])).tolist() + [len(share)], []
+            for a, z in zip(edges, edges[1:]):
+                codes, at = np.unique(code[a:z], return_inverse=True)
+                h = int(np.searchsorted(first_share, share[a], "right")) - 1
+                rows.append((h, int(share[a] - first_share[h]), _press(_steps(codes), np.bincount(at, learn[a:z], len(codes)).astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "part", "blob"])
+
+        for b in batches:
+            start = 0
+            for text in slices(b.column("_text"), 1 << 20):
+                flags = b.column("_train").slice(start, len(text)).to_numpy(zero_copy_only=False).astype(bool)
+                start += len(text)
+                w, many = tokens_of(text)
+                first = np.cumsum(many) - many
+                v = np.roll(w, 1)
+                v[first] = START
+                u = np.roll(v, 1)
+                u[first] = START
+                h = np.minimum(np.searchsorted(hot_words, v), len(hot_words) - 1)
+                x = np.flatnonzero(hot_words[h] == v)
+                if not len(x):
+                    continue
+                classes, h = class_of(u[x]), h[x]
+                held.append((first_share[h] + classes % hot_shares[h], classes.astype(np.uint64) << np.uint64(40) | w[x] >> np.uint64(24), np.repeat(flags, many)[x]))
+                size += len(x)
+                if size >= CHUNK:
+                    yield counted()
+                    held.clear()
+                    size = 0
+        if held:
+            yield counted()
+        tidy()
+
+    def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        h, share = map(int, key)
+        loaded = [_open(x) for x in frame["blob"]]
+        code, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in loaded]), return_inverse=True)
+        c2 = np.bincount(at, np.concatenate([x[1] for x in loaded]), len(code)).astype(np.uint32)
+        del loaded, at
+        short, classes = code & low, (code >> np.uint64(40)).astype(np.uint16)
+        block = (mix64(short) % np.uint64(hot_shares[h])).astype(np.int32)
+        order = np.lexsort((classes, short, block))
+        short, classes, block, c2 = short[order], classes[order], block[order], c2[order]
+        new = np.append(True, short[1:] != short[:-1])
+        dish, again, once = np.cumsum(new) - 1, c2 > 1, c2 == 1
+        dishes, block = short[new], block[new]
+        ones, many = (np.bincount(dish, x, len(dishes)).astype(np.uint32) for x in (once, again))
+        met = np.unique(classes[again])
+        rows = [(h, share, -1, _press(classes[again], c2[again], dishes[many > 0], many[many > 0], np.bincount(classes, once, 65_536)[met].astype(np.uint32)))]
+        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)]
+        for a, z in zip(edges, edges[1:]):
+            counts = np.array([once.sum(), (c2 == 2).sum()] if not a else [0, 0], np.int64)
+            rows.append((h, int(block[a]), share, _press(_steps(dishes[a:z]), ones[a:z], many[a:z], counts)))
+        tidy()
+        return pd.DataFrame(rows, columns=["h", "part", "other", "blob"])
+
+    told = cut(own.mapInArrow(triples, "h int, part int, blob binary").groupBy("h", "part").applyInPandas(gather, sends))
+    shares, lists = told.filter("other < 0"), told.filter("other >= 0")
+
+    def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"h": np.int32(key[0]), "part": np.int32(key[1]), "w": np.unique(np.concatenate(_lists(frame)[1])).view(np.int64)})
+
+    counts = lists.groupBy("h", "part").applyInPandas(ask, "h int, part int, w bigint").join(seen_short, "w")
+
+    def known(others: list[int], dishes: list[np.ndarray], facts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """All dishes of a block, each one's place for each share, customers seated for good and now, and whether these can change."""
+        every = np.unique(np.concatenate(dishes))
+        places = [np.searchsorted(every, x) for x in dishes]
+        ones, again = (np.bincount(np.concatenate(places), np.concatenate([x[k] for x in facts]), len(every)).astype(np.int64) for k in (0, 1))
+        return every, places, ones, ones + again, (again > 0) | (ones > 1)
+
+    def open_block(key: tuple, frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        others, dishes, facts = _lists(frame)
+        every, places, ones, c1, moving = known(others, dishes, facts)
+        seen, number = np.zeros(len(every), np.int64), np.cumsum(moving) - 1
+        np.add.at(seen, np.searchsorted(every, counts["w"].to_numpy(np.int64).view(np.uint64)), counts["seen"].to_numpy(np.int64))
+        asked = [(number[at[x[1] > 0]].astype(np.uint32), x[1][x[1] > 0]) for at, x in zip(places, facts, strict=True)]
+        still = np.array([c1[~moving].sum()])
+        fixed = _press(_steps(every[moving]), seen[moving], ones[moving], np.array(others), np.array([len(x) for x, _ in asked]), *map(np.concatenate, zip(*asked, strict=True)), still)
+        t1 = np.minimum(c1, 1)
+        row = key[0], key[1], fixed, _press(*(x[moving].astype(np.uint32) for x in (c1, t1))), _press(np.ones(sum(int(m.sum()) for _, m in asked), np.uint32))
+        return pd.DataFrame([(*row, c1.sum(), t1.sum(), (c1 == 1).sum(), (c1 == 2).sum(), *sum(x[2] for x in facts))], columns=list(rooms_of))
+
+    rooms_of = [x.split()[0] for x in rooms.split(", ")]
+    state = cut(lists.groupBy("h", "part").cogroup(counts.groupBy("h", "part")).applyInPandas(open_block, rooms))
+
+    def sums(df: DataFrame, *names: str) -> list[np.ndarray]:
+        out = np.zeros((len(names), len(hot_words)))
+        for r in df.groupBy("h").agg(*(F.sum(x).alias(x) for x in names)).collect():
+            out[:, r.h] = [r[x] for x in names]
+        return list(out)
+
+    c, t, n1, n2, m1, m2 = sums(state, *rooms_of[-6:])
+    d1, d2 = _discounts(n1, n2), _discounts(m1, m2)
+    states, totals = [state], [(c, t)]
+
+    def sweep_once(state: DataFrame, sweep: int, c: np.ndarray, t: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        def reply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for x in frame.itertuples(index=False):
+                    _, seen, _, others, sizes, number, many, _ = _open(x.fixed)
+                    (c1, t1), (t2,) = _open(x.dishes), _open(x.seats)
+                    edges, seats = (np.cumsum(np.append(0, x), dtype=np.int64) for x in (sizes.astype(np.int64), many.astype(np.int64)))
+                    for share, a, z in zip(others.tolist(), edges.tolist(), edges[1:].tolist(), strict=False):
+                        if a < z:
+                            at = number[a:z]
+                            rows.append((x.h, share, x.part, _press(c1[at], t1[at], seen[at], t2[seats[a] : seats[z]])))
+                yield pd.DataFrame(rows, columns=["h", "part", "other", "blob"])
+
+        def lower(key: tuple, mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+            if not len(mine) or not len(replies):
+                return pd.DataFrame({"h": [], "part": [], "other": [], "blob": []})
+            h, share = map(int, key)
+            classes, c2, dishes, many, ones = _open(mine["blob"].iloc[0])
+            replies = replies.sort_values("other")
+            loaded = [_open(x) for x in replies["blob"]]
+            c1, t1, seen, t2 = (np.concatenate([x[k] for x in loaded]).astype(np.float64) for k in range(4))
+            p, r = np.repeat(np.arange(len(many)), many), np.unique(classes, return_inverse=True)[1]
+            key2 = _key_lower(classes, hot_words[h], dishes[p])
+            of_word = (np.full(len(p), x[h]) for x in (c, t, d1, d2))
+            t2 = _reseat(c2.astype(np.int64), t2, (np.bincount(r, t2, len(ones)) + ones)[r], c1[p], t1[p], ((seen + 1) / total)[p], *of_word, key2, sweep).astype(np.uint32)
+            edges = np.cumsum([0, *(len(x[3]) for x in loaded)])
+            return pd.DataFrame([(h, b, share, _press(t2[a:z])) for b, a, z in zip(replies["other"], edges, edges[1:], strict=False)], columns=["h", "part", "other", "blob"])
+
+        def collect(key: tuple, mine: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
+            row = mine.iloc[0].to_dict()
+            _, _, ones, _, _, number, many, still = _open(row["fixed"])
+            t2 = np.concatenate([np.empty(0, np.uint32), *(_open(x)[0] for x in opened.sort_values("other")["blob"])])
+            c1 = (ones + np.bincount(np.repeat(number, many), t2, len(ones))).astype(np.uint32)
+            t1 = np.minimum(_open(row["dishes"])[1], c1)
+            row |= {"dishes": _press(c1, t1), "seats": _press(t2), "c": int(c1.sum() + still[0]), "t": int(t1.sum() + still[0])}
+            return pd.DataFrame([row], columns=rooms_of)
+
+        opened = shares.groupBy("h", "part").cogroup(state.mapInPandas(reply, sends).groupBy("h", "part")).applyInPandas(lower, sends)
+        state = cut(state.groupBy("h", "part").cogroup(opened.groupBy("h", "part")).applyInPandas(collect, rooms))
+        c, before = sums(state, "c", "t")
+
+        def upper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                rows = []
+                for row in frame.to_dict("records"):
+                    h = row["h"]
+                    dishes, seen, *_, still = _open(row["fixed"])
+                    c1, t1 = _open(row["dishes"])
+                    t1 = seat(c1.astype(np.int64), before[h] - t1, (seen + 1) / total, np.full(len(c1), d1[h]), _key_upper(hot_words[h : h + 1], np.cumsum(dishes, dtype=np.uint64)), 2 * sweep + 1)
+                    rows.append(row | {"dishes": _press(c1, t1.astype(np.uint32)), "t": int(t1.sum() + still[0])})
+                yield pd.DataFrame(rows, columns=rooms_of)
+
+        state = cut(state.mapInPandas(upper, rooms))
+        return state, c, sums(state, "t")[0]
+
+    for sweep in range(BURN + KEEP):
+        state, c, t = sweep_once(state, sweep, c, t)
+        states.append(state)
+        totals.append((c, t))
+
+    def tell(key: tuple, frame: pd.DataFrame, course: pd.DataFrame) -> pd.DataFrame:
+        others, dishes, facts = _lists(frame)
+        every, places, _, c1, moving = known(others, dishes, facts)
+        c1 = np.tile(c1.astype(np.uint32), (BURN + KEEP + 1, 1))
+        t1 = np.minimum(c1, 1)
+        for k, blob in zip(course["k"], course["dishes"], strict=True):
+            c1[k, moving], t1[k, moving] = _open(blob)
+        # most dishes stay as they are from sweep to sweep
+        c1, t1 = (np.diff(x.astype(np.int32), axis=0, prepend=np.int32(0)) for x in (c1, t1))
+        return pd.DataFrame([(key[0], share, _press(_steps(x), c1[:, at].ravel(), t1[:, at].ravel())) for share, x, at in zip(others, dishes, places, strict=True)], columns=["h", "part", "blob"])
+
+    course = reduce(DataFrame.unionAll, [x.select("h", "part", F.lit(k).alias("k"), "dishes") for k, x in enumerate(states)])
+    out = lists.groupBy("h", "part").cogroup(course.groupBy("h", "part")).applyInPandas(tell, "h int, part int, blob binary")
+    return out, {"d1": d1, "d2": d2, "c": np.array([x for x, _ in totals]), "t": np.array([x for _, x in totals])}
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: `id_col`, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text).
 
@@ -199,8 +449,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     rows are documents of their own; an empty table gives an empty result; other columns don't matter, whatever their names.
 
     Tasks. A chunk of documents sends its triples, packed, to the owners of their middle words; there are as many owners as
-    keep an owner at OWNER_TOKENS on average. A middle word with more than half of that has several restaurants, to which
-    the classes before it are dealt, and so several owners; there are at most 2 such words an owner's worth of tokens.
+    keep an owner at OWNER_TOKENS on average. A middle word with more than half of that has several owners, to which the
+    classes before it are dealt; they share its restaurant, which is seated first (`shared_parents`), so scores do not depend
+    on the limit. There are at most 2 such words an owner's worth of tokens.
     Owners ask the vocabulary (a join) for the training counts of their words, seat, and return sums per document; the
     unigram part of a token comes from the owner that has it as middle word, which knows its count. What is exchanged grows
     in proportion to the tokens. All tokens after the same two words meet in one owner; repeats inside a document count as
@@ -229,6 +480,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         at = np.minimum(np.searchsorted(hot_words, words), len(hot_words) - 1)
         return np.where(hot_words[at] == words, values[at], rest)
 
+    def owner_of(mixed: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return mix64(mixed + share.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)
+
     def pack_chunk(number: int, ids: list, flags: np.ndarray, many: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         n, first = len(w), np.cumsum(many) - many
         words, place = np.unique(np.append(w, np.uint64(START)), return_inverse=True)
@@ -254,7 +508,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         times = np.diff(np.append(new, n)).astype(np.uint32)
         ui, vi, wi, d = (x[new] for x in (ui, vi, wi, d))
         classes, many_of, mixed = class_of(words), of_hot(words, hot_parts, np.ones(len(words), np.int64)), mix64(words)
-        to = np.where(many_of[vi] > 1, mix64(mixed[vi] + (classes[ui] % many_of[vi]).astype(np.uint64) + np.uint64(1)), mixed[vi]) % np.uint64(parts)
+        to = np.where(many_of[vi] > 1, owner_of(mixed[vi], classes[ui] % many_of[vi]), mixed[vi] % np.uint64(parts))
         to = to.astype(np.uint16 if parts < 65_536 else np.int64)
         order = np.argsort(to, kind="stable")
         ui, vi, wi, d, times, to = (x[order] for x in (ui, vi, wi, d, times, to))
@@ -271,7 +525,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 mask = np.zeros(len(words), bool)
                 mask[wi[a:z]] = True
                 used, place = np.flatnonzero(mask), (np.cumsum(mask) - 1)[wi[a:z]]
-            held = words[vi[a:z][run]], np.diff(np.append(run, z - a)).astype(np.uint32), _steps(short[used]), place.astype(np.uint16 if len(used) <= 65_536 else np.uint32), classes[ui[a:z]], d[a:z], times[a:z], bits
+            held = _steps(words[vi[a:z][run]]), np.diff(np.append(run, z - a)).astype(np.uint32), _steps(short[used]), place.astype(np.uint16 if len(used) <= 65_536 else np.uint32), classes[ui[a:z]], d[a:z], times[a:z], bits
             rows.append((k, number, _press(*held), pickle.dumps((ids, many)) if k == home else None))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["owner", "chunk", "tokens", "ids"])
 
@@ -304,23 +558,50 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return pd.DataFrame({"owner": np.int32(key[0]), "w": words.view(np.int64)})
 
     seen_short = table.filter("seen > 0").select(F.shiftrightunsigned("w", 24).alias("w"), "seen")
-    told = sent.applyInPandas(ask, "owner int, w bigint").join(seen_short, "w").groupBy("owner")
+    told = sent.applyInPandas(ask, "owner int, w bigint").join(seen_short, "w").select("owner", "w", "seen", F.lit(None).cast("int").alias("h"), F.lit(None).cast("binary").alias("blob"))
+    shared = {}
+    if len(hot_words):
+        rooms, shared = shared_parents(own, hot_words, hot_parts, seen_short, learned + distinct + 1)
+        owner = F.udf(lambda h, part: int(owner_of(mix64(hot_words[h : h + 1]), np.array([part]))[0]), "int")
+        told = told.unionAll(rooms.select(owner("h", "part"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), "h", "blob"))
+    told = told.groupBy("owner")
+
+    def parents_of(frame: pd.DataFrame, middles: np.ndarray, words: np.ndarray) -> Parents | None:
+        if not len(frame):
+            return None
+        at = np.searchsorted(middles, hot_words)
+        here = np.flatnonzero((at < len(middles)) & (middles[np.minimum(at, len(middles) - 1)] == hot_words))
+        keys, c1, t1 = [], [], []
+        for h, blob in zip(frame["h"].astype(int), frame["blob"], strict=True):
+            dishes, *course = _open(blob)
+            keys.append(np.int64(at[h]) << 32 | np.searchsorted(words, np.cumsum(dishes, dtype=np.uint64)))
+            for x, held in zip(course, (c1, t1), strict=True):
+                held.append(np.cumsum(x.reshape(-1, len(dishes)), axis=0, dtype=np.int32))
+        keys, first = np.unique(np.concatenate(keys), return_index=True)
+        found = {k: np.zeros((*x.shape[:-1], len(middles))) for k, x in shared.items()}
+        for k, x in shared.items():
+            found[k][..., at[here]] = x[..., here]
+        return Parents(keys, *(np.concatenate(x, axis=1)[:, first] for x in (c1, t1)), found["c"], found["t"], found["d1"], found["d2"])
 
     def score(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk").reset_index(drop=True)
         loaded = [_open(t) for t in frame["tokens"]]
         if not loaded:
             return pd.DataFrame({"chunk": [], "sums": [], "ids": []})
+        for x in loaded:
+            x[0] = np.cumsum(x[0], dtype=np.uint64)
         words, middles = np.unique(np.concatenate([shorts(x) for x in loaded])), np.unique(np.concatenate([x[0] for x in loaded]))
         w = np.concatenate([np.searchsorted(words, shorts(x)).astype(np.int32)[x[3]] for x in loaded])
         v = np.concatenate([np.repeat(np.searchsorted(middles, x[0]).astype(np.int32), x[1]) for x in loaded])
         u = np.concatenate([x[4] for x in loaded]).astype(np.int32)
         learn = np.concatenate([x[6] * np.unpackbits(x[7])[x[5]] for x in loaded])
+        told = counts["blob"].notna()
+        parents, counts = parents_of(counts[told], middles, words), counts[~told]
         seen, total = np.zeros(len(words), np.int64), learned + distinct + 1
         np.add.at(seen, np.searchsorted(words, counts["w"].to_numpy(np.int64).view(np.uint64)), counts["seen"].to_numpy(np.int64))
-        shards = of_hot(middles, hot_parts, np.ones(len(middles), np.int64))
+        shares = of_hot(middles, hot_parts, np.ones(len(middles), np.int64))
         # sums of whole numbers come out alike in any order
-        values = np.rint(log_probabilities(u, v, w, learn, middles, words, (seen + 1) / total, shards) * (1 << 20)).astype(np.int64)
+        values = np.rint(log_probabilities(u, v, w, learn, middles, words, (seen + 1) / total, shares, parents) * (1 << 20)).astype(np.int64)
         del u, w
         before = of_hot(middles, hot_seen, np.bincount(v, learn, len(middles)).astype(np.int64))
         token = middles != START

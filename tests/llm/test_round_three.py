@@ -11,15 +11,18 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeline.llm import alignment, conversations, packing, queries, token_files
+from gradeline.llm import alignment, conversations, packing, pitman_yor, queries, token_files
 from gradeline.llm.alignment import align_documents, aligner
+from gradeline.llm.common import Words
 from gradeline.llm.conversations import BLOCK, NEXT, START, WANTED, repair_report, solve, solve_short
 from gradeline.llm.digest_index import MOST_SEGMENTS, DigestIndex, exact_groups
 from gradeline.llm.ngram_join import jaccard_classes
 from gradeline.llm.packing import pack, packed_sequences, pieces_of
+from gradeline.llm.pitman_yor import score_texts
 from gradeline.llm.token_files import read_token_files, write_token_files
 from gradeline.llm.url_filter import url_filter
 from gradeline.operators.versions import VersionTaken
+from test_operators import plain_scores
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string"
@@ -361,3 +364,27 @@ def test_a_word_in_every_host(spark):
     assert found.count() == 600 and all("shop" in r.tokens for r in found.collect())
     assert all(r.tokens[0] == "the" for r in found.filter("page_id % 3 = 0").collect())
 
+
+
+@pytest.mark.parametrize("owner_tokens", [2_000_000, 200, 60])
+def test_pitman_yor_has_one_parent_a_word(spark, monkeypatch, owner_tokens):
+    """A middle word has one restaurant, of all its owners, so scores are a plain sampler's however few tokens an owner takes."""
+    monkeypatch.setattr(pitman_yor, "OWNER_TOKENS", owner_tokens)
+    monkeypatch.setattr(pitman_yor, "TOGETHER", 5)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"W{int(k)}" for k in rng.zipf(1.6, rng.integers(0, 40)) % 12) for _ in range(14)] + ["w1 w1 w1 w1 " * 6, "", "zzz w1", None]
+    learn = [k % 5 != 2 for k in range(len(texts))]
+    expected = plain_scores([Words(pa.array([t], pa.string())).hashes(lower=True).tolist() for t in texts], learn, {})
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, learn, strict=True)), "doc_id bigint, text string, t boolean")
+    got = {r.doc_id: r.score for r in score_texts(docs.repartition(3), F.col("t")).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(expected, abs=1e-4)
+
+
+def test_pitman_yor_scores_do_not_depend_on_owners(spark, monkeypatch):
+    """Equal scores to the last bit, with words dealt to several owners and without; texts' starts dealt out too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = []
+    for owner_tokens in (2_000_000, 2000, 300):
+        monkeypatch.setattr(pitman_yor, "OWNER_TOKENS", owner_tokens)
+        found.append({r.doc_id: r.score for r in score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()})
+    assert found[0] == found[1] == found[2]
