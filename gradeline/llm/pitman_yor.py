@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -244,14 +244,15 @@ def _lists(frame: pd.DataFrame) -> tuple[list[int], list[np.ndarray], list[list[
     return frame["other"].tolist(), [np.cumsum(x[0], dtype=np.uint64) for x in loaded], [x[1:] for x in loaded]
 
 
-def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray, seen_short: DataFrame, total: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray, seen_short: DataFrame, total: int, owner_of: Callable) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """The restaurants of middle words with too many tokens for one owner; the same sweeps as in `log_probabilities`.
 
     A word's triples are dealt to shares by the class before it, and its dishes to as many blocks by the word that follows. In
     each sweep a block tells the shares its dishes' state, the shares seat their own and tell the tables they opened, and the
     blocks add these up and seat them. A word's totals (a row for each word) go through the driver, twice a sweep. Only
-    dishes that can change take part. Gives (`h`, `part`: word and share, `blob`: dishes, customers and tables before
-    each sweep and after the last), and the words' totals and discounts.
+    dishes that can change take part. Gives rows like those of chunks (`owner`: of a word's share by `owner_of`, `chunk`: -1 -
+    the word's number, `tokens`: dishes, customers and tables before each sweep and after the last), and the words' totals and
+    discounts.
     """
     first_share = np.cumsum(hot_shares) - hot_shares
     sends, rooms = "h int, part int, other int, blob binary", "h int, part int, fixed binary, dishes binary, seats binary, c bigint, t bigint, n1 bigint, n2 bigint, m1 bigint, m2 bigint"
@@ -267,8 +268,10 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
             edges, rows = np.flatnonzero(np.append(True, share[1:] != share[:-1])).tolist() + [len(share)], []
             for a, z in zip(edges, edges[1:]):
                 codes, at = np.unique(code[a:z], return_inverse=True)
+                used, place = np.unique(codes & low, return_inverse=True)
+                classes = (codes >> np.uint64(40)).astype(np.uint16)
                 h = int(np.searchsorted(first_share, share[a], "right")) - 1
-                rows.append((h, int(share[a] - first_share[h]), _press(_steps(codes), np.bincount(at, learn[a:z], len(codes)).astype(np.uint32))))
+                rows.append((h, int(share[a] - first_share[h]), _press(_steps(used), place.astype(np.uint32), np.diff(classes, prepend=np.uint16(0)), np.bincount(at, learn[a:z], len(codes)).astype(np.uint32))))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["h", "part", "blob"])
 
         for b in batches:
@@ -300,8 +303,9 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
     def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         h, share = map(int, key)
         loaded = [_open(x) for x in frame["blob"]]
-        code, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in loaded]), return_inverse=True)
-        c2 = np.bincount(at, np.concatenate([x[1] for x in loaded]), len(code)).astype(np.uint32)
+        code = [np.cumsum(classes, dtype=np.uint16).astype(np.uint64) << np.uint64(40) | np.cumsum(used, dtype=np.uint64)[place] for used, place, classes, _ in loaded]
+        code, at = np.unique(np.concatenate(code), return_inverse=True)
+        c2 = np.bincount(at, np.concatenate([x[3] for x in loaded]), len(code)).astype(np.uint32)
         del loaded, at
         short, classes = code & low, (code >> np.uint64(40)).astype(np.uint16)
         block = (mix64(short) % np.uint64(hot_shares[h])).astype(np.int32)
@@ -312,7 +316,7 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
         dishes, block = short[new], block[new]
         ones, many = (np.bincount(dish, x, len(dishes)).astype(np.uint32) for x in (once, again))
         met = np.unique(classes[again])
-        rows = [(h, share, -1, _press(classes[again], c2[again], dishes[many > 0], many[many > 0], np.bincount(classes, once, 65_536)[met].astype(np.uint32)))]
+        rows = [(h, share, -1, _press(np.diff(classes[again], prepend=np.uint16(0)), c2[again], np.diff(dishes[many > 0], prepend=np.uint64(0)), many[many > 0], np.bincount(classes, once, 65_536)[met].astype(np.uint32)))]
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)]
         for a, z in zip(edges, edges[1:]):
             counts = np.array([once.sum(), (c2 == 2).sum()] if not a else [0, 0], np.int64)
@@ -323,26 +327,27 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
     told = cut(own.mapInArrow(triples, "h int, part int, blob binary").groupBy("h", "part").applyInPandas(gather, sends))
     shares, lists = told.filter("other < 0"), told.filter("other >= 0")
 
-    def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"h": np.int32(key[0]), "part": np.int32(key[1]), "w": np.unique(np.concatenate(_lists(frame)[1])).view(np.int64)})
-
-    counts = lists.groupBy("h", "part").applyInPandas(ask, "h int, part int, w bigint").join(seen_short, "w")
-
-    def known(others: list[int], dishes: list[np.ndarray], facts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    def known(dishes: list[np.ndarray], facts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
         """All dishes of a block, each one's place for each share, customers seated for good and now, and whether these can change."""
         every = np.unique(np.concatenate(dishes))
         places = [np.searchsorted(every, x) for x in dishes]
         ones, again = (np.bincount(np.concatenate(places), np.concatenate([x[k] for x in facts]), len(every)).astype(np.int64) for k in (0, 1))
         return every, places, ones, ones + again, (again > 0) | (ones > 1)
 
+    def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        every, *_, moving = known(*_lists(frame)[1:])
+        return pd.DataFrame({"h": np.int32(key[0]), "part": np.int32(key[1]), "w": every[moving].view(np.int64)})
+
+    counts = lists.groupBy("h", "part").applyInPandas(ask, "h int, part int, w bigint").join(seen_short, "w")
+
     def open_block(key: tuple, frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         others, dishes, facts = _lists(frame)
-        every, places, ones, c1, moving = known(others, dishes, facts)
-        seen, number = np.zeros(len(every), np.int64), np.cumsum(moving) - 1
-        np.add.at(seen, np.searchsorted(every, counts["w"].to_numpy(np.int64).view(np.uint64)), counts["seen"].to_numpy(np.int64))
-        asked = [(number[at[x[1] > 0]].astype(np.uint32), x[1][x[1] > 0]) for at, x in zip(places, facts, strict=True)]
+        every, places, ones, c1, moving = known(dishes, facts)
+        number, seen = np.cumsum(moving) - 1, np.zeros(int(moving.sum()), np.int64)
+        np.add.at(seen, np.searchsorted(every[moving], counts["w"].to_numpy(np.int64).view(np.uint64)), counts["seen"].to_numpy(np.int64))
+        asked = [(np.diff(number[at[x[1] > 0]], prepend=0), x[1][x[1] > 0]) for at, x in zip(places, facts, strict=True)]
         still = np.array([c1[~moving].sum()])
-        fixed = _press(_steps(every[moving]), seen[moving], ones[moving], np.array(others), np.array([len(x) for x, _ in asked]), *map(np.concatenate, zip(*asked, strict=True)), still)
+        fixed = _press(_steps(every[moving]), seen, ones[moving], np.array(others), np.array([len(x) for x, _ in asked]), *map(np.concatenate, zip(*asked, strict=True)), still)
         t1 = np.minimum(c1, 1)
         row = key[0], key[1], fixed, _press(*(x[moving].astype(np.uint32) for x in (c1, t1))), _press(np.ones(sum(int(m.sum()) for _, m in asked), np.uint32))
         return pd.DataFrame([(*row, c1.sum(), t1.sum(), (c1 == 1).sum(), (c1 == 2).sum(), *sum(x[2] for x in facts))], columns=list(rooms_of))
@@ -370,7 +375,7 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
                     edges, seats = (np.cumsum(np.append(0, x), dtype=np.int64) for x in (sizes.astype(np.int64), many.astype(np.int64)))
                     for share, a, z in zip(others.tolist(), edges.tolist(), edges[1:].tolist(), strict=False):
                         if a < z:
-                            at = number[a:z]
+                            at = np.cumsum(number[a:z])
                             rows.append((x.h, share, x.part, _press(c1[at], t1[at], seen[at], t2[seats[a] : seats[z]])))
                 yield pd.DataFrame(rows, columns=["h", "part", "other", "blob"])
 
@@ -382,6 +387,7 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
             replies = replies.sort_values("other")
             loaded = [_open(x) for x in replies["blob"]]
             c1, t1, seen, t2 = (np.concatenate([x[k] for x in loaded]).astype(np.float64) for k in range(4))
+            classes, dishes = np.cumsum(classes, dtype=np.uint16), np.cumsum(dishes, dtype=np.uint64)
             p, r = np.repeat(np.arange(len(many)), many), np.unique(classes, return_inverse=True)[1]
             key2 = _key_lower(classes, hot_words[h], dishes[p])
             of_word = (np.full(len(p), x[h]) for x in (c, t, d1, d2))
@@ -391,7 +397,8 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
 
         def collect(key: tuple, mine: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
             row = mine.iloc[0].to_dict()
-            _, _, ones, _, _, number, many, still = _open(row["fixed"])
+            _, _, ones, _, sizes, number, many, still = _open(row["fixed"])
+            number = np.concatenate([np.cumsum(x) for x in np.split(number, np.cumsum(sizes)[:-1])])
             t2 = np.concatenate([np.empty(0, np.uint32), *(_open(x)[0] for x in opened.sort_values("other")["blob"])])
             c1 = (ones + np.bincount(np.repeat(number, many), t2, len(ones))).astype(np.uint32)
             t1 = np.minimum(_open(row["dishes"])[1], c1)
@@ -423,17 +430,18 @@ def shared_parents(own: DataFrame, hot_words: np.ndarray, hot_shares: np.ndarray
 
     def tell(key: tuple, frame: pd.DataFrame, course: pd.DataFrame) -> pd.DataFrame:
         others, dishes, facts = _lists(frame)
-        every, places, _, c1, moving = known(others, dishes, facts)
+        every, places, _, c1, moving = known(dishes, facts)
         c1 = np.tile(c1.astype(np.uint32), (BURN + KEEP + 1, 1))
         t1 = np.minimum(c1, 1)
         for k, blob in zip(course["k"], course["dishes"], strict=True):
             c1[k, moving], t1[k, moving] = _open(blob)
         # most dishes stay as they are from sweep to sweep
         c1, t1 = (np.diff(x.astype(np.int32), axis=0, prepend=np.int32(0)) for x in (c1, t1))
-        return pd.DataFrame([(key[0], share, _press(_steps(x), c1[:, at].ravel(), t1[:, at].ravel())) for share, x, at in zip(others, dishes, places, strict=True)], columns=["h", "part", "blob"])
+        owners = owner_of(mix64(hot_words[key[0] : key[0] + 1]), np.array(others))
+        return pd.DataFrame([(int(k), -1 - int(key[0]), _press(_steps(x), c1[:, at].ravel(), t1[:, at].ravel()), None) for k, x, at in zip(owners, dishes, places, strict=True)], columns=["owner", "chunk", "tokens", "ids"])
 
     course = reduce(DataFrame.unionAll, [x.select("h", "part", F.lit(k).alias("k"), "dishes") for k, x in enumerate(states)])
-    out = lists.groupBy("h", "part").cogroup(course.groupBy("h", "part")).applyInPandas(tell, "h int, part int, blob binary")
+    out = lists.groupBy("h", "part").cogroup(course.groupBy("h", "part")).applyInPandas(tell, "owner int, chunk bigint, tokens binary, ids binary")
     return out, {"d1": d1, "d2": d2, "c": np.array([x for x, _ in totals]), "t": np.array([x for _, x in totals])}
 
 
@@ -493,6 +501,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         vi[first] = ui[first] = start
         ui[first[many > 1] + 1] = start
         d = np.repeat(np.arange(len(ids), dtype=np.uint16), many)
+        ui = class_of(words)[ui]
         if len(words) < 1 << 21:
             code = vi.astype(np.int64)
             for x in (ui, wi):
@@ -507,8 +516,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         new = np.flatnonzero(np.append(True, (np.diff(vi) != 0) | (np.diff(ui) != 0) | (np.diff(wi) != 0) | (np.diff(d) != 0)))
         times = np.diff(np.append(new, n)).astype(np.uint32)
         ui, vi, wi, d = (x[new] for x in (ui, vi, wi, d))
-        classes, many_of, mixed = class_of(words), of_hot(words, hot_parts, np.ones(len(words), np.int64)), mix64(words)
-        to = np.where(many_of[vi] > 1, owner_of(mixed[vi], classes[ui] % many_of[vi]), mixed[vi] % np.uint64(parts))
+        many_of, mixed = of_hot(words, hot_parts, np.ones(len(words), np.int64)), mix64(words)
+        to = np.where(many_of[vi] > 1, owner_of(mixed[vi], ui % many_of[vi]), mixed[vi] % np.uint64(parts))
         to = to.astype(np.uint16 if parts < 65_536 else np.int64)
         order = np.argsort(to, kind="stable")
         ui, vi, wi, d, times, to = (x[order] for x in (ui, vi, wi, d, times, to))
@@ -525,7 +534,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 mask = np.zeros(len(words), bool)
                 mask[wi[a:z]] = True
                 used, place = np.flatnonzero(mask), (np.cumsum(mask) - 1)[wi[a:z]]
-            held = _steps(words[vi[a:z][run]]), np.diff(np.append(run, z - a)).astype(np.uint32), _steps(short[used]), place.astype(np.uint16 if len(used) <= 65_536 else np.uint32), classes[ui[a:z]], d[a:z], times[a:z], bits
+            held = _steps(words[vi[a:z][run]]), np.diff(np.append(run, z - a)).astype(np.uint32), _steps(short[used]), place.astype(np.uint16 if len(used) <= 65_536 else np.uint32), np.diff(ui[a:z], prepend=np.uint16(0)), d[a:z], times[a:z], bits
             rows.append((k, number, _press(*held), pickle.dumps((ids, many)) if k == home else None))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["owner", "chunk", "tokens", "ids"])
 
@@ -548,23 +557,21 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             yield pack_chunk(number, ids, *map(np.concatenate, zip(*held, strict=True)))
         tidy()
 
-    sent = own.mapInArrow(send, "owner int, chunk bigint, tokens binary, ids binary").groupBy("owner")
+    seen_short = table.filter("seen > 0").select(F.shiftrightunsigned("w", 24).alias("w"), "seen")
+    sent, shared = own.mapInArrow(send, "owner int, chunk bigint, tokens binary, ids binary"), {}
+    if len(hot_words):
+        rooms, shared = shared_parents(own, hot_words, hot_parts, seen_short, learned + distinct + 1, owner_of)
+        sent = sent.unionAll(rooms)
+    sent = sent.groupBy("owner")
 
     def shorts(blob: list[np.ndarray]) -> np.ndarray:
         return np.cumsum(blob[2], dtype=np.uint64)
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        words = np.unique(np.concatenate([shorts(_open(x)) for x in frame["tokens"]]))
+        words = np.unique(np.concatenate([shorts(_open(x)) for x in frame["tokens"][frame["chunk"] >= 0]]))
         return pd.DataFrame({"owner": np.int32(key[0]), "w": words.view(np.int64)})
 
-    seen_short = table.filter("seen > 0").select(F.shiftrightunsigned("w", 24).alias("w"), "seen")
-    told = sent.applyInPandas(ask, "owner int, w bigint").join(seen_short, "w").select("owner", "w", "seen", F.lit(None).cast("int").alias("h"), F.lit(None).cast("binary").alias("blob"))
-    shared = {}
-    if len(hot_words):
-        rooms, shared = shared_parents(own, hot_words, hot_parts, seen_short, learned + distinct + 1)
-        owner = F.udf(lambda h, part: int(owner_of(mix64(hot_words[h : h + 1]), np.array([part]))[0]), "int")
-        told = told.unionAll(rooms.select(owner("h", "part"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), "h", "blob"))
-    told = told.groupBy("owner")
+    told = sent.applyInPandas(ask, "owner int, w bigint").join(seen_short, "w").groupBy("owner")
 
     def parents_of(frame: pd.DataFrame, middles: np.ndarray, words: np.ndarray) -> Parents | None:
         if not len(frame):
@@ -572,9 +579,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         at = np.searchsorted(middles, hot_words)
         here = np.flatnonzero((at < len(middles)) & (middles[np.minimum(at, len(middles) - 1)] == hot_words))
         keys, c1, t1 = [], [], []
-        for h, blob in zip(frame["h"].astype(int), frame["blob"], strict=True):
+        for chunk, blob in zip(frame["chunk"], frame["tokens"], strict=True):
             dishes, *course = _open(blob)
-            keys.append(np.int64(at[h]) << 32 | np.searchsorted(words, np.cumsum(dishes, dtype=np.uint64)))
+            keys.append(np.int64(at[-1 - chunk]) << 32 | np.searchsorted(words, np.cumsum(dishes, dtype=np.uint64)))
             for x, held in zip(course, (c1, t1), strict=True):
                 held.append(np.cumsum(x.reshape(-1, len(dishes)), axis=0, dtype=np.int32))
         keys, first = np.unique(np.concatenate(keys), return_index=True)
@@ -585,6 +592,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def score(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk").reset_index(drop=True)
+        rooms, frame = frame[frame["chunk"] < 0], frame[frame["chunk"] >= 0]
         loaded = [_open(t) for t in frame["tokens"]]
         if not loaded:
             return pd.DataFrame({"chunk": [], "sums": [], "ids": []})
@@ -593,10 +601,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         words, middles = np.unique(np.concatenate([shorts(x) for x in loaded])), np.unique(np.concatenate([x[0] for x in loaded]))
         w = np.concatenate([np.searchsorted(words, shorts(x)).astype(np.int32)[x[3]] for x in loaded])
         v = np.concatenate([np.repeat(np.searchsorted(middles, x[0]).astype(np.int32), x[1]) for x in loaded])
-        u = np.concatenate([x[4] for x in loaded]).astype(np.int32)
+        u = np.concatenate([np.cumsum(x[4], dtype=np.uint16) for x in loaded]).astype(np.int32)
         learn = np.concatenate([x[6] * np.unpackbits(x[7])[x[5]] for x in loaded])
-        told = counts["blob"].notna()
-        parents, counts = parents_of(counts[told], middles, words), counts[~told]
+        parents = parents_of(rooms, middles, words)
         seen, total = np.zeros(len(words), np.int64), learned + distinct + 1
         np.add.at(seen, np.searchsorted(words, counts["w"].to_numpy(np.int64).view(np.uint64)), counts["seen"].to_numpy(np.int64))
         shares = of_hot(middles, hot_parts, np.ones(len(middles), np.int64))
