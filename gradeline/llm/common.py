@@ -42,14 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
 HOT, SALTS = 200, 64
 
 
-def join_copies(rows: DataFrame, table: DataFrame, key: str, copies: str, how: str = "inner") -> DataFrame:
+def join_copies(rows: DataFrame, table: DataFrame, key: str, copies: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join `rows` to a `table` of one row a key, whose column `copies` (left out) says how many rows have it.
 
     Rows of hot keys, and rows without a key, are dealt to many tasks; the list of hot keys is shorter than HOT, so it is
     broadcast. `table` is read more than once: give a checkpoint or files. A row's task follows from its place among the
     `rows`, so these must come in the same order when a lost executor's work is done again: from files or a checkpoint too.
+    total: the sum of `copies`, if it is known.
     """
-    total = table.agg(F.sum(copies)).first()[0] or 0
+    total = table.agg(F.sum(copies)).first()[0] or 0 if total is None else total
     hot = F.broadcast(table.filter(F.col(copies) * HOT > total).select(key, F.lit(True).alias("_hot")))
     mine = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

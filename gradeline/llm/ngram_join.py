@@ -155,12 +155,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     banded = nodes.filter("bands is not null").select("_key", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash"))
     hubs = cut(banded.groupBy("bucket").agg(F.min("_key").alias("hub"), F.max("_key").alias("last"), F.count("*").alias("held")).filter("hub <> last").drop("last"))
     met = join_copies(banded.select("_key", "bucket"), hubs, "bucket", "held").select(F.col("_key").alias("a"), F.col("hub").alias("b"))
-    labels = cut(connected_components(met))
+    labels = connected_components(met)
 
     weights = own.select("_key", (1 + F.floor(F.octet_length("_text") / WEIGHT)).alias("weight")).groupBy("_key").agg(F.first("weight").alias("weight"))
     members = cut(labels.join(weights, labels["node"] == weights["_key"]).select("_key", "component", "weight"))
     sizes = members.groupBy("component").agg(F.sum("weight").alias("size"))
-    members = members.join(sizes, "component")
+    members = cut(members.join(sizes, "component"))
     shares = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
 
     def dealt(df: DataFrame, size: str, one: Column, many: Column) -> DataFrame:
@@ -170,12 +170,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         df = df.select("_key", "label", "band", "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
         return df.select("_key", "label", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
-    tasks = max(1, (members.agg(F.sum("weight")).first()[0] or 0) // BLOCK)
+    total, widest = members.agg(F.sum("weight"), F.max("size")).first()
+    tasks = max(1, (total or 0) // BLOCK)
     spread = lambda *names: F.pmod(F.xxhash64(*names), F.lit(tasks)).cast("string")
     wide = F.col("size") > WIDE * BLOCK
     narrow = dealt(members.filter(~wide).withColumn("band", F.lit(-1)), "size", spread("component"), F.hex("component"))
     inside = members.filter(wide).join(banded.drop("bucket"), "_key").withColumn("bucket", F.struct("band", "hash"))
-    if members.filter(wide).limit(1).count():
+    if (widest or 0) > WIDE * BLOCK:
         # rows of a large bucket are dealt to many tasks, which needs them in one order
         inside = cut(inside)
         buckets = cut(inside.groupBy("bucket").agg(F.sum("weight").alias("held"), F.count("*").alias("_n")).filter("_n > 1"))

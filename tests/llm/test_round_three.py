@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gradeline.llm import alignment, conversations, packing, pitman_yor, queries, token_files
 from gradeline.llm.alignment import align_documents, aligner
 from gradeline.llm.common import Words
+from gradeline.llm.components import connected_components
 from gradeline.llm.conversations import BLOCK, NEXT, START, WANTED, repair_report, solve, solve_short
 from gradeline.llm.digest_index import MOST_SEGMENTS, DigestIndex, exact_groups
 from gradeline.llm.ngram_join import jaccard_classes
@@ -388,3 +389,33 @@ def test_pitman_yor_scores_do_not_depend_on_owners(spark, monkeypatch):
         monkeypatch.setattr(pitman_yor, "OWNER_TOKENS", owner_tokens)
         found.append({r.doc_id: r.score for r in score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).collect()})
     assert found[0] == found[1] == found[2]
+
+
+def test_components_keep_few_tasks_on_the_driver(spark):
+    """Each task leaves an entry in the driver's memory: fewer than 80 rounds of the shuffle partitions (64, once 120) are run."""
+    rng, parts, context = random.Random(5), 23, spark.sparkContext
+    edges = [(k, k + 1) for k in range(30)] + [(1000 - k, 1000) for k in range(1, 300)] + [(2000, 2000 + k) for k in range(1, 300)] + [(3000 + rng.randrange(90), 3000 + rng.randrange(90)) for _ in range(70)]
+    root = {k: k for e in edges for k in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if all(root[a] == root[b] for a, b in edges if a != b):
+            break
+    held = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("components", "")
+        found = connected_components(spark.createDataFrame(edges, "a int, b int"))
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("components") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+        rows = [(r.node, r.component) for r in found.collect()]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(root) and dict(rows) == root
+    assert 0 < tasks < 80 * parts
