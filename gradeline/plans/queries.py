@@ -354,7 +354,7 @@ def points_in_areas(s, d):
 
 @query("SELECT point, CAST(count(*) AS INT) AS touching, min(geoid) AS first_geoid FROM aedge WHERE odd OR onb GROUP BY 1")
 def areas_touching(s, d):
-    return spatial.touching_polygons(adapters.area_points(s, d), adapters.areas(s, d), ["point"])
+    return spatial.touching_polygons(adapters.area_points(s, d), adapters.drawn_areas(s, d), ["point"], many=True)
 
 
 @query("SELECT point, b[2] AS nearest_geoid, b[1] AS distance_m FROM anear")

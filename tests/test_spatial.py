@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gradeline.operators import hot, spatial
+from gradeline.operators import hot, places, spatial
 from gradeline.plans import adapters
+from gradeline.plans import queries as plans
 
 
 def ring(rng, x, y, size, n):
@@ -139,3 +140,63 @@ def test_areas_are_those_of_the_expressions(spark):
     plain = adapters.table(spark, "/root/testdata/sf0.01", "part").selectExpr(*adapters.AREA_BASE).selectExpr("geoid", "w", f"array({ring}) as rings")
     assert sorted(map(str, areas.collect())) == sorted(map(str, plain.collect()))
     assert areas.rdd.getNumPartitions() >= 16
+
+
+@pytest.mark.parametrize(("block", "pairs", "ranges"), [(128, 8192, 500_000), (7, 50, 40)])
+def test_few_places_equal_plain_loops(spark, monkeypatch, block, pairs, ranges):
+    """Blocks of a polygon that lie in several parts count together; unknown coordinates meet nothing."""
+    for name, most in (("BLOCK", block), ("PAIRS", pairs), ("RANGES", ranges)):
+        monkeypatch.setattr(places, name, most)
+    shapes, points = sample(11)
+    points = list(dict.fromkeys(points))
+    batch = frames(spark, shapes, points)[0].toArrow().combine_chunks().to_batches()[0]
+    held = places.Places(*spatial.np.array([*points, (math.nan, 1.0), (1.0, math.nan)]).T)
+    assert len(held.x) == len(points)
+    want = {g: plain(shapes, *g) for g in zip(held.x.tolist(), held.y.tolist(), strict=True)}
+    codes = batch.column("geoid").to_pylist()
+    inside, touching = {}, {}
+    for part in places.met(batch, held):
+        for who, at, odd, on in zip(*part, strict=True):
+            place = (float(held.x[at]), float(held.y[at]))
+            assert codes[who] not in touching.setdefault(place, set())
+            touching[place].add(codes[who])
+            inside.setdefault(place, set()).update({codes[who]} if odd and not on else ())
+    assert touching == {k: w[1] for k, w in want.items() if w[1]}
+    assert {k: w for k, w in inside.items() if w} == {k: w[0] for k, w in want.items() if w[0]}
+
+
+def drawn(polygons):
+    """The same polygons, drawn in tasks."""
+
+    def twice(batches):
+        for b in batches:
+            yield b.slice(0, b.num_rows // 2)
+            yield b.slice(b.num_rows // 2)
+
+    return places.Drawn(polygons.select("geoid", "rings"), twice, "geoid string, rings array<array<struct<x: double, y: double>>>")
+
+
+def test_few_places_touching(spark, monkeypatch):
+    """Points on the same places, also without coordinates, with the places in the tasks and without."""
+    shapes, points = sample(13)
+    polygons, pts = frames(spark, shapes, [*points, *points[:200]])
+    pts = pts.withColumns({"lon": F.when(F.col("k") % 50 > 0, F.col("lon")), "lat": F.when(F.col("k") % 51 > 0, F.col("lat"))})
+    every = {k: p for k, p in enumerate([*points, *points[:200]]) if k % 50 and k % 51}
+    want = {k: plain(shapes, *p)[1] for k, p in every.items()}
+    want = {k: (len(w), min(w)) for k, w in want.items() if w}
+    for table in (polygons, drawn(polygons)):
+        assert {r.k: (r.touching, r.first_geoid) for r in spatial.touching_polygons(pts, table, ["k"], many=True).collect()} == want
+    monkeypatch.setattr(spatial, "HELD_PLACES", 100)
+    assert {r.k: (r.touching, r.first_geoid) for r in spatial.touching_polygons(pts, drawn(polygons), ["k"], many=True).collect()} == want
+    none = spatial.touching_polygons(pts.filter("false"), polygons, ["k"], many=True)
+    assert none.count() == 0 and none.schema == spatial.touching_polygons(pts, polygons, ["k"]).schema
+
+
+def exchanged(df):
+    """Whether edges of polygons are in its plan outside of the tasks that draw them, and how often polygons are looked at."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "near#" in plan or "rings#" in plan, plan.count("MapInArrow")
+
+
+def test_areas_touching_keeps_edges_in_the_tasks_that_draw_them(spark):
+    assert exchanged(plans.QUERIES["areas_touching"](spark, "/root/testdata/sf0.001")) == (False, 1)
