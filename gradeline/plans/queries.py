@@ -359,11 +359,11 @@ def areas_touching(s, d):
 
 @query("SELECT point, b[2] AS nearest_geoid, b[1] AS distance_m FROM anear")
 def nearest_areas(s, d):
-    points, areas = adapters.area_points(s, d), adapters.areas(s, d)
-    # written once: its cells are counted before it meets the areas
+    points, areas = adapters.area_points(s, d), adapters.drawn_areas(s, d)
+    # written once: its places are told before it meets the areas
     path = f"{adapters.scratch(s)}/missed"
-    spatial.unmatched_points(points, spatial.point_in_polygon(points, areas), ["point"]).write.parquet(path)
-    return spatial.nearest_polygon(s.read.parquet(path), areas, ["point"], adapters.AREA_REACH)
+    spatial.outside_polygons(points, areas, ["point"], many=True).write.parquet(path)
+    return spatial.nearest_polygon(s.read.parquet(path), areas, ["point"], adapters.AREA_REACH, many=True)
 
 
 @query("SELECT * FROM unm")

@@ -200,3 +200,49 @@ def exchanged(df):
 
 def test_areas_touching_keeps_edges_in_the_tasks_that_draw_them(spark):
     assert exchanged(plans.QUERIES["areas_touching"](spark, "/root/testdata/sf0.001")) == (False, 1)
+
+
+@pytest.mark.parametrize(("block", "pairs"), [(128, 8192), (7, 400)])
+def test_few_places_closest_points(spark, monkeypatch, block, pairs):
+    """The least of (squared distance, x, y) over all edges of a polygon, however its blocks lie in parts."""
+    monkeypatch.setattr(places, "BLOCK", block)
+    monkeypatch.setattr(places, "PAIRS", pairs)
+    shapes, points = sample(17)
+    held = places.Places(*spatial.np.array(list(dict.fromkeys(points[::4]))).T)
+    batch = frames(spark, shapes, points)[0].toArrow().combine_chunks().to_batches()[0]
+    found = [row for part in places.close(batch, held, 0.7) for row in zip(*(v.tolist() for v in part), strict=True)]
+    assert len({row[:2] for row in found}) == len(found)
+    want = []
+    for who, g in enumerate(batch.column("geoid").to_pylist()):
+        for at, (x, y) in enumerate(zip(held.x.tolist(), held.y.tolist(), strict=True)):
+            best = (math.inf,)
+            for r in shapes[g]:
+                for (x1, y1), (x2, y2) in zip(r, r[1:], strict=False):
+                    dx, dy = x2 - x1, y2 - y1
+                    t = min(1.0, max(0.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+                    px, py = x1 + t * dx, y1 + t * dy
+                    best = min(best, ((px - x) * (px - x) + (py - y) * (py - y), px, py))
+            want += [(who, at, *best)] if best[0] <= 0.7 * 0.7 else []
+    assert sorted(found) == want and len(want) > 100
+
+
+def test_few_places_outside_and_nearest(spark, monkeypatch):
+    """The same points and metres as by cells, for points on the same places and some without coordinates."""
+    shapes, points = sample(19)
+    shapes = {g: r for g, r in shapes.items() if max(x for x, _ in r[0]) - min(x for x, _ in r[0]) < 10}
+    polygons, pts = frames(spark, shapes, [*points[::2], *points[:100]])
+    pts = pts.withColumn("lon", F.when(F.col("k") % 50 > 0, F.col("lon")))
+    outside = spatial.unmatched_points(pts, spatial.point_in_polygon(pts, polygons), ["k"])
+    near = spatial.nearest_polygon(outside, polygons, ["k"], 0.7)
+    want = sorted(map(tuple, outside.select("k").collect())), sorted(map(tuple, near.collect()))
+    for most in (spatial.HELD_PLACES, 100):
+        monkeypatch.setattr(spatial, "HELD_PLACES", most)
+        left = spatial.outside_polygons(pts, drawn(polygons), ["k"], many=True)
+        close = spatial.nearest_polygon(left, drawn(polygons), ["k"], 0.7, many=True)
+        assert (sorted(map(tuple, left.select("k").collect())), sorted(map(tuple, close.collect()))) == want
+        assert left.schema == pts.schema and close.schema == near.schema
+    assert len(want[0]) > 100 and len(want[1]) > 50
+
+
+def test_nearest_areas_keeps_edges_in_the_tasks_that_draw_them(spark):
+    assert exchanged(plans.QUERIES["nearest_areas"](spark, "/root/testdata/sf0.001")) == (False, 1)
