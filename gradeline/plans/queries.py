@@ -349,7 +349,7 @@ def nearest_polygon(s, d):
 
 @query("SELECT point, geoid FROM ain")
 def points_in_areas(s, d):
-    return spatial.point_in_polygon(adapters.area_points(s, d), adapters.areas(s, d)).select("point", "geoid")
+    return spatial.point_in_polygon(adapters.area_points(s, d), adapters.drawn_areas(s, d), many=True).select("point", "geoid")
 
 
 @query("SELECT point, CAST(count(*) AS INT) AS touching, min(geoid) AS first_geoid FROM aedge WHERE odd OR onb GROUP BY 1")

@@ -246,3 +246,21 @@ def test_few_places_outside_and_nearest(spark, monkeypatch):
 
 def test_nearest_areas_keeps_edges_in_the_tasks_that_draw_them(spark):
     assert exchanged(plans.QUERIES["nearest_areas"](spark, "/root/testdata/sf0.001")) == (False, 1)
+
+
+def test_few_places_containment(spark, monkeypatch):
+    """Every point of a place gets the place's polygons, also where a third of all points are on one."""
+    shapes, points = sample(23)
+    points = [*points[::3], *[(5.0, 5.0)] * 300]
+    polygons, pts = frames(spark, shapes, points)
+    unknown = spark.createDataFrame([(-1, None, 5.0)], pts.schema)
+    want = sorted((k, g) for k, p in enumerate(points) for g in plain(shapes, *p)[0])
+    for most in (spatial.HELD_PLACES, 100):
+        monkeypatch.setattr(spatial, "HELD_PLACES", most)
+        found = spatial.point_in_polygon(pts.unionByName(unknown), drawn(polygons), many=True)
+        assert sorted((r.k, r.geoid) for r in found.collect()) == want
+        assert found.columns == ["k", "lon", "lat", "geoid"]
+
+
+def test_points_in_areas_keeps_edges_in_the_tasks_that_draw_them(spark):
+    assert exchanged(plans.QUERIES["points_in_areas"](spark, "/root/testdata/sf0.001")) == (False, 1)
